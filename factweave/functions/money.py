@@ -126,6 +126,10 @@ def first_number(text: Column) -> Column:
     )
 
 
+def _numbered(rank: int):
+    return lambda m, i: F.struct((F.lit(rank) * 1000000 + i).alias("ord"), m.alias("match"))
+
+
 def numbers(text: Column) -> Column:
     """Every figure of the four shapes as ``(ord, match, value)``, shape by shape.
 
@@ -135,7 +139,7 @@ def numbers(text: Column) -> Column:
     found = []
     for rank, pattern in enumerate(NUMBER_PATTERNS):
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(F.transform(whole, lambda m, i, r=rank: F.struct((F.lit(r) * 1000000 + i).alias("ord"), m.alias("match"))))
+        found.append(F.transform(whole, _numbered(rank)))
     merged = F.concat(*found)
 
     def scaled(m: Column) -> Column:

@@ -86,8 +86,8 @@ def similarity_join(
 ) -> DataFrame:
     """Pairs of rows with equal ``key`` and cosine at or above ``threshold``.
 
-    Both sides carry ``id``, ``pos`` (input order), ``vec``, the key columns and
-    any columns ``where`` reads. ``where(l, r)`` gets dicts of numpy columns
+    Both sides carry ``id``, ``pos`` (input order, any sortable type), ``vec``, the
+    key columns and any columns ``where`` reads. ``where(l, r)`` gets dicts of numpy columns
     shaped for broadcasting (left down, right across) and returns a mask.
 
     ``keep="all"`` returns every pair, ``"first"`` the ``n`` qualifying right
@@ -144,8 +144,8 @@ def similarity_join(
         + [
             T.StructField("left_id", left.schema["id"].dataType),
             T.StructField("right_id", right.schema["id"].dataType),
-            T.StructField("left_pos", T.LongType()),
-            T.StructField("right_pos", T.LongType()),
+            T.StructField("left_pos", left.schema["pos"].dataType),
+            T.StructField("right_pos", right.schema["pos"].dataType),
             T.StructField("sim", T.DoubleType()),
             T.StructField("per", per_type),
         ]
@@ -167,6 +167,8 @@ def similarity_join(
         s = sims[i, j]
         if keep != "all" and len(i):
             rpos = _column(r["pos"])
+            if rpos.dtype == object:
+                rpos = np.unique(rpos.astype(str), return_inverse=True)[1]
             group_of = i.astype(np.int64)
             if per:
                 codes = np.unique(_column(r[per]).astype(str), return_inverse=True)[1]

@@ -56,9 +56,9 @@ RUNS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}\p{{M}}_]+')"
 
 @query(rf"""WITH w AS (SELECT conv_id, turn, {RUNS.format(x='lower(text)')} lw, {RUNS.format(x='text')} aw FROM conversations),
 t AS (SELECT conv_id, turn, list_concat(list_concat(
- list_filter(lw, x -> regexp_full_match(x, '[a-z]+') AND length(x) > 2 AND x NOT IN ({STOP})),
- list_filter(list_transform(list_filter(aw, x -> regexp_full_match(x, '[A-Z][a-zA-Z]+')), x -> lower(x)), x -> x NOT IN ({STOP}))),
- list_filter(aw, x -> regexp_full_match(x, '20[0-9][0-9]'))) terms FROM w)
+ list_filter(lw, lambda x: regexp_full_match(x, '[a-z]+') AND length(x) > 2 AND x NOT IN ({STOP})),
+ list_filter(list_transform(list_filter(aw, lambda x: regexp_full_match(x, '[A-Z][a-zA-Z]+')), lambda x: lower(x)), lambda x: x NOT IN ({STOP}))),
+ list_filter(aw, lambda x: regexp_full_match(x, '20[0-9][0-9]'))) terms FROM w)
 SELECT conv_id, turn, len(list_distinct(terms)) AS n_terms, array_to_string(list_sort(list_distinct(terms)), ' ') AS terms FROM t""")
 def term_extraction(spark, sf_dir):
     (turns,) = load_tables(spark, sf_dir, "conversations")
@@ -94,20 +94,6 @@ def money_parsing(spark, sf_dir):
     return events.select("event_id", s.alias("text")).withColumn("amount", money.parse_money(F.col("text")).cast("double"))
 
 
-TAG_SQL = " ".join(f"WHEN contains(t, {quote(k)}) THEN {quote(','.join(v))}" for k, v in tx.CONCEPT_TAGS.items())
-
-
-@query("""WITH h AS (SELECT p_partkey, list_filter([""" + ", ".join(
-    f"CASE WHEN contains(lower(replace(p_name, ' ', ' {k} ')), {quote(k)}) THEN {quote('|'.join(v))} END" if False else
-    f"CASE WHEN contains(lower(p_type || ' ' || p_name), {quote(k)}) THEN {quote('|'.join(v))} END" for k, v in tx.CONCEPT_TAGS.items()
-).replace("{k}", "") + """], x -> x IS NOT NULL) l FROM part)
-SELECT p_partkey, len(list_distinct(flatten(list_transform(l, x -> string_split(x, '|'))))) AS n_tags FROM h""")
-def concept_expansion(spark, sf_dir):
-    (part,) = load_tables(spark, sf_dir, "part")
-    tags = tx.expand_terms(F.concat_ws(" ", "p_type", "p_name"))
-    return part.select("p_partkey", F.size(tags).cast("bigint").alias("n_tags"))
-
-
 SCORES_SQL = ", ".join(
     "(" + " + ".join(f"CAST({hit('q', p)} AS INTEGER)" for p in cl.PATTERNS[k]) + f") p_{k}" for k in cl.TYPES
 )
@@ -187,7 +173,7 @@ def questions(spark, sf_dir):
 
 def classified_sql(source: str) -> str:
     return f"""a AS (SELECT *, lower(trim(text)) q FROM {source}),
-b AS (SELECT *, {SCORES_SQL}, {RULES_SQL}, {QUAL_SQL} qualitative, len(list_filter(string_split_regex(q, '\\s+'), x -> length(x) > 0)) nw FROM a),
+b AS (SELECT *, {SCORES_SQL}, {RULES_SQL}, {QUAL_SQL} qualitative, len(list_filter(string_split_regex(q, '\\s+'), lambda x: length(x) > 0)) nw FROM a),
 c AS (SELECT *, {', '.join(_adjusted(k) for k in cl.TYPES)}, {' + '.join(f'CAST(r{i} AS INTEGER)' for i in range(len(cl.RULES)))} n FROM b),
 d AS (SELECT *, -{RANK_SQL}[1].s AS top, -{RANK_SQL}[2].s AS second, {RANK_SQL}[1].k AS first FROM c),
 e AS (SELECT *, CASE WHEN top = 0 THEN 'descriptive' WHEN qualitative AND first = 'numerical' THEN 'descriptive' ELSE first END kind,
@@ -231,8 +217,22 @@ def question_features(spark, sf_dir):
                     tx.granularity(F.col("text")).alias("granularity"))
 
 
+TAGS_SQL = ", ".join(
+    f"CASE WHEN contains(lower(text), {quote(k)}) THEN {quote('|'.join(v))} END" for k, v in tx.CONCEPT_TAGS.items()
+)
+
+
+@query(f"""WITH {QUESTIONS_CTE}, h AS (SELECT query_id, list_filter([{TAGS_SQL}], lambda x: x IS NOT NULL) l FROM questions),
+t AS (SELECT query_id, list_distinct(flatten(list_transform(l, lambda x: string_split(x, '|')))) t FROM h)
+SELECT query_id, len(t) AS n_tags, array_to_string(list_sort(t), ' ') AS tags FROM t""")
+def concept_expansion(spark, sf_dir):
+    tags = tx.expand_terms(F.col("text"))
+    return questions(spark, sf_dir).select(
+        "query_id", F.size(tags).cast("bigint").alias("n_tags"), F.array_join(F.array_sort(tags), " ").alias("tags"))
+
+
 CLAIM_TEXT_SQL = """CASE WHEN o_orderkey % 3 = 0 THEN 'Total ' || lower(c_mktsegment) || ' rose while net sales fell. ' ELSE lower(c_mktsegment) || ' margin declined. ' END
- || 'Revenue was $' || printf('%.2f', o_totalprice / 1000) || 'K and income of $' || printf('%.2f', o_totalprice / 100) || ' million'"""
+ || 'Revenue was $' || printf('%.2f', o_totalprice) || 'K and income of $' || printf('%.2f', o_totalprice) || ' million'"""
 
 
 def claim_texts(spark, sf_dir):
@@ -242,8 +242,8 @@ def claim_texts(spark, sf_dir):
     seg = F.lower("c_mktsegment")
     opening = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Total "), seg, F.lit(" rose while net sales fell. "))).otherwise(
         F.concat(seg, F.lit(" margin declined. ")))
-    body = F.concat(F.lit("Revenue was $"), F.format_string("%.2f", F.col("o_totalprice") / 1000), F.lit("K and income of $"),
-                    F.format_string("%.2f", F.col("o_totalprice") / 100), F.lit(" million"))
+    body = F.concat(F.lit("Revenue was $"), F.format_string("%.2f", "o_totalprice"), F.lit("K and income of $"),
+                    F.format_string("%.2f", "o_totalprice"), F.lit(" million"))
     return o.select("o_orderkey", F.concat(opening, body).alias("text"))
 
 
