@@ -106,7 +106,8 @@ def bridge_edges(
                 "id", "pos", "vec", F.col("component").alias("comp")
             )
             pairs = similarity_join(
-                tagged, tagged, threshold=level, keep="best", n=1, where=differs, strict=positive_only and level == 0.0
+                tagged, tagged, threshold=level, keep="best", n=1, where=differs, strict=positive_only and level == 0.0,
+                collapse_copies=True,
             )
             named = pairs.join(tagged.select(F.col("id").alias("left_id"), F.col("comp").alias("lc")), "left_id").join(
                 tagged.select(F.col("id").alias("right_id"), F.col("comp").alias("rc")), "right_id"
@@ -131,7 +132,7 @@ def bridge_edges(
             merged = connected_components(
                 labels.select(F.col("component").alias("id")).distinct(),
                 best.select(F.col("lc").alias("source_id"), F.col("rc").alias("target_id")),
-            ).withColumnsRenamed({"id": "component", "component": "merged"})
+            ).select(F.col("id").alias("component"), F.col("component").alias("merged"))
             labels = cut_lineage(labels.join(merged, "component").select("base", F.col("merged").alias("component")))
     weak = F.col("sim") < bridge_threshold
     return found.select(

@@ -81,6 +81,7 @@ def similarity_join(
     where: Callable[[dict, dict], np.ndarray] | None = None,
     below: float | None = None,
     strict: bool = False,
+    collapse_copies: bool = False,
     block_rows: int = BLOCK_ROWS,
     pivots: int | None = None,
 ) -> DataFrame:
@@ -93,12 +94,13 @@ def similarity_join(
     ``keep="all"`` returns every pair, ``"first"`` the ``n`` qualifying right
     rows with the smallest ``pos`` per left row, ``"best"`` the ``n`` most
     similar ones (ties: smallest ``pos``), optionally per value of the right
-    column ``per``. Result: key columns, ``left_id``, ``right_id``,
+    column ``per``. ``collapse_copies`` (for ``"best"`` with ``n=1``, when ``where``
+    reads neither ``id`` nor ``pos``) keeps one right row per distinct vector:
+    copies differ only by ``pos`` and the earliest always wins. Result: key columns, ``left_id``, ``right_id``,
     ``left_pos``, ``right_pos``, ``sim`` and ``per``.
     """
     key = list(key)
-    if keep == "best" and n == 1:
-        # Copies of one vector differ only by pos and the earliest always wins: keep that one.
+    if collapse_copies:
         same = [c for c in right.columns if c not in ("id", "pos")]
         right = (
             right.groupBy(*same)
@@ -150,9 +152,10 @@ def similarity_join(
             T.StructField("per", per_type),
         ]
     )
-    arrow_out = _arrow_schema(out)
+    arrow_out = arrow_schema(out)
 
     def score(l: pa.Table, r: pa.Table) -> pa.Table:
+        r = r.rename_columns([c.removeprefix("r__") for c in r.column_names])
         if l.num_rows == 0 or r.num_rows == 0:
             return arrow_out.empty_table()
         sims = _unit_rows(l["vec"]) @ _unit_rows(r["vec"]).T
@@ -187,7 +190,9 @@ def similarity_join(
         return pa.Table.from_arrays([_flat(c) for c in columns], schema=arrow_out)
 
     on = [*group, "_lb", "_rb"]
-    pairs = lefts.groupBy(*on).cogroup(rights.groupBy(*on)).applyInArrow(score, out)
+    # Both sides may stem from one table: the right one gets names of its own.
+    rights = rights.toDF(*[f"r__{c}" for c in rights.columns])
+    pairs = lefts.groupBy(*on).cogroup(rights.groupBy(*[f"r__{c}" for c in on])).applyInArrow(score, out)
     if keep != "all":
         order = ([F.desc("sim")] if keep == "best" else []) + [F.asc("right_pos")]
         within = Window.partitionBy("left_id", *(["per"] if per else [])).orderBy(*order)
@@ -203,7 +208,7 @@ def _flat(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
+def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)

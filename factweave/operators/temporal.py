@@ -16,7 +16,7 @@ from factweave.functions.vectors import cosine
 from factweave.operators.dedupe import dedupe_directed, edge_columns
 from factweave.operators.similarity import similarity_join
 
-NAME = "TemporalLinker"
+NAME = "temporal"
 
 # Confidence of an exact match, and the similarity floors.
 TAG_CONFIDENCE = 0.95
@@ -95,7 +95,7 @@ def best_in_next_period(nodes: DataFrame, vectors: DataFrame, floor: float = MAT
         "id", F.col("input_pos").alias("pos"), "type", "rank", "vec"
     )
     right = placed.withColumn("rank", F.col("rank") - 1)
-    return similarity_join(placed, right, threshold=floor, key=("type", "rank"), keep="best", n=1, strict=False).filter("sim > 0")
+    return similarity_join(placed, right, threshold=floor, key=("type", "rank"), keep="best", collapse_copies=True).filter("sim > 0")
 
 
 def link_by_similarity(nodes: DataFrame, vectors: DataFrame, floor: float = MATCH_FLOOR) -> DataFrame:
