@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions.text import sentences
 from factweave.operators.dedupe import dedupe_directed, edge_columns
 from factweave.operators.similarity import similarity_join
+from factweave.session import cut_lineage
 
 NAME = "causal"
 
@@ -67,6 +68,13 @@ WORDED_FLOOR = 0.5
 SIMILAR_FLOOR = 0.6
 
 
+# Every connector holds one of these; one cheap pass decides which text and sentences are looked at closely.
+PREFILTER = (
+    r"(?i)result|led\s+to|caus|drove|contribut|therefore|consequently|leading\s+to|due\s+to|driven|attribut|owing\s+to"
+    r"|on\s+account|stemming|offset|impacted|affected|favorable"
+)
+
+
 def _first_hit(text: Column, patterns) -> Column:
     """``(start, connector)`` of the first pattern that occurs; start counts from 1."""
     return F.coalesce(
@@ -82,18 +90,20 @@ def _first_hit(text: Column, patterns) -> Column:
     )
 
 
-def statements(texts: DataFrame, forward=FORWARD, backward=BACKWARD) -> DataFrame:
+def statements(texts: DataFrame) -> DataFrame:
     """One row per sentence and direction with a connector and at least ten characters either side.
 
     ``source_id, filing_id, sentence_no, sentence, direction, connector, cause, effect``.
     """
-    s = texts.select(F.col("id").alias("source_id"), "filing_id", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    s = texts.filter(F.col("text").rlike(PREFILTER)).select(
+        F.col("id").alias("source_id"), "filing_id", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence")
+    ).filter(F.col("sentence").rlike(PREFILTER))
     hits = s.withColumn(
         "h",
         F.explode(
             F.array(
-                F.struct(F.lit("forward").alias("direction"), _first_hit(F.col("sentence"), forward).alias("at")),
-                F.struct(F.lit("backward").alias("direction"), _first_hit(F.col("sentence"), backward).alias("at")),
+                F.struct(F.lit("forward").alias("direction"), _first_hit(F.col("sentence"), FORWARD).alias("at")),
+                F.struct(F.lit("backward").alias("direction"), _first_hit(F.col("sentence"), BACKWARD).alias("at")),
             )
         ),
     ).filter(F.col("h.at").isNotNull())
@@ -203,5 +213,6 @@ def resolve(found: DataFrame, nodes: DataFrame, vectors: DataFrame) -> DataFrame
 
 def discover(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.5) -> DataFrame:
     texts = nodes.filter(F.col("type").isin("TEXT_SECTION", "NOTE"))
-    edges = resolve(statements(texts), nodes, vectors)
+    # The few statements are read many times; the text behind them only once.
+    edges = resolve(cut_lineage(statements(texts)), nodes, vectors)
     return dedupe_directed(edges).filter(F.col("confidence") >= threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.operators.similarity import similarity_join
+from factweave.operators.similarity import BLOCK_ROWS, similarity_join
 from factweave.session import cut_lineage
 
 
@@ -98,9 +98,11 @@ def bridge_edges(
     spark = nodes.sparkSession
     found = spark.createDataFrame([], "source_id string, target_id string, sim double")
     differs = lambda l, r: l["comp"] != r["comp"]
+    if positive_only:
+        levels = tuple(x for x in levels if x >= 0)
+    if reps.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+        levels = levels[-1:]  # one block holds everything: nothing to prune
     for level in levels:
-        if positive_only and level < 0:
-            break
         while labels.select("component").distinct().limit(2).count() > 1:
             tagged = reps.withColumnRenamed("component", "base").join(labels, "base").select(
                 "id", "pos", "vec", F.col("component").alias("comp")

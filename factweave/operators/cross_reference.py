@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factweave.operators.containment import containment_join
 from factweave.operators.dedupe import dedupe_directed, edge_columns
 from factweave.operators.similarity import similarity_join
+from factweave.session import cut_lineage
 
 NAME = "cross_reference"
 
@@ -160,8 +161,11 @@ def _most_similar(refs: DataFrame, targets: DataFrame, nodes: DataFrame, vectors
 
 def discover(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.5) -> DataFrame:
     sources = nodes.filter(F.col("type").isin("TEXT_SECTION", "NOTE"))
-    refs = extract_references(sources).withColumnRenamed("id", "source_id").join(
-        sources.select(F.col("id").alias("source_id"), "filing_id"), "source_id"
+    # Text is scanned once; the references it yields are read once per kind.
+    refs = cut_lineage(
+        extract_references(sources).withColumnRenamed("id", "source_id").join(
+            sources.select(F.col("id").alias("source_id"), "filing_id"), "source_id"
+        )
     )
     found = resolve_references(refs, nodes, vectors).filter(F.col("target_id") != F.col("source_id"))
     home = nodes.select(F.col("id").alias("target_id"), F.col("filing_id").alias("target_filing"))

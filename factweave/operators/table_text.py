@@ -11,6 +11,7 @@ from factweave.functions import money
 from factweave.functions.text import camel_words, keyword_ratio
 from factweave.operators.dedupe import dedupe_directed, edge_columns
 from factweave.operators.similarity import similarity_join
+from factweave.session import cut_lineage
 
 NAME = "table_text"
 
@@ -44,9 +45,10 @@ def numeric_matches(texts: DataFrame, rows: DataFrame, tolerance: float = TOLERA
     Distinct figures of a filing meet distinct values of a filing; only matched
     figures are widened back to their texts and rows.
     """
-    figures = texts.select("filing_id", F.col("id").alias("text_id"), F.explode(money.numbers(F.col("text"))).alias("n")).select(
+    figures = texts.filter(F.col("text").rlike(r"(?i)\$\s*[\d,]|[\d,]\s*(?:percent|%)")).select("filing_id", F.col("id").alias("text_id"), F.explode(money.numbers(F.col("text"))).alias("n")).select(
         "filing_id", "text_id", "n.ord", "n.match", F.col("n.value").alias("num")
     )
+    figures = cut_lineage(figures)
     valued = rows.filter(F.col("value").isNotNull() & (F.col("value") != 0)).select(
         "filing_id", F.col("id").alias("row_id"), F.abs("value").alias("value")
     )
