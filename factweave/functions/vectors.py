@@ -1,7 +1,11 @@
 """Vector math on ARRAY columns, evaluated in the JVM."""
 
-from __future__ import annotations
+import re
+import zlib
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +26,32 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashed_text_vector(text: Column, dim: int = 64) -> Column:
-    """Deterministic offline embedding: unit-length hashed term counts."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.map_from_entries(
-        F.transform(
-            F.array_distinct(buckets),
-            lambda b: F.struct(b.alias("b"), F.size(F.filter(buckets, lambda x: x == b)).cast("double").alias("n")),
-        )
-    )
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(counts, i), F.lit(0.0)))
-    length = norm(raw)
-    return F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)).cast("float"))
+    """Deterministic offline embedding: unit-length hashed term counts, in Arrow batches.
+
+    Stands in for a neural model; ``embed_with`` plugs one in.
+    """
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for word in re.findall(r"\w+", t.lower()):
+                out[i, zlib.crc32(word.encode()) % dim] += 1.0
+        return out
+
+    return embed_with(encode)(text)
+
+
+def embed_with(encode: Callable[[list[str]], np.ndarray], batch: int = 32):
+    """A vectorised UDF that embeds text with any batch encoder and scales to unit length."""
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        rows = []
+        values = texts.fillna("").tolist()
+        for i in range(0, len(values), batch):
+            m = np.asarray(encode(values[i : i + batch]), dtype=np.float64)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            rows.extend((m / np.where(n == 0, 1.0, n)).astype(np.float32))
+        return pd.Series(rows)
+
+    return embed

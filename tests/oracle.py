@@ -43,8 +43,17 @@ def _rows(columns, data):
     return names, sorted(rows, key=repr)
 
 
-def compare(df, con, sql):
-    spark_names, spark_rows = _rows(df.columns, [tuple(r) for r in df.collect()])
+# Column types that stand for each other; a DECIMAL or HUGEINT result would not hash like its Spark counterpart.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def type_problems(dtypes, con, sql):
+    got = dict(zip(*[con.sql(sql).columns, [str(t) for t in con.sql(sql).types]]))
+    return [f"{c}: {t} vs {got.get(c)}" for c, t in dtypes if TYPES.get(t, t) != got.get(c)]
+
+
+def compare(columns, rows, con, sql):
+    spark_names, spark_rows = _rows(columns, [tuple(r) for r in rows])
     cur = con.execute(sql)
     sql_names, sql_rows = _rows([d[0] for d in cur.description], cur.fetchall())
     if spark_names != sql_names:
