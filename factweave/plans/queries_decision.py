@@ -63,8 +63,8 @@ def termination_rules(spark, sf_dir):
     return rows.select("query_id", "hop", "combined", stop.alias("stop"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_discount, l_discount - lag(l_discount) OVER w s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
-u AS (SELECT *, s * lag(s) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) < 0 turned FROM t),
+@query("""WITH t AS (SELECT *, l_discount - lag(l_discount) OVER w s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+u AS (SELECT *, s * lag(s) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) < 0 turned FROM t),
 g AS (SELECT l_orderkey, count(*) n, count(*) FILTER (s < 0) dn, count(*) FILTER (s > 0) up, count(*) FILTER (turned) tu FROM u GROUP BY l_orderkey)
 SELECT l_orderkey AS query_id, CASE WHEN n < 2 THEN 'stable' WHEN dn > up THEN 'converging' WHEN up > dn THEN 'diverging' WHEN n > 2 AND tu > n // 2 THEN 'oscillating' ELSE 'stable' END AS trend FROM g""")
 def trajectory_trend(spark, sf_dir):
@@ -131,11 +131,11 @@ def reliability_score(spark, sf_dir):
 
 @query(f"""WITH {DECIDED} SELECT query_id, tr AS trust, md AS mode, round(CASE md WHEN 'EXPLOIT' THEN least(0.95, greatest(0.70, 0.75 + CASE WHEN cl THEN 0.10 * greatest(r_a, r_b) ELSE 0 END - da * 0.2))
  WHEN 'ADAPTIVE' THEN least(0.75, greatest(0.50, 0.60 + CASE WHEN da < 0.2 THEN 0.10 WHEN da > 0.35 THEN -0.10 ELSE 0 END + ((r_a + r_b) / 2 - 0.5) * 0.15 + CASE trend WHEN 'converging' THEN 0.05 WHEN 'oscillating' THEN -0.05 ELSE 0 END))
- ELSE least(0.55, greatest(0.30, 0.45 - 0.05 * (CASE WHEN ql THEN 1 ELSE nx END - 1) - da * 0.15 - CASE WHEN weak AND NOT ql THEN 0.10 ELSE 0 END)) END, 9)::DOUBLE AS confidence,
+ ELSE least(0.55, greatest(0.30, 0.45 - 0.05 * (CASE WHEN ql THEN 1 ELSE nx END - 1) - da * 0.15 - CASE WHEN weak AND NOT ql THEN 0.10 ELSE 0 END)) END, 12)::DOUBLE AS confidence,
  CAST(da > 0.4 AS INT) + CAST(weak AS INT) + CAST(tr IN ('TRUST_A', 'TRUST_B') AS INT) + CAST(de > 0.9 AS INT) AS n_warnings FROM r6""")
 def mode_decision(spark, sf_dir):
     d = dc.decide(decision_rows(spark, sf_dir))
-    return d.select("query_id", "trust", "mode", F.round("confidence", 9).alias("confidence"), F.size("warnings").alias("n_warnings"))
+    return d.select("query_id", "trust", "mode", F.round("confidence", 12).alias("confidence"), F.size("warnings").alias("n_warnings"))
 
 
 CAL = """cal AS (SELECT o_orderkey k, (o_orderkey % 100) / 100.0::DOUBLE raw, o_custkey % 5 xb, o_orderkey % 7 tx, (o_custkey % 11) / 10.0::DOUBLE rate, o_orderkey % 4 disc, o_orderkey % 3 > 0 ans, o_orderkey % 5 > 0 comp,

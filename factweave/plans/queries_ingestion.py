@@ -1 +1,138 @@
+"""Pages, filings and facts documents built from the tables, read the way landed files are."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factweave.functions.vectors import hashed_text_vector, norm
+from factweave.plans.catalog import query
+from factweave.plans.graph_view import FACTS_CTE, segment_facts
+from factweave.session import load_tables
+from factweave.sources import company_facts, filings, html
+
+PAGE_SQL = r"""t AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'),
+ lambda s: trim(s, E' \t\n\r')), lambda s: length(s) > 0) l FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(array_to_string(l, chr(10)), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS text FROM t)"""
+
+
+@query(f"WITH {PAGE_SQL} SELECT page_id, text, length(text) AS n_chars FROM u")
+def page_text(spark, sf_dir):
+    (pages,) = load_tables(spark, sf_dir, "pages")
+    return pages.select("page_id", html.page_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def _filed(spark, sf_dir):
+    """Documents with section and note headings around their whole text."""
+    (docs,) = load_tables(spark, sf_dir, "documents")
+    t = F.col("text")
+    return docs.select("doc_id", F.concat(
+        F.lit("Item 1. Business\n"), t, F.lit("\nItem 7. Management's Discussion\n"), t, F.lit("\nNote 1 - Policies\n"), t, F.lit("\nNote 2 - Leases\n"), t).alias("text"))
+
+
+LONG = "f AS (SELECT doc_id, length(text) n, text FROM documents)"
+
+
+@query(f"""WITH {LONG} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Item 1' AS name, 0 AS start FROM f UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Item 7', CAST(18 + n AS INTEGER) FROM f""")
+def section_headings(spark, sf_dir):
+    return html.headings(_filed(spark, sf_dir))
+
+
+WS = r"E' \t\n\r\f\v'"
+
+
+@query(f"""WITH {LONG}, b AS (SELECT doc_id, 'Item 1' section, 'Item 1. Business' || chr(10) || text || chr(10) body FROM f UNION ALL
+ SELECT doc_id, 'Item 7', 'Item 7. Management''s Discussion' || chr(10) || text || chr(10) || 'Note 1 - Policies' || chr(10) || text || chr(10) || 'Note 2 - Leases' || chr(10) || text FROM f)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, section, CAST(length(regexp_replace(body, '\\s+', '', 'g')) AS BIGINT) AS n_chars FROM b WHERE length(trim(body, {WS})) >= 100""")
+def section_split(spark, sf_dir):
+    """Characters kept per section: chunks hold the whole text, white space aside."""
+    chunks = html.sections(_filed(spark, sf_dir))
+    n = F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).cast("bigint")
+    return chunks.groupBy("doc_id", "section").agg(n.alias("n_chars"))
+
+
+@query(f"""WITH {LONG}, s AS (SELECT doc_id, n, trim(text, ' ' || chr(10)) t FROM f)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS note_number, CAST(18 + n + 32 + n + 1 AS INTEGER) AS char_offset, CAST(18 + length(t) AS BIGINT) AS n_chars FROM s WHERE length(t) >= 50 UNION ALL
+SELECT CAST(doc_id AS VARCHAR), 2, CAST(18 + n + 32 + n + 1 + 18 + n + 1 AS INTEGER), CAST(16 + length(t) AS BIGINT) FROM s WHERE length(t) >= 50""")
+def note_split(spark, sf_dir):
+    found = html.notes(_filed(spark, sf_dir))
+    return found.select("doc_id", "note_number", "char_offset", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 i, l_partkey, l_extendedprice FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(i AS INTEGER) AS row_index, 'part ' || l_partkey || ' | $' || format('{:,.2f}', l_extendedprice) AS text, greatest(CAST(l_partkey AS DOUBLE), l_extendedprice) AS value FROM r""")
+def table_rows(spark, sf_dir):
+    """Each order's lines as an HTML table, read back row by row."""
+    (lines,) = load_tables(spark, sf_dir, "lineitem")
+    row = F.concat(F.lit("<tr><td>part "), F.col("l_partkey").cast("string"), F.lit("</td><td></td><td>$"), F.format_number("l_extendedprice", 2), F.lit("</td></tr>"))
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", row.alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda s: s["row"]), "")
+    pages = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+        F.concat(F.lit("<html><table><tr><th>part</th><th></th><th>price</th></tr>"), body, F.lit("</table></html>")).alias("html"))
+    return html.table_rows(pages).select("doc_id", "row_index", "text", "value")
+
+
+def _facts_documents(spark, sf_dir):
+    """One company-facts document per market segment."""
+    facts = segment_facts(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    entry = lambda fp, frame: F.struct(F.concat(F.col("fy").cast("string"), F.lit("-09-30")).alias("end"), "fy", fp.alias("fp"), F.col("value").alias("val"), frame.alias("frame"))
+    cy = F.concat(F.lit("CY"), F.col("fy").cast("string"))
+    quarter = F.concat(F.lit("Q"), F.col("fq").cast("string"))
+    quarters = facts.select("metric", entry(quarter, F.concat(cy, quarter)).alias("e"))
+    years = facts.groupBy("metric", "fy").agg(F.max("value").alias("value")).select("metric", entry(F.lit("FY"), cy).alias("e"))
+    docs = quarters.unionByName(years).groupBy("metric").agg(F.collect_list("e").alias("l"))
+    tag = F.struct(F.struct(F.col("l").alias("USD")).alias("units"))
+    shares = F.struct(F.struct(F.col("l").alias("shares"), F.col("l").alias("USD/shares")).alias("units"))
+    body = F.to_json(F.struct(F.struct(F.struct(tag.alias("SalesRevenueNet"), tag.alias("Revenues"), tag.alias("Unlisted"), shares.alias("EarningsPerShareBasic")).alias("us-gaap")).alias("facts")))
+    return docs.select(F.col("metric").alias("company"), body.alias("body"))
+
+
+@query(f"""WITH {FACTS_CTE}, y AS (SELECT metric, fy, max(CAST(value AS DOUBLE)) v FROM facts GROUP BY metric, fy), m AS (SELECT unnest(['net_sales', 'eps_basic']) k)
+SELECT metric AS company, k AS metric, 'FY' || fy AS period, v AS value FROM y, m""")
+def facts_annual(spark, sf_dir):
+    return company_facts.annual_metrics(_facts_documents(spark, sf_dir)).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"""WITH {FACTS_CTE}, e AS (SELECT metric, 'FY' || fy AS period, max(CAST(value AS DOUBLE)) v FROM facts GROUP BY metric, fy UNION ALL SELECT metric, 'Q' || fq || '-' || fy, CAST(value AS DOUBLE) FROM facts WHERE fq < 4),
+t AS (SELECT unnest([('Revenues', 'USD'), ('EarningsPerShareBasic', 'USD/shares')]) t)
+SELECT metric AS company, t[1] AS tag, period, v AS value, t[2] AS unit FROM e, t""")
+def facts_lines(spark, sf_dir):
+    return company_facts.financial_lines(_facts_documents(spark, sf_dir)).select("company", "tag", "period", F.col("val").alias("value"), "unit")
+
+
+FILED = """f AS (SELECT o_custkey k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 place, ['10-K', '10-Q', '8-K'][CAST(o_orderkey % 3 AS INTEGER) + 1] form, CAST(o_orderdate AS DATE) d FROM orders),
+r AS (SELECT lpad(CAST(k AS VARCHAR), 10, '0') cik, o_orderkey, place, form, CASE WHEN form = '10-K' THEN 'FY' || (year(d) - CASE WHEN month(d) <= 3 THEN 1 ELSE 0 END)
+ ELSE 'Q' || least(3, greatest(0, month(d) - 2) // 3 + 1) || '-' || year(d) END AS period FROM f WHERE form <> '8-K')"""
+
+
+def _index(spark, sf_dir):
+    """A filing index per customer, its orders as filings."""
+    (orders,) = load_tables(spark, sf_dir, "orders")
+    form = F.element_at(F.array(F.lit("10-K"), F.lit("10-Q"), F.lit("8-K")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    item = F.struct("o_orderkey", form.alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    listed = F.array_sort(F.collect_list(item))
+    rows = orders.groupBy("o_custkey").agg(listed.alias("l"))
+    col = lambda f: F.transform("l", lambda x: f(x))
+    recent = F.struct(col(lambda x: x["o_orderkey"].cast("string")).alias("accessionNumber"), col(lambda x: x["form"]).alias("form"),
+                      col(lambda x: x["d"]).alias("filingDate"), col(lambda x: F.concat(x["d"], F.lit(".htm"))).alias("primaryDocument"))
+    return rows.select(F.col("o_custkey").cast("string").alias("cik"), F.lit("").alias("name"), F.struct(recent.alias("recent")).alias("filings"))
+
+
+@query(f"WITH {FILED} SELECT cik, CAST(o_orderkey AS VARCHAR) AS accession_number, form AS filing_type, period FROM r")
+def filing_index(spark, sf_dir):
+    return filings.filing_rows(_index(spark, sf_dir)).select("cik", "accession_number", "filing_type", "period")
+
+
+@query(f"""WITH {FILED}, y AS (SELECT *, CAST(right(period, 4) AS INTEGER) yr FROM r), k AS (SELECT DISTINCT cik, yr FROM y WHERE form = '10-K'),
+w AS (SELECT cik, yr FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY yr DESC) n FROM k) WHERE n <= 3)
+SELECT cik, form AS filing_type, period, CAST(arg_min(o_orderkey, place) AS VARCHAR) AS accession_number FROM y JOIN w USING (cik, yr) GROUP BY cik, form, period""")
+def filing_selection(spark, sf_dir):
+    found = filings.filings_by_period(filings.filing_rows(_index(spark, sf_dir)))
+    return found.select("cik", "filing_type", "period", "accession_number")
+
+
+@query("SELECT conv_id, turn, 1.0::DOUBLE AS length FROM conversations WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+def text_embedding(spark, sf_dir):
+    """The offline embedder gives every worded text a unit vector."""
+    (turns,) = load_tables(spark, sf_dir, "conversations")
+    v = turns.select("conv_id", "turn", hashed_text_vector(F.col("text")).alias("v"))
+    return v.select("conv_id", "turn", F.round(norm(F.col("v")), 4).alias("length"))
