@@ -39,6 +39,9 @@ class Walk:
     min_score: float = 0.3
 
 
+SETTINGS = ("explore", "per_node", "min_confidence", "decay", "min_score", "hops")
+
+
 def _leaving(edges: DataFrame, walk: Walk) -> DataFrame:
     """Per source its strongest allowed edges (three times what is kept) and its full out-degree."""
     total = fanout(edges).withColumnRenamed("id", "source_id")
@@ -57,7 +60,9 @@ def expand(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
 
     ``questions``: ``query_id, vec``; ``seeds``: ``query_id, id``; ``nodes``:
     ``id, type``; ``vectors``: ``id, vec``; ``other``: ``query_id, id`` of the
-    other retrieval's evidence. Result ``query_id, id, hop, path_confidence,
+    other retrieval's evidence. ``questions`` may carry their own ``explore,
+    per_node, min_confidence, decay, min_score, hops``; ``walk`` then gives the
+    outer limits. Result ``query_id, id, hop, path_confidence,
     score, from_id, edge_type, confidence``. Per hop, a node is reached over its
     best-scored edge; drift, isolation, novelty and redundancy look back along
     that one walk.
@@ -66,7 +71,8 @@ def expand(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
     target = nodes.select(F.col("id").alias("target_id"), F.col("type").alias("target_type")).join(
         vectors.select(F.col("id").alias("target_id"), F.col("vec").alias("target_vec")), "target_id", "left"
     )
-    asked = questions.select("query_id", F.col("vec").alias("query_vec"))
+    own = {name: F.col(name) if name in questions.columns else F.lit(getattr(walk, name)) for name in SETTINGS}
+    asked = questions.select("query_id", F.col("vec").alias("query_vec"), *[c.alias(f"s_{n}") for n, c in own.items()])
     meet = None if other is None else other.select("query_id", F.col("id").alias("target_id"), F.lit(1.0).alias("met")).distinct()
     start = (
         seeds.select("query_id", "id").distinct().join(nodes.select("id", "type"), "id")
@@ -79,11 +85,11 @@ def expand(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
         )
     )
     known = frontier = cut_lineage(start)
-    explore = F.lit(walk.explore)
     for hop in range(1, walk.hops + 1):
         step = (
             frontier.withColumnsRenamed({"id": "source_id", "edge_type": "_e", "confidence": "_c"})
             .join(leaving, "source_id").join(target, "target_id").join(asked, "query_id")
+            .filter((F.col("confidence") >= F.col("s_min_confidence")) & (F.col("place") <= F.col("s_per_node") * 3) & (F.col("s_hops") >= hop))
         )
         step = step.join(meet, ["query_id", "target_id"], "left") if meet is not None else step.withColumn("met", F.lit(0.0))
         same = sc.domain(F.col("target_type")) == F.col("run_domain")
@@ -104,12 +110,12 @@ def expand(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
             "redundancy": sc.redundancy(F.lit(False), F.col("_like")),
             "fanout": sc.fanout(F.col("fanout"), F.col("edge_type")),
         }
-        step = step.withColumn("_score", sc.total_score(F.col("confidence"), F.col("path_confidence"), parts, explore))
+        step = step.withColumn("_score", sc.total_score(F.col("confidence"), F.col("path_confidence"), parts, F.col("s_explore")))
         best = Window.partitionBy("query_id", "source_id").orderBy(F.desc("_score"), "place")
-        kept = step.filter(F.col("_score") >= walk.min_score).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= walk.per_node)
+        kept = step.filter(F.col("_score") >= F.col("s_min_score")).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= F.col("s_per_node"))
         moved = kept.select(
             "query_id", F.col("target_id").alias("id"), F.lit(hop).alias("hop"),
-            (F.col("path_confidence") * F.col("confidence") * walk.decay).alias("path_confidence"), F.col("_score").alias("score"),
+            (F.col("path_confidence") * F.col("confidence") * F.col("s_decay")).alias("path_confidence"), F.col("_score").alias("score"),
             F.col("source_id").alias("from_id"), "edge_type", "confidence", F.col("target_type").alias("type"),
             F.when(F.col("edge_type").isin(*sc.SEMANTIC), F.col("chain") + 1).otherwise(0).alias("chain"),
             (run + 1).alias("run"), sc.domain(F.col("target_type")).alias("run_domain"), (F.col("walked") + 1).alias("walked"),
