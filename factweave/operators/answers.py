@@ -10,6 +10,7 @@ from factweave.functions.money import format_money
 from factweave.functions.scores import clip
 from factweave.functions.text import matches
 from factweave.operators.facts import direction_of, pct_change
+from factweave.session import cut_lineage
 
 # Segment wording and the metric it asks for.
 SEGMENT_PATTERNS = (
@@ -176,14 +177,17 @@ def answer_questions(questions: DataFrame, facts: DataFrame, subject: str = "The
     verified figures appended when it leaves any out. Result: ``query_id, kind,
     mode, answer, confidence, included, facts_found, facts_expected``.
     """
-    analyzed = analyze(questions, **analysis)
-    grid = needed_facts(analyzed, facts)
+    # Each distinct text is analysed once, and each distinct need (metrics x periods) is answered once.
+    texts = analyze(questions.select("text").distinct(), **analysis)
+    analyzed = cut_lineage(questions.join(texts, "text").withColumn("need", F.to_json(F.struct("metrics", "periods"))))
+    needs = analyzed.select(F.col("need").alias("query_id"), "metrics", "periods").dropDuplicates(["query_id"])
+    grid = cut_lineage(needed_facts(needs, facts))
     must = mandatory_facts(grid)
-    plain = render_answers(analyzed, grid, subject)
     empty = F.array().cast("array<string>")
-    out = analyzed.join(must, "query_id", "left").withColumns({
+    by_need = render_answers(needs, grid, subject).join(must, "query_id", "left").withColumns({
         "n_facts": F.coalesce("n_facts", F.lit(0)), "values": F.coalesce("values", empty), "directions": F.coalesce("directions", empty),
-    }).join(plain, "query_id")
+    }).withColumnRenamed("query_id", "need")
+    out = analyzed.join(by_need, "need")
     has_data = F.col("n_facts") > 0
     if generate is not None:
         written = generate(out.select("query_id", "text", F.col("answer").alias("facts_block"))).withColumnRenamed("answer", "_written")
@@ -193,7 +197,6 @@ def answer_questions(questions: DataFrame, facts: DataFrame, subject: str = "The
         out = out.withColumn("answer", F.when(F.col("_written").isNull() | ~has_data, F.col("answer")).when(whole, F.col("_written")).otherwise(verified))
     checked = inclusion(F.col("answer"), F.col("values"), F.col("directions"), has_data)
     out = out.withColumn("_grid", F.size("metrics") * F.size("periods")).withColumns({k: checked[k] for k in ("included", "confidence")})
-    # Facts of other metrics may be left out of the first answer: it is then extended with all figures.
     return out.select(
         "query_id", "kind", mode_of(F.col("kind"), F.col("n_facts")).alias("mode"), "answer", "confidence", "included",
         F.col("n_facts").alias("facts_found"), F.col("_grid").alias("facts_expected"),

@@ -194,6 +194,11 @@ def complexity_points(text: Column, kind: Column) -> Column:
     )
 
 
+def classify_shared(df: DataFrame, text: str = "text") -> DataFrame:
+    """As ``classify``, each distinct text once: for short questions that many rows repeat."""
+    return df.join(classify(df.select(text).distinct(), text), text)
+
+
 def classify(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``query_type, type_confidence, method, complexity, expects_number, numerical_aspect,
     qualitative, time_period, entities, rules`` and one ``score_<type>`` column per type."""

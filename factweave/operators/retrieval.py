@@ -14,6 +14,7 @@ from factweave.functions.vectors import cosine
 from factweave.operators.containment import containment_join
 from factweave.operators.graph_filters import FINANCIAL_LINKS
 from factweave.operators.similarity import similarity_join
+from factweave.session import cut_lineage
 
 # Everyday words of a question and the tags a financial search adds for them.
 SEARCH_TAGS = {
@@ -84,11 +85,11 @@ def dynamic_search(questions: DataFrame, nodes: DataFrame, vectors: DataFrame |
         F.when(F.array_contains("terms", term), F.array(*[F.lit(t.lower()) for t in tags])).otherwise(F.array().cast("array<string>"))
         for term, tags in SEARCH_TAGS.items()
     ])))
-    asked = questions.withColumn("terms", F.array_sort(question_terms(F.col("text"))))
     # Questions with the same terms get the same lines: without vectors or periods one search serves them all.
     own_columns = [c for c in ("vec", "period") if c in questions.columns]
-    asked = asked.withColumn("_k", F.col("query_id").cast("string") if own_columns else F.array_join("terms", " "))
-    asked = asked.select("query_id", "_k", "terms", *own_columns)
+    texts = questions.select("text").distinct().withColumn("terms", F.array_sort(question_terms(F.col("text"))))
+    asked = questions.join(texts, "text").withColumn("_k", F.col("query_id").cast("string") if own_columns else F.array_join("terms", " "))
+    asked = cut_lineage(asked.select("query_id", "_k", "terms", *own_columns))
     wanted = asked.dropDuplicates(["_k"]).withColumn("_wider", F.array_distinct(F.concat("terms", extra))).select(
         "_k", "terms", *own_columns, F.explode("_wider").alias("term")
     ).withColumn("own", F.array_contains("terms", F.col("term")))

@@ -122,22 +122,26 @@ def similarity_join(
             cells = ["cell"]
 
     group = [*key, *cells]
-    if not group:
-        left, right, group = left.withColumn("_g", F.lit(0)), right.withColumn("_g", F.lit(0)), ["_g"]
-    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
-    sizes = (
-        left.groupBy(*group).agg(F.count(F.lit(1)).alias("_nl"))
-        .join(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_nr")), group)
-        .select(*group, blocks("_nl").alias("_bl"), blocks("_nr").alias("_br"))
-    )
-    lefts = left.join(sizes, group).select(
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    if group:
+        sizes = (
+            left.groupBy(*group).agg(F.count(F.lit(1)).alias("_nl"))
+            .join(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_nr")), group)
+            .select(*group, blocks(F.col("_nl")).alias("_bl"), blocks(F.col("_nr")).alias("_br"))
+        )
+        sized = lambda df: df.join(sizes, group)
+    else:
+        # One group: its two sizes are scalars.
+        n_left, n_right = (df.agg(F.count(F.lit(1))).scalar() for df in (left, right))
+        sized = lambda df: df.withColumns({"_bl": blocks(n_left), "_br": blocks(n_right)})
+    lefts = sized(left).select(
         *left.columns,
         F.pmod(F.xxhash64("id"), F.col("_bl")).cast("int").alias("_lb"),
-        F.explode(F.sequence(F.lit(0), F.col("_br") - 1)).alias("_rb"),
+        F.explode(F.filter(F.sequence(F.lit(0), F.col("_br")), lambda i: i < F.col("_br"))).alias("_rb"),
     )
-    rights = right.join(sizes, group).select(
+    rights = sized(right).select(
         *right.columns,
-        F.explode(F.sequence(F.lit(0), F.col("_bl") - 1)).alias("_lb"),
+        F.explode(F.filter(F.sequence(F.lit(0), F.col("_bl")), lambda i: i < F.col("_bl"))).alias("_lb"),
         F.pmod(F.xxhash64("id"), F.col("_br")).cast("int").alias("_rb"),
     )
     per_type = right.schema[per].dataType if per else T.StringType()

@@ -148,17 +148,18 @@ def typed_claims(answers: DataFrame) -> DataFrame:
     text = F.col("answer")
     words = "|".join(UP_WORDS + DOWN_WORDS)
     pattern = rf"(?iU)(\w+(?:\s+\w+)?)\s+({words})\b"
-    said = answers.select("id", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("c"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("w"))).alias("pos", "x"))
-    metric = F.coalesce(*[F.when(F.contains(F.lower("x.c"), F.lit(m)), F.lit(m)) for m in TRACKED])
+    # One pass over the text; the short matches are then taken apart.
+    said = answers.select("id", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "m"))
+    said = said.select("id", "pos", F.lower(F.regexp_extract("m", r"(?U)(\w+)$", 1)).alias("w"),
+                       F.lower(F.regexp_extract("m", r"(?U)^(.*)\s+\w+$", 1)).alias("c"))
+    metric = F.coalesce(*[F.when(F.contains("c", F.lit(m)), F.lit(m)) for m in TRACKED])
     directions = said.select("id", "pos", F.lit("direction").alias("kind"), metric.alias("metric"),
-                             F.when(F.lower("x.w").isin(*UP_WORDS), "increase").otherwise("decrease").alias("direction"),
+                             F.when(F.col("w").isin(*UP_WORDS), "increase").otherwise("decrease").alias("direction"),
                              F.lit(None).cast("decimal(38,4)").alias("amount")).filter(F.col("metric").isNotNull())
-    valued = answers.select("id", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(f"(?i){VALUE_CLAIM}"), F.lit(1)).alias("c"),
-        F.regexp_extract_all(text, F.lit(f"(?i){VALUE_CLAIM}"), F.lit(2)).alias("v"))).alias("pos", "x"))
-    values = valued.select("id", "pos", F.lit("value").alias("kind"), F.trim(F.lower("x.c")).alias("metric"), F.lit(None).cast("string").alias("direction"),
-                           parse_money(F.col("x.v")).alias("amount")).filter(F.col("amount").isNotNull())
+    claim = f"(?i){VALUE_CLAIM}"
+    valued = answers.filter(F.contains("answer", F.lit("$"))).select("id", F.posexplode(F.regexp_extract_all(text, F.lit(claim), F.lit(0))).alias("pos", "m"))
+    values = valued.select("id", "pos", F.lit("value").alias("kind"), F.trim(F.lower(F.regexp_extract("m", claim, 1))).alias("metric"),
+                           F.lit(None).cast("string").alias("direction"), parse_money(F.regexp_extract("m", claim, 2)).alias("amount")).filter(F.col("amount").isNotNull())
     both = directions.unionByName(values)
     return both.groupBy("id", "kind", "metric").agg(F.max_by(F.struct("direction", "amount"), "pos").alias("c")).select(
         "id", "kind", "metric", "c.direction", "c.amount")

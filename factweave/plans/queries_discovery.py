@@ -10,7 +10,7 @@ from factweave.plans import graph_view as gv
 from factweave.plans.catalog import query
 from factweave.plans.queries_graph import GRAPH
 from factweave.plans.queries_text import CLAIM_TEXT_SQL, claim_texts
-from factweave.session import load_tables
+from factweave.session import cut_lineage, load_tables, spread
 
 
 @query(f"""WITH {GRAPH}, s AS (SELECT *, lead(id) OVER w t, lead(period) OVER w tp FROM nodes WHERE type = 'FINANCIAL_LINE'
@@ -45,7 +45,7 @@ STORY_SQL = """CASE o_orderkey % 4
 def stories(spark, sf_dir):
     """One short narrative per order, filed under the order's fiscal year."""
     orders, customer = load_tables(spark, sf_dir, "orders", "customer")
-    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(orders).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     seg, k = F.lower("c_mktsegment"), F.col("o_orderkey") % 4
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     text = (
@@ -77,7 +77,8 @@ def causal_statements(spark, sf_dir):
 SELECT st.id AS source_id, CASE WHEN k % 4 = 3 AND seg = 'machinery' THEN mac ELSE line END AS target_id, 'LEADS_TO' AS edge_type, CAST(CASE WHEN k % 4 = 3 THEN 0.60 ELSE 0.70 END AS DOUBLE) AS confidence
 FROM st JOIN f USING (filing_id) WHERE k % 4 <> 2""")
 def causal_edges(spark, sf_dir):
-    nodes = stories(spark, sf_dir).unionByName(gv.financial_lines(spark, sf_dir))
+    # The node table is read by every step: built once, as a stored graph is.
+    nodes = cut_lineage(stories(spark, sf_dir).unionByName(gv.financial_lines(spark, sf_dir)))
     none = spark.createDataFrame([], "id string, vec array<float>")
     return causal.discover(nodes, none).select("source_id", "target_id", "edge_type", "confidence")
 
@@ -136,7 +137,7 @@ def numeric_band_join(spark, sf_dir):
 def containment_mentions(spark, sf_dir):
     docs, items = load_tables(spark, sf_dir, "documents", "benchmark")
     found = containment.containment_join(
-        docs.select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")),
+        spread(docs).select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")),
         items.select(F.col("item_id").alias("name_id"), F.lower("text").alias("name")))
     return found.select(F.col("text_id").alias("doc_id"), F.col("name_id").alias("item_id"))
 
@@ -168,7 +169,7 @@ SELECT 'temporal' AS expert, 'TEMPORAL_NEXT' AS edge_type, count(*) AS n FROM s
 def graph_build(spark, sf_dir):
     """All discovery jobs over lines, documents and notes with their default thresholds."""
     nodes = gv.financial_lines(spark, sf_dir).unionByName(gv.text_sections(spark, sf_dir)).unionByName(gv.notes(spark, sf_dir))
-    nodes = nodes.withColumn("char_offset", F.lit(None).cast("int"))
+    nodes = cut_lineage(nodes.withColumn("char_offset", F.lit(None).cast("int")))
     v = gv.vectors(spark, sf_dir).select(F.concat(F.lit("TS:"), F.col("id").cast("string")).alias("id"), "vec")
     edges, _ = build.discover_edges(nodes, v)
     return edges.groupBy("expert", "edge_type").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factweave.functions.vectors import hashed_text_vector, norm
 from factweave.plans.catalog import query
 from factweave.plans.graph_view import FACTS_CTE, segment_facts
-from factweave.session import load_tables
+from factweave.session import load_tables, spread
 from factweave.sources import company_facts, filings, html
 
 PAGE_SQL = r"""t AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'),
@@ -18,14 +18,14 @@ u AS (SELECT page_id, replace(replace(replace(replace(array_to_string(l, chr(10)
 @query(f"WITH {PAGE_SQL} SELECT page_id, text, length(text) AS n_chars FROM u")
 def page_text(spark, sf_dir):
     (pages,) = load_tables(spark, sf_dir, "pages")
-    return pages.select("page_id", html.page_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return spread(pages).select("page_id", html.page_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def _filed(spark, sf_dir):
     """Documents with section and note headings around their whole text."""
     (docs,) = load_tables(spark, sf_dir, "documents")
     t = F.col("text")
-    return docs.select("doc_id", F.concat(
+    return spread(docs).select("doc_id", F.concat(
         F.lit("Item 1. Business\n"), t, F.lit("\nItem 7. Management's Discussion\n"), t, F.lit("\nNote 1 - Policies\n"), t, F.lit("\nNote 2 - Leases\n"), t).alias("text"))
 
 

@@ -8,7 +8,7 @@ from factweave.functions import money
 from factweave.functions import text as tx
 from factweave.operators import classify as cl
 from factweave.plans.catalog import query
-from factweave.session import load_tables
+from factweave.session import load_tables, spread
 
 
 def quote(s: str) -> str:
@@ -45,6 +45,7 @@ def any_word(column: str, words) -> str:
 SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM s WHERE length(s) > 20 GROUP BY doc_id""")
 def sentence_split(spark, sf_dir):
     (docs,) = load_tables(spark, sf_dir, "documents")
+    docs = spread(docs)
     parts = tx.sentences(F.col("text"))
     lengths = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, s: a + F.length(s))
     return docs.select("doc_id", F.size(parts).cast("bigint").alias("n_sentences"), lengths.alias("n_chars")).filter("n_sentences > 0")
@@ -63,7 +64,7 @@ SELECT conv_id, turn, len(list_distinct(terms)) AS n_terms, array_to_string(list
 def term_extraction(spark, sf_dir):
     (turns,) = load_tables(spark, sf_dir, "conversations")
     terms = tx.question_terms(F.col("text"))
-    return turns.select("conv_id", "turn", F.size(terms).cast("bigint").alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"))
+    return spread(turns).select("conv_id", "turn", F.size(terms).cast("bigint").alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"))
 
 
 NUM_SQL = r"""n AS (SELECT doc_id, unnest(list_concat(list_concat(list_concat(
@@ -77,7 +78,7 @@ v AS (SELECT doc_id, m, TRY_CAST(replace(regexp_extract(m, '[\d,]+(?:\.\d+)?'),
 @query(f"WITH {NUM_SQL} SELECT doc_id, m AS match, val AS value FROM v WHERE val IS NOT NULL")
 def number_extraction(spark, sf_dir):
     (docs,) = load_tables(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(money.numbers(F.col("text"))).alias("n")).select("doc_id", "n.match", "n.value")
+    return spread(docs).select("doc_id", F.explode(money.numbers(F.col("text"))).alias("n")).select("doc_id", "n.match", "n.value")
 
 
 @query(r"""WITH t AS (SELECT event_id, CASE event_type WHEN 'click' THEN printf('$%.2fM', value) WHEN 'view' THEN printf('%.2f billion', value)
@@ -152,7 +153,7 @@ QUESTION_SQL = """CASE o_orderkey % 9
 def questions(spark, sf_dir):
     """One question per order, worded from the order and its customer."""
     orders, customer = load_tables(spark, sf_dir, "orders", "customer")
-    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(orders).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     year = F.year("o_orderdate")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     seg, name, prio = F.col("c_mktsegment"), F.col("c_name"), F.col("o_orderpriority")
@@ -197,13 +198,13 @@ def _class_columns():
 
 @query(f"WITH {QUESTIONS_CTE}, {classified_sql('questions')} SELECT query_id, {CLASS_COLS} FROM classified")
 def question_classification(spark, sf_dir):
-    return cl.classify(questions(spark, sf_dir)).select("query_id", *_class_columns())
+    return cl.classify_shared(questions(spark, sf_dir)).select("query_id", *_class_columns())
 
 
 @query(f"WITH {classified_sql('conversations')} SELECT conv_id, turn, {CLASS_COLS} FROM classified")
 def turn_classification(spark, sf_dir):
     (turns,) = load_tables(spark, sf_dir, "conversations")
-    return cl.classify(turns).select("conv_id", "turn", *_class_columns())
+    return cl.classify(spread(turns)).select("conv_id", "turn", *_class_columns())
 
 
 @query(f"""WITH {QUESTIONS_CTE} SELECT query_id, coalesce(nullif(regexp_extract(text, '(?i)FY\\s*(\\d{{4}})', 1), ''),
@@ -238,7 +239,7 @@ CLAIM_TEXT_SQL = """CASE WHEN o_orderkey % 3 = 0 THEN 'Total ' || lower(c_mktseg
 def claim_texts(spark, sf_dir):
     """One short statement per order with direction and value claims."""
     orders, customer = load_tables(spark, sf_dir, "orders", "customer")
-    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(orders).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     seg = F.lower("c_mktsegment")
     opening = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Total "), seg, F.lit(" rose while net sales fell. "))).otherwise(
         F.concat(seg, F.lit(" margin declined. ")))
