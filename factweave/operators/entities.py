@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.containment import containment_join
 from factweave.operators.dedupe import dedupe_directed, edge_columns
+from factweave.operators.numbering import number_rows
 
 NAME = "entity"
 
@@ -36,8 +37,7 @@ def canonical_entities(mentions: DataFrame) -> DataFrame:
     """Entity nodes from mentions ``node_id, input_pos, ordinal, name, type, filing_id, period``.
 
     One entity per (lower-case name, type), worded and placed as first mentioned.
-    Ids number the entities of a type by first appearance; the number is a count
-    of earlier first appearances, computed over ranges rather than in one task.
+    Ids number the entities by first appearance.
     """
     first = (
         clean_mentions(mentions)
@@ -45,7 +45,7 @@ def canonical_entities(mentions: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("input_pos", "ordinal", "name", "filing_id", "period")).alias("f"))
         .select("key", "type", "f.*")
     )
-    numbered = _numbered(first, ["input_pos", "ordinal", "key", "type"])
+    numbered = number_rows(first, ["input_pos", "ordinal", "key", "type"])
     return numbered.select(
         F.format_string("ENTITY_%s_%04d", "type", "number").alias("id"), "key", F.lit("ENTITY").alias("node_type"),
         F.concat("name", F.lit(" ("), "type", F.lit(")")).alias("text"), F.col("type").alias("entity_type"), "filing_id", "period",
@@ -60,20 +60,6 @@ def clean_mentions(mentions: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Global row number: range partitions numbered locally, offsets from per-partition counts."""
-    placed = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    from factweave.session import cut_lineage
-
-    placed = cut_lineage(placed)
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn(
-        "offset", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_p", "offset")
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return placed.withColumn("_l", local).join(before, "_p").withColumn("number", F.col("_l") + F.col("offset")).drop("_p", "_l", "offset")
-
-
 def extracted_edges(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """MENTIONS_ENTITY edges of extracted mentions; ``mentions`` also carries ``context``."""
     keyed = clean_mentions(mentions).withColumn("key", F.lower("name"))

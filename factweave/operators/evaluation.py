@@ -14,7 +14,7 @@ KEY = ["source_id", "target_id", "edge_type"]
 # Thresholds of a sweep, calibration bins, and the F1 each expert should reach.
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 BINS = 10
-SAMPLE_SLICES = 8
+SAMPLE_SLICE = 50_000
 F1_FLOORS = {"cross_reference": 0.82, "causal": 0.72, "temporal": 0.87, "table_text": 0.80, "semantic": 0.70}
 
 
@@ -104,9 +104,10 @@ def sample_pairs(nodes: DataFrame, n: int = 100, same_filing_ratio: float = 0.8,
     """``n`` candidate pairs for labelling, a share of them inside one filing: ``source_id, target_id, same_filing``.
 
     Each node is paired with the one a seeded hash places next to it, inside its
-    filing or anywhere. Slices bound every window, and top-k keeps ``n`` pairs.
+    filing or anywhere. Slices of about ``SAMPLE_SLICE`` nodes bound every window,
+    and top-k keeps ``n`` pairs.
     """
-    slices = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SAMPLE_SLICES))
+    slices = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(nodes.count() // SAMPLE_SLICE + 1))
     keyed = nodes.select("id", "filing_id", slices.alias("s"), F.xxhash64("id", F.lit(seed + 1)).alias("k"))
 
     def paired(window, same: bool) -> DataFrame:

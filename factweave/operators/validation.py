@@ -178,6 +178,49 @@ def discrepancies(a: DataFrame, b: DataFrame) -> DataFrame:
         "id", "kind", "metric", "severity")
 
 
+# Words that tie two figures to one subject; two shared words suffice.
+CONTEXT_WORDS = ("revenue", "sales", "income", "profit", "margin", "fy202", "2023", "2022")
+
+
+def figures_in_context(answers: DataFrame) -> DataFrame:
+    """``id, figure, context``: every figure with 50 characters before and 30 after it."""
+    pattern = r"\$?[\d,.]*\d[\d,.]*\s*(?:[BbMm](?:illion)?)?"
+    text = F.col("answer")
+    gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = answers.withColumns({"_g": gaps, "_m": found}).select("id", "answer", "_g", "_m", F.posexplode("_m").alias("i", "m"))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, s: a + F.length(s))
+    start = length(F.slice("_g", F.lit(1), F.col("i") + 1)) + length(F.slice("_m", F.lit(1), F.col("i")))
+    first = F.greatest(F.lit(0), start - 50)
+    context = F.lower(F.substring(text, first + 1, start - first + F.length("m") + 30))
+    digits = F.regexp_replace(F.regexp_extract("m", r"[\d,.]*\d", 0), ",", "").try_cast("double")
+    unit = F.lower(F.regexp_extract("m", r"([BbMm])(?:illion)?$", 1))
+    figure = digits * F.when(unit == "b", 1e9).when(unit == "m", 1e6).otherwise(1.0)
+    return rows.select("id", figure.alias("figure"), context.alias("context")).filter(F.col("figure") > 0)
+
+
+def context_discrepancies(a: DataFrame, b: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Figures of two answers with the same id whose contexts share two words but whose values differ.
+
+    Each figure is listed under its pairs of context words, and figures meet on a pair.
+    """
+    words = F.array_compact(F.array(*[F.when(F.contains("context", F.lit(w)), F.lit(w)) for w in CONTEXT_WORDS]))
+    pairs = F.flatten(F.transform("w", lambda x: F.transform(F.filter("w", lambda y: y > x), lambda y: F.concat_ws("|", x, y))))
+    side = lambda df, n: figures_in_context(df).withColumn("w", words).select("id", F.col("figure").alias(n), F.explode(pairs).alias("pair"))
+    met = side(a, "figure_a").join(side(b, "figure_b"), ["id", "pair"]).select("id", "figure_a", "figure_b").distinct()
+    gap = F.abs(F.col("figure_a") - F.col("figure_b")) / F.greatest("figure_a", "figure_b")
+    return met.filter(gap > tolerance)
+
+
+def check_against_facts(answers: DataFrame, truth: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Typed claims an answer makes against ``id, metric, direction, amount``: ``id, kind, metric, is_valid``."""
+    known = truth.select("id", "metric", F.lower("direction").alias("dt"), F.col("amount").cast("double").alias("vt"))
+    joined = typed_claims(answers).join(known, ["id", "metric"])
+    value = F.col("amount").cast("double")
+    near = F.when(F.col("vt") != 0, F.abs(value - F.col("vt")) / F.abs(F.col("vt")) <= tolerance)
+    valid = F.when(F.col("kind") == "direction", F.col("direction") == F.col("dt")).otherwise(near)
+    return joined.filter(valid.isNotNull()).select("id", "kind", "metric", valid.alias("is_valid"))
+
+
 def trust_score(found: DataFrame) -> DataFrame:
     """``id, trust``: 1 less a cost per discrepancy, not below 0."""
     cost = F.coalesce(*[F.when(F.col("severity") == s, F.lit(c)) for s, c in TRUST_COST.items()])

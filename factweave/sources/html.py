@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.operators.numbering import number_rows
+
 # Section headings.
 SECTION_PATTERNS = (
     ("Item 1", r"Item\s*1[.\s]+Business"), ("Item 1A", r"Item\s*1A[.\s]+Risk\s*Factors"),
@@ -209,8 +211,7 @@ def filing_nodes(pages: DataFrame) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
 
     def shape(df: DataFrame, kind: str, order: list[str], **cols: Column) -> DataFrame:
-        w = Window.partitionBy("filing_id").orderBy("doc_id", *order)
-        placed = df.join(about, "doc_id").withColumn("n", F.row_number().over(w))
+        placed = number_rows(df.join(about, "doc_id"), ["doc_id", *order], by=["filing_id"], name="n")
         base = {"section": none("string"), "value": none("double"), "char_offset": none("int"), "table_id": none("string"),
                 "row_index": none("int"), "note_number": none("int"), **cols}
         return placed.select(node_id(F.col("filing_id"), kind, F.col("n")).alias("id"), F.lit(kind).alias("type"), "text", "filing_id", "period",
