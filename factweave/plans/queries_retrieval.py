@@ -37,12 +37,12 @@ def dynamic_search(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {GRAPH}, q AS (SELECT 'q' || s_suppkey AS query_id, 'TR:' || o.o_orderkey id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN o ON o.o_orderkey = l_orderkey WHERE l_linenumber = 1),
+@query(f"""WITH {GRAPH}, q AS (SELECT DISTINCT 'q' || l_suppkey AS query_id, 'TR:' || o.o_orderkey id FROM lineitem JOIN o ON o.o_orderkey = l_orderkey),
 l AS (SELECT q.query_id, e.target_id id, max(confidence) c FROM q JOIN edges e ON e.source_id = q.id WHERE edge_type = 'EXPLAINS_LINE_ITEM' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) rank FROM l) SELECT query_id, id, c AS confidence FROM r WHERE rank <= 10""")
 def related_lines(spark, sf_dir):
     (lines,) = load_tables(spark, sf_dir, "lineitem")
-    seeds = lines.filter("l_linenumber = 1").select(
+    seeds = lines.select(
         F.concat(F.lit("q"), F.col("l_suppkey").cast("string")).alias("query_id"), F.concat(F.lit("TR:"), F.col("l_orderkey").cast("string")).alias("id")).distinct()
     return rt.related_lines(seeds, gv.nodes(spark, sf_dir), gv.edges(spark, sf_dir)).select("query_id", "id", "confidence")
 
