@@ -34,8 +34,8 @@ def op2_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), places AS (
   SELECT doc_id, i, list_aggregate(words[i : i + 4], 'string_agg', ' ') AS gram
@@ -47,7 +47,7 @@ WITH d AS (
   FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS step FROM found) GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
-         len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), w -> w <> '')) AS n_words
+         len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_words
   FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM d)
 ), hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source
 ), frequent AS (
