@@ -13,7 +13,7 @@ def _fingerprint(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` with the smallest id of each component as its name.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every
@@ -33,14 +33,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     )
     pairs = cut_lineage(pairs)
     seen = _fingerprint(pairs)
-    for _ in range(max_rounds):
+    while True:
         pairs = cut_lineage(_small_star(_large_star(pairs)))
         now = _fingerprint(pairs)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return ids.join(pairs.withColumnsRenamed({"u": "id", "v": "component"}), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
