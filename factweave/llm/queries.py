@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import chat_formatting, multi_index, quality_rules, sharding, simhash, warc
+from factweave.llm import chat_formatting, multi_index, quality_rules, sharding, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op3_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_documents(table(spark, sf_dir, "documents"))
