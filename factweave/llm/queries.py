@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import chat_formatting, multi_index, quality_rules, sharding, simhash, suffix_dedup, warc
+from factweave.llm import chat_formatting, multi_index, packing, pair_index_bpe, quality_rules, sharding, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,13 @@ def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_index_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
