@@ -120,10 +120,11 @@ def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LI
 
 
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
-    """The kept documents without their frequent lines; ``n_chars`` follows the text."""
+    """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text."""
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", _line_key(x))), "\n")
-    judged = judge(docs, **limits).filter("kept")
-    texts = judged.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left))
+    whole = F.col("removed").isNull()
+    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), **limits).filter("kept")
+    new = {"text": F.when(whole, F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
-        texts = texts.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return texts.select(docs.columns)
+        new["n_chars"] = F.when(whole, F.col("whole_row.n_chars")).otherwise(F.char_length(left).cast(docs.schema["n_chars"].dataType))
+    return judged.select(*(new.get(c, F.col(f"whole_row.`{c}`")).alias(c) for c in docs.columns))

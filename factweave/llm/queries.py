@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import chat_formatting, multi_index, packing, pair_index_bpe, quality_rules, sharding, simhash, suffix_dedup, warc
+from factweave.llm import chat_formatting, language_id, multi_index, packing, pair_index_bpe, quality_rules, sharding, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_index_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op4_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
