@@ -77,8 +77,11 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(WINDOW), p - a["last"])).alias("total")),
         lambda a: a["total"],
     )
+    # Adds zero. A column that isn't deterministic keeps filters above this point: pushed further down, they would
+    # work out the word arrays anew inside each lambda call.
+    zero = F.least(F.monotonically_increasing_id(), F.lit(0))
     return spots.select(
-        "row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")
+        "row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", (F.coalesce(covered, F.lit(0)) + zero).cast("long").alias("n_repeat_words")
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
