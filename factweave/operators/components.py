@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.operators.similarity import BLOCK_ROWS, similarity_join
+from factweave.operators.similarity import similarity_join
 from factweave.session import cut_lineage
 
 
@@ -70,70 +70,64 @@ def bridge_edges(
     vectors: DataFrame,
     *,
     bridge_threshold: float = 0.70,
-    sample: int = 50,
+    sample: int | None = None,
     positive_only: bool = False,
-    levels: tuple[float, ...] = (0.9, 0.7, 0.5, 0.0, -1.0),
 ) -> DataFrame:
     """BRIDGE edges that join all components that hold a vector.
 
-    A component is represented by its first ``sample`` embedded nodes by id.
+    A component is represented by all its embedded nodes, or by the first ``sample`` of them by id.
     Repeatedly taking the best pair between components builds a maximum spanning
     tree, so each round lets every component pick its best partner at once.
-    Similarity levels go down step by step: most components merge at a high
-    level, where the join prunes, and only the rest is compared further.
     ``positive_only`` never bridges across a non-positive cosine. Result:
     ``source_id, target_id, sim, confidence, forced``.
     """
     comp = connected_components(nodes, edges)
     first = Window.partitionBy("component").orderBy("id")
+    held = comp.join(vectors.select("id", "vec"), "id")
+    if sample is not None:
+        held = held.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= sample)
     reps = cut_lineage(
-        comp.join(vectors.select("id", "vec"), "id")
-        .withColumn("_r", F.row_number().over(first))
-        .filter(F.col("_r") <= sample)
-        .select("id", "component", F.col("id").alias("pos"), "vec")
+        held.select("id", "component", F.col("id").alias("pos"), "vec")
     )
     labels = cut_lineage(reps.select(F.col("component").alias("base")).distinct().withColumn("component", F.col("base")))
     spark = nodes.sparkSession
     found = spark.createDataFrame([], "source_id string, target_id string, sim double")
     differs = lambda l, r: l["comp"] != r["comp"]
-    if positive_only:
-        levels = tuple(x for x in levels if x >= 0)
-    if reps.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
-        levels = levels[-1:]  # one block holds everything: nothing to prune
-    for level in levels:
-        while labels.select("component").distinct().limit(2).count() > 1:
-            tagged = reps.withColumnRenamed("component", "base").join(labels, "base").select(
-                "id", "pos", "vec", F.col("component").alias("comp")
-            )
-            pairs = similarity_join(
-                tagged, tagged, threshold=level, keep="best", n=1, where=differs, strict=positive_only and level == 0.0,
-                collapse_copies=True,
-            )
-            named = pairs.join(tagged.select(F.col("id").alias("left_id"), F.col("comp").alias("lc")), "left_id").join(
-                tagged.select(F.col("id").alias("right_id"), F.col("comp").alias("rc")), "right_id"
-            )
-            a, b = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
-            named = named.select("lc", "rc", a.alias("a"), b.alias("b"), "sim")
-            # One total order of edges for all components, so their picks form no cycle.
-            order = F.struct(-F.col("sim"), F.col("a"), F.col("b"))
-            best = cut_lineage(
-                named.groupBy("lc").agg(F.min_by(F.struct("rc", "a", "b", "sim"), order).alias("p"))
-                .select("lc", "p.*")
-            )
-            if best.isEmpty():
-                break
-            found = cut_lineage(
-                found.unionByName(
-                    best.groupBy("a", "b").agg(F.first("sim").alias("sim")).select(
-                        F.col("a").alias("source_id"), F.col("b").alias("target_id"), "sim"
-                    )
+    level = 0.0 if positive_only else -1.0
+    while labels.select("component").distinct().limit(2).count() > 1:
+        tagged = reps.withColumnRenamed("component", "base").join(labels, "base").select(
+            "id", "pos", "vec", F.col("component").alias("comp")
+        )
+        pairs = similarity_join(
+            tagged, tagged, threshold=level, keep="best", n=1, where=differs, strict=positive_only,
+            collapse_copies=True,
+        )
+        named = pairs.join(tagged.select(F.col("id").alias("left_id"), F.col("comp").alias("lc")), "left_id").join(
+            tagged.select(F.col("id").alias("right_id"), F.col("comp").alias("rc")), "right_id"
+        )
+        a, b = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
+        # Rounded: both directions of a pair must score alike to the last bit.
+        named = named.select("lc", "rc", a.alias("a"), b.alias("b"), F.round("sim", 12).alias("sim"))
+        # One total order of edges for all components, so their picks form no cycle.
+        order = F.struct(-F.col("sim"), F.col("a"), F.col("b"))
+        best = cut_lineage(
+            named.groupBy("lc").agg(F.min_by(F.struct("rc", "a", "b", "sim"), order).alias("p"))
+            .select("lc", "p.*")
+        )
+        if best.isEmpty():
+            break
+        found = cut_lineage(
+            found.unionByName(
+                best.groupBy("a", "b").agg(F.first("sim").alias("sim")).select(
+                    F.col("a").alias("source_id"), F.col("b").alias("target_id"), "sim"
                 )
             )
-            merged = connected_components(
-                labels.select(F.col("component").alias("id")).distinct(),
-                best.select(F.col("lc").alias("source_id"), F.col("rc").alias("target_id")),
-            ).select(F.col("id").alias("component"), F.col("component").alias("merged"))
-            labels = cut_lineage(labels.join(merged, "component").select("base", F.col("merged").alias("component")))
+        )
+        merged = connected_components(
+            labels.select(F.col("component").alias("id")).distinct(),
+            best.select(F.col("lc").alias("source_id"), F.col("rc").alias("target_id")),
+        ).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+        labels = cut_lineage(labels.join(merged, "component").select("base", F.col("merged").alias("component")))
     weak = F.col("sim") < bridge_threshold
     return found.select(
         "source_id", "target_id", "sim",

@@ -1,79 +1,52 @@
 """Which texts contain which names, without comparing every text with every name.
 
-A small dictionary (checked by rows and bytes) is turned into one Aho-Corasick
-automaton that every task scans its texts with. A larger one goes through
-q-grams: a text can hold a name only if it holds the name's first ``q``
-characters, so names and texts meet in an equi-join on that gram and the hit is
-verified. Both ways give the same rows.
+A text can hold a name only if it holds each of the name's grams of ``q`` characters. The texts are
+counted once for all grams of all names, and each name is anchored on the gram that the fewest texts
+hold; names with a gram that no text holds are done. Texts and names then meet in an equi-join on the
+anchor, and the hit is verified. A name shorter than ``q`` is its own gram.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from factweave.operators.similarity import arrow_schema
+BLOCK_CHARS = 512
+#: Names of one anchor are dealt over so many keys, so that no frequent anchor stays in one task.
+SALTS = 16
 
-SMALL_ROWS = 200_000
-SMALL_CHARS = 4_000_000
 
+def _grams(text: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
 
-def containment_join(texts: DataFrame, names: DataFrame, q: int = 8, force_grams: bool = False) -> DataFrame:
-    """``text_id, name_id`` for every text (``text_id, text``) that contains a name (``name_id, name``)."""
-    names = names.filter(F.length("name") > 0).select("name_id", "name")
-    if not force_grams:
-        probe = names.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("name")).alias("c")).first()
-        if probe["n"] <= SMALL_ROWS and (probe["c"] or 0) <= SMALL_CHARS:
-            return _scan(texts, names)
-    return _gram_join(texts, names, q)
-
-
-def _scan(texts: DataFrame, names: DataFrame) -> DataFrame:
-    entries: dict[str, list] = {}
-    for row in names.collect():  # bounded by the probe above
-        entries.setdefault(row["name"], []).append(row["name_id"])
-    schema = T.StructType([T.StructField("text_id", texts.schema["text_id"].dataType),
-                           T.StructField("name_id", names.schema["name_id"].dataType)])
-    shared = texts.sparkSession.sparkContext.broadcast(entries)
 
-    def find(batches):
-        import ahocorasick
+def _text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """``text_id, gram``: the grams of each text, cut from overlapping blocks so that a long text costs no more per character."""
+    longest = max(sizes)
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK_CHARS).cast("int")), lambda b: b * BLOCK_CHARS + 1)
+    blocks = texts.filter(F.length("text") > 0).select("text_id", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(BLOCK_CHARS + longest - 1)))).alias("block"))
+    every = F.flatten(F.array(*[F.when(F.length("block") >= n, _grams(F.col("block"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    return blocks.select("text_id", F.explode(every).alias("gram"))
 
-        automaton = ahocorasick.Automaton()
-        for name in shared.value:
-            automaton.add_word(name, name)
-        if shared.value:
-            automaton.make_automaton()
-        for batch in batches:
-            ids, found = [], []
-            if shared.value:
-                for text_id, text in zip(batch["text_id"].to_pylist(), batch["text"].to_pylist()):
-                    hits = {name for _, name in automaton.iter(text)} if text else ()
-                    for name in hits:
-                        for name_id in shared.value[name]:
-                            ids.append(text_id)
-                            found.append(name_id)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow[0].type), pa.array(found, arrow[1].type)], schema=arrow)
 
-    arrow = arrow_schema(schema)
-    return texts.select("text_id", "text").mapInArrow(find, schema)
+def containment_join(texts: DataFrame, names: DataFrame, q: int = 8) -> DataFrame:
+    """``text_id, name_id`` for every text (``text_id, text``) that contains a name (``name_id, name``).
 
-
-def _gram_join(texts: DataFrame, names: DataFrame, q: int) -> DataFrame:
-    """Grams of length ``q`` for long names; shorter names meet on grams of their own length."""
-    keyed = names.withColumn("gram", F.substring("name", 1, q))
-    lengths = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # at most q values
-    out = None
-    for n in lengths:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n))))
-        pieces = texts.filter(F.length("text") >= n).select("text_id", F.explode(grams).alias("gram"))
-        anchors = keyed.filter(F.length("gram") == n)
-        # Only grams that start some name travel on; then the text is fetched once to verify.
-        met = pieces.join(anchors, "gram").select("text_id", "name_id", "name")
-        hits = met.join(texts.select("text_id", "text"), "text_id").filter(F.contains("text", F.col("name"))).select("text_id", "name_id")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
+    Empty names and null names or texts match nothing.
+    """
+    names = names.filter(F.length("name") > 0).select("name_id", "name")
+    size = F.least(F.lit(q), F.length("name"))
+    sizes = sorted(r[0] for r in names.select(size).distinct().collect())  # at most q values
+    if not sizes:
         return texts.select("text_id").join(names.select("name_id"), F.lit(False))
-    return out
+    candidates = names.select("name_id", "name", F.explode(_grams(F.col("name"), size)).alias("gram"))
+    held = _text_grams(texts, sizes)
+    # Frequent grams are summed on the map side.
+    counts = held.join(candidates.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = candidates.join(counts, "gram", "left").groupBy("name_id", "name").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
+    anchors = rarest.filter("a.n > 0").select("name_id", "name", F.col("a.gram").alias("gram"), F.pmod(F.xxhash64("name_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    # Only grams that anchor a name travel on, once for each salt its names have.
+    wanted = anchors.select("gram", "salt").distinct()
+    met = held.join(wanted, "gram").join(anchors, ["gram", "salt"]).select("text_id", "name_id", "name").distinct()
+    return met.join(texts.select("text_id", "text"), "text_id").filter(F.contains("text", F.col("name"))).select("text_id", "name_id")

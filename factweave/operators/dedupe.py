@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def edge_columns(source: Column, target: Column, edge_type: Column | str, confidence: Column, expert: str,
                  evidence: Column, algorithm: str | Column, pos: Column, extra: Column | None = None) -> list[Column]:
-    """The full edge row: clamped confidence, evidence cut to 500 characters, id from its parts."""
+    """The full edge row: clamped confidence, whole evidence, id from its parts."""
     kind = F.lit(edge_type) if isinstance(edge_type, str) else edge_type
     algo = F.lit(algorithm) if isinstance(algorithm, str) else algorithm
     return [
@@ -18,7 +18,7 @@ def edge_columns(source: Column, target: Column, edge_type: Column | str, confid
         kind.alias("edge_type"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence.cast("double"))).alias("confidence"),
         F.lit(expert).alias("expert"),
-        F.substring(F.coalesce(evidence, F.lit("")), 1, 500).alias("evidence"),
+        F.coalesce(evidence, F.lit("")).alias("evidence"),
         algo.alias("algorithm"),
         F.lit(False).alias("forced"),
         (extra if extra is not None else F.lit(None).cast("map<string,string>")).alias("extra"),

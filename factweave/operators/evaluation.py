@@ -126,8 +126,8 @@ def sample_pairs(nodes: DataFrame, n: int = 100, same_filing_ratio: float = 0.8,
 
 
 def annotation_template(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs with both texts (first 500 characters) and an empty label."""
-    side = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.substring("text", 1, 500).alias(f"{p}_text"))
+    """Pairs with both texts and an empty label."""
+    side = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.col("text").alias(f"{p}_text"))
     return pairs.join(side("source"), "source_id").join(side("target"), "target_id").withColumn("label", F.lit(None).cast("boolean"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,27 +48,27 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int =
     return nodes.join(within, "id"), touched.distinct()
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 50) -> DataFrame | None:
-    """Undirected shortest path as ``step, id``; None when the target is out of reach.
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame | None:
+    """Undirected shortest path as ``step, id``; None when the target is out of reach (or beyond ``max_hops``, if given).
 
     A node keeps the level it was first seen on and its smallest parent; the path
     is then read back one level at a time.
     """
     spark = edges.sparkSession
     step = endpoints(edges)
-    known = cut_lineage(spark.createDataFrame([(source, None, 0)], "id string, parent string, hop int"))
-    levels = [known]
-    for hop in range(1, max_hops + 1):
+    levels = [cut_lineage(spark.createDataFrame([(source, None, 0)], "id string, parent string, hop int"))]
+    for hop in count(1):
         if not levels[-1].filter(F.col("id") == target).isEmpty():
             break
+        if max_hops is not None and hop > max_hops:
+            return None
         reached = levels[-1].select("id").join(step, "id").groupBy(F.col("other").alias("id")).agg(F.min("id").alias("parent"))
-        level = cut_lineage(reached.join(known, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        # What is next to a level lies on it, on the one before or on the next: older levels need no look.
+        near = levels[-1].select("id") if hop == 1 else levels[-1].select("id").unionByName(levels[-2].select("id"))
+        level = cut_lineage(reached.join(near, "id", "left_anti").withColumn("hop", F.lit(hop)))
         if level.isEmpty():
             return None
-        known = known.unionByName(level)
         levels.append(level)
-    if levels[-1].filter(F.col("id") == target).isEmpty():
-        return None
     trail, at = [target], target
     for level in reversed(levels[1:]):
         at = level.filter(F.col("id") == at).first()["parent"]

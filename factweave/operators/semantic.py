@@ -11,11 +11,10 @@ from factweave.operators.similarity import similarity_join
 
 NAME = "semantic"
 
-# Similarity floor, edges per node, offset gap of neighbouring passages, sample per filing and type.
+# Similarity floor, edges per node, offset gap of neighbouring passages.
 FLOOR = 0.85
 MAX_PER_NODE = 5
 NEAR_OFFSET = 1000
-SAMPLE = 50
 
 
 def _near_passage(l: dict, r: dict) -> np.ndarray:
@@ -41,17 +40,23 @@ def within_filing(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, pe
 
 
 def _later_filing(l: dict, r: dict) -> np.ndarray:
-    both_sampled = (l["place"] <= r["size"]) & (r["place"] <= l["size"])
-    return (r["filing"].astype(str) > l["filing"].astype(str)) & both_sampled
+    return r["filing"].astype(str) > l["filing"].astype(str)
 
 
-def across_filings(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, sample: int = SAMPLE) -> DataFrame:
+def _later_sampled(l: dict, r: dict) -> np.ndarray:
+    return _later_filing(l, r) & (l["place"] <= r["size"]) & (r["place"] <= l["size"])
+
+
+def across_filings(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, sample: int | None = None) -> DataFrame:
     """For each node the best match of its type in every later filing: ``left_id, right_id, sim``.
 
-    A pair of filings compares the first ``min(sample, n1, n2)`` nodes of each.
+    With ``sample``, a pair of filings compares only the first ``min(sample, n1, n2)`` nodes of each.
     """
-    per = Window.partitionBy("filing_id", "type").orderBy("input_pos", "id")
     kept = nodes.select("id", "type", "filing_id", "input_pos").join(vectors.select("id", "vec"), "id")
+    if sample is None:
+        rows = kept.select("id", F.col("input_pos").alias("pos"), "type", F.col("filing_id").alias("filing"), "vec")
+        return similarity_join(rows, rows, threshold=floor, key=("type",), keep="best", n=1, per="filing", where=_later_filing).filter(F.col("sim") > 0)
+    per = Window.partitionBy("filing_id", "type").orderBy("input_pos", "id")
     sizes = kept.groupBy("filing_id", "type").agg(F.count(F.lit(1)).cast("int").alias("size"))
     rows = (
         kept.withColumn("place", F.row_number().over(per)).filter(F.col("place") <= sample)
@@ -59,7 +64,7 @@ def across_filings(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, s
         .select("id", F.col("input_pos").alias("pos"), "type", "place", "size", F.col("filing_id").alias("filing"), "vec")
     )
     best = similarity_join(
-        rows, rows, threshold=floor, key=("type",), keep="best", n=1, per="filing", where=_later_filing
+        rows, rows, threshold=floor, key=("type",), keep="best", n=1, per="filing", where=_later_sampled
     )
     return best.filter(F.col("sim") > 0)
 

@@ -4,17 +4,10 @@ Vectors meet in bounded blocks: both sides are cut into blocks of about
 ``block_rows`` rows, every pair of blocks becomes one cogroup, and numpy scores
 it. A hot key therefore spreads over many tasks, and only pairs that pass the
 threshold (or the per-row best ones) ever leave a task.
-
-Above ``PIVOT_MIN_THRESHOLD`` a large input is first routed through pivots. A
-left vector lives in the cell of its nearest pivot; a right vector is copied to
-every cell whose pivot is at most ``2 * acos(threshold)`` further away than its
-own nearest one. By the triangle inequality on angles no qualifying pair is
-lost, and clustered data meets only inside its own cells.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -24,8 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 2048
-PIVOT_MIN_THRESHOLD = 0.7
-MAX_PIVOTS = 256
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -39,36 +30,6 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
-def _choose_pivots(df: DataFrame, count: int) -> np.ndarray:
-    """At most MAX_PIVOTS vectors reach the driver, picked by hash so reruns agree."""
-    rows = df.orderBy(F.xxhash64("id"), "id").limit(min(count, MAX_PIVOTS)).select("vec").collect()
-    matrix = np.array([r["vec"] for r in rows], dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(lengths == 0, 1.0, lengths)
-
-
-def _route(df: DataFrame, pivots: np.ndarray, slack: float | None) -> DataFrame:
-    """Add ``cell``: the home cell, or with ``slack`` every cell within reach (one row each)."""
-    schema = T.StructType(df.schema.fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
-
-    def assign(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch])
-            angles = np.arccos(np.clip(_unit_rows(table["vec"]) @ pivots.T, -1.0, 1.0))
-            home = angles.argmin(axis=1)
-            if slack is None:
-                cells = [[int(c)] for c in home]
-            else:
-                reach = angles.min(axis=1) + slack + 1e-9
-                cells = [np.flatnonzero(a <= r).astype(np.int32).tolist() for a, r in zip(angles, reach)]
-            yield from table.append_column("cells", pa.array(cells, pa.list_(pa.int32()))).to_batches()
-
-    routed = df.mapInArrow(assign, schema)
-    return routed.withColumn("cell", F.explode("cells")).drop("cells")
-
-
 def similarity_join(
     left: DataFrame,
     right: DataFrame,
@@ -83,7 +44,6 @@ def similarity_join(
     strict: bool = False,
     collapse_copies: bool = False,
     block_rows: int = BLOCK_ROWS,
-    pivots: int | None = None,
 ) -> DataFrame:
     """Pairs of rows with equal ``key`` and cosine at or above ``threshold``.
 
@@ -107,21 +67,7 @@ def similarity_join(
             .agg(F.min(F.struct("pos", "id")).alias("first"))
             .select("first.id", "first.pos", *same)
         )
-    cells: list[str] = []
-    if pivots is None:
-        pivots = 0
-        if threshold >= PIVOT_MIN_THRESHOLD:
-            # A bounded probe first: small inputs skip the full count.
-            large = right.limit(16 * block_rows + 1).count() > 16 * block_rows
-            pivots = min(MAX_PIVOTS, right.count() // (4 * block_rows)) if large else 0
-    if pivots and threshold > 0:
-        centres = _choose_pivots(right, pivots)
-        if len(centres):
-            left = _route(left, centres, None)
-            right = _route(right, centres, 2 * math.acos(min(1.0, threshold)))
-            cells = ["cell"]
-
-    group = [*key, *cells]
+    group = key
     blocks = lambda n: F.ceil(n / block_rows).cast("int")
     if group:
         sizes = (

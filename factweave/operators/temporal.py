@@ -103,16 +103,16 @@ def link_by_similarity(nodes: DataFrame, vectors: DataFrame, floor: float = MATC
     return _edges(best, F.col("sim"), F.format_string("Embedding similarity: %.3f", "sim"), "embedding_similarity", 4)
 
 
-def review_candidates(nodes: DataFrame, vectors: DataFrame, floor: float = 0.6, first: int = 20, top: int = 10) -> DataFrame:
-    """Pairs offered to an external reviewer: the first rows of consecutive periods, best pairs first.
+def review_candidates(nodes: DataFrame, vectors: DataFrame, floor: float = 0.6, first: int | None = None, top: int = 10) -> DataFrame:
+    """Pairs offered to an external reviewer: rows of consecutive periods, best pairs first.
 
-    ``rank, left_id, right_id, sim``; a reviewer's verdict is averaged with ``sim``.
+    ``rank, left_id, right_id, sim``; a reviewer's verdict is averaged with ``sim``. ``first`` limits each period to its first rows.
     """
     rows = nodes.filter(F.col("type").isin("TEXT_SECTION", "NOTE")).withColumn("_p", sortable_period(F.col("period")))
     order = Window.partitionBy(F.lit(0)).orderBy("_p", "period")
     ranks = rows.select("period", "_p").distinct().withColumn("rank", F.row_number().over(order)).drop("_p")
     early = Window.partitionBy("period").orderBy("input_pos", "id")
-    head = rows.withColumn("_r", F.row_number().over(early)).filter(F.col("_r") <= first).drop("_r")
+    head = rows if first is None else rows.withColumn("_r", F.row_number().over(early)).filter(F.col("_r") <= first).drop("_r")
     placed = head.join(ranks, "period").join(vectors.select("id", "vec"), "id").select(
         "id", F.col("input_pos").alias("pos"), "rank", "vec"
     )

@@ -1,23 +1,16 @@
 """Scored multi-hop expansion from seeds, for any number of questions at once.
 
-``expand`` is the distributed operator: one join per hop for all questions, with
-the walk's own history as context. ``expand_best_first`` replays the best-first
-order with one history per question; it is exact to the pop order and therefore
-sequential inside a question, so it first gathers the part of the graph a
-question can reach at all and refuses a question whose part exceeds a bound.
+``expand`` takes one join per hop for all questions, with the walk's own history as context;
+``expand_by_confidence`` settles the best products of confidences.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factweave.functions import scores as sc
 from factweave.functions.vectors import cosine
@@ -131,170 +124,14 @@ def expand(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
     return known.drop("chain", "run", "run_domain", "walked", "trail")
 
 
-def reachable(seeds: DataFrame, leaving: DataFrame, hops: int) -> DataFrame:
-    """``query_id, source_id, ...`` edges any walk from the seeds could use."""
-    known = frontier = cut_lineage(seeds.select("query_id", F.col("id").alias("source_id")).distinct())
-    for _ in range(1, hops):
-        reached = frontier.join(leaving, "source_id").select("query_id", F.col("target_id").alias("source_id")).distinct()
-        frontier = cut_lineage(reached.join(known, ["query_id", "source_id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known.join(leaving, "source_id")
-
-
-WALK_RESULT = T.StructType(
-    [
-        T.StructField("query_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("visit", T.IntegerType()),
-        T.StructField("hop", T.IntegerType()), T.StructField("path_confidence", T.DoubleType()),
-        T.StructField("from_id", T.StringType()), T.StructField("edge_type", T.StringType()),
-    ]
-)
-
-
-def expand_best_first(questions: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, walk: Walk,
-                      other: DataFrame | None = None, max_edges: int = 200_000) -> DataFrame:
-    """Exact best-first expansion: the highest-scored open edge of a question is always walked next.
-
-    Inputs as for ``expand`` with string ``query_id``; ``seeds`` also has ``rank``.
-    Result: ``query_id, id, visit, hop, path_confidence, from_id, edge_type``.
-    """
-    leaving = cut_lineage(_leaving(edges, walk))
-    ego = cut_lineage(reachable(seeds, leaving, walk.hops))
-    largest = ego.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_edges:
-        raise ValueError(f"a question reaches {largest} edges, more than {max_edges}; use expand() for it")
-    # Seeds and edges travel in one table: seeds are edges without a source.
-    rows = ego.select("query_id", "source_id", "target_id", "edge_type", "confidence", "place", "fanout").unionByName(
-        seeds.select("query_id", F.lit(None).cast("string").alias("source_id"), F.col("id").alias("target_id"),
-                     F.lit(None).cast("string").alias("edge_type"), F.lit(1.0).alias("confidence"), F.col("rank").cast("int").alias("place"),
-                     F.lit(0).cast("long").alias("fanout"))
-    )
-    info = nodes.select(F.col("id").alias("target_id"), "type").join(
-        vectors.select(F.col("id").alias("target_id"), "vec"), "target_id", "left"
-    )
-    rows = rows.join(info, "target_id").join(questions.select("query_id", F.col("vec").alias("query_vec")), "query_id")
-    if other is not None:
-        rows = rows.join(other.select("query_id", F.col("id").alias("target_id"), F.lit(True).alias("met")).distinct(),
-                         ["query_id", "target_id"], "left")
-    else:
-        rows = rows.withColumn("met", F.lit(False))
-    arrow = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("visit", pa.int32()), ("hop", pa.int32()),
-                       ("path_confidence", pa.float64()), ("from_id", pa.string()), ("edge_type", pa.string())])
-    w = sc.weights(walk.explore)
-
-    def replay(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(_replay(table.to_pylist(), walk, w), schema=arrow)
-
-    return rows.groupBy("query_id").applyInArrow(replay, WALK_RESULT)
-
-
-def _unit(v) -> np.ndarray | None:
-    if v is None:
-        return None
-    a = np.asarray(v, dtype=float)
-    n = np.linalg.norm(a)
-    return a / n if n > 0 else a
-
-
-def _domain(kind: str) -> str:
-    if kind in sc.FINANCIAL:
-        return "financial"
-    if kind in sc.NARRATIVE:
-        return "narrative"
-    return "entity" if kind == "ENTITY" else "unknown"
-
-
-def _replay(rows: list[dict], walk: Walk, w: dict[str, float]) -> list[dict]:
-    """One question's walk. ``rows`` are its bounded edges and seeds."""
-    kind = {r["target_id"]: r["type"] for r in rows}
-    vec = {r["target_id"]: _unit(r["vec"]) for r in rows}
-    met = {r["target_id"] for r in rows if r["met"]}
-    query = _unit(rows[0]["query_vec"])
-    out: dict[str, list[dict]] = {}
-    heap = []
-    for r in sorted((r for r in rows if r["source_id"] is None), key=lambda r: r["place"]):
-        heap.append((-1.0, len(heap), r["target_id"], 0, None, 1.0))
-    for r in rows:
-        if r["source_id"] is not None:
-            out.setdefault(r["source_id"], []).append(r)
-    heapq.heapify(heap)
-    pushed, result, done = len(heap), [], set()
-    walked: list[str] = []  # nodes reached over an edge, in order
-    chain = 0
-
-    def total(r: dict, source: str, path: float) -> float:
-        target, edge, conf = r["target_id"], r["edge_type"], r["confidence"]
-        a, b, v = _domain(kind[source]), _domain(kind[target]), vec[target]
-        crossing = 1.0 if {a, b} == {"financial", "narrative"} else 0.5 if "entity" in (a, b) else 0.0
-        relevance = max(0.0, (float(query @ v) - 0.7) / 0.3) if v is not None and query is not None else 0.0
-        seen = [float(v @ vec[x]) for x in walked[:20] if vec[x] is not None] if v is not None else []
-        if not walked:
-            novel = 1.0
-        elif v is None:
-            novel = 0.5
-        else:
-            novel = 1.0 - min(1.0, max(0.0, (max([0.0, *seen]) - 0.5) / 0.4))
-        bridge = 1.0 if edge in sc.BRIDGING else 0.7 if edge in sc.CAUSAL else 0.0
-        drift = 0.0
-        if edge in sc.SEMANTIC:
-            drift = 0.2 if chain == 0 else 0.5 if chain == 1 else min(1.0, 0.5 + 0.25 * (chain - 1))
-        run = 0
-        for x in reversed(walked):
-            if _domain(kind[x]) != b:
-                break
-            run += 1
-        if len(walked) < 2 or run < 2:
-            isolation = 0.0
-        else:
-            isolation = min(1.0, 0.3 + 0.15 * (run - sc.RUN_LIMIT)) if run >= sc.RUN_LIMIT else 0.1 * run
-        weak = 0.0 if conf >= sc.CONFIDENCE_LIMIT else (sc.CONFIDENCE_LIMIT - conf) / sc.CONFIDENCE_LIMIT
-        if target in walked:
-            again = 1.0
-        else:
-            close = [float(v @ vec[x]) for x in walked[:10] if vec[x] is not None] if v is not None else []
-            again = 0.8 if any(s > sc.REDUNDANT_ABOVE for s in close) else 0.0
-        crowd = 0.0
-        if r["fanout"] > sc.FANOUT_LIMIT:
-            crowd = min(1.0, (r["fanout"] - sc.FANOUT_LIMIT) / 25)
-            crowd = min(1.0, crowd * 1.5) if edge in sc.CROWDED else crowd
-        score = (
-            conf * path + w["domain_crossing"] * crossing + w["query_relevance"] * relevance + w["novelty"] * novel
-            + w["bridge_edge"] * bridge + w["convergence"] * (target in met)
-            - w["semantic_drift"] * drift - w["domain_isolation"] * isolation - w["low_confidence"] * weak
-            - w["redundancy"] * again - w["fanout"] * crowd
-        )
-        return min(1.0, max(0.0, score))
-
-    while heap:
-        _, _, node, hop, via, path = heapq.heappop(heap)
-        if node in done:
-            continue
-        done.add(node)
-        result.append({"query_id": rows[0]["query_id"], "id": node, "visit": len(result), "hop": hop, "path_confidence": path,
-                       "from_id": via and via["source_id"], "edge_type": via and via["edge_type"]})
-        if via:
-            walked.append(node)
-            chain = chain + 1 if via["edge_type"] in sc.SEMANTIC else 0
-        if hop >= walk.hops:
-            continue
-        scored = [(total(r, node, path), r) for r in sorted(out.get(node, []), key=lambda r: r["place"])]
-        scored = sorted((s for s in scored if s[0] >= walk.min_score), key=lambda s: -s[0])[: walk.per_node]
-        for score, r in scored:
-            if r["target_id"] not in done:
-                heapq.heappush(heap, (-score, pushed, r["target_id"], hop + 1, r, path * r["confidence"] * walk.decay))
-                pushed += 1
-    return result
-
-
 def expand_by_confidence(seeds: DataFrame, edges: DataFrame, edge_types: Sequence[str], *, hops: int = 3, per_node: int = 10,
-                         min_confidence: float = 0.5, decay: float = 0.9, max_nodes: int = 150, max_edges: int = 400) -> DataFrame:
-    """Best product of confidences, dense types held to stricter floors, hard totals per question.
+                         min_confidence: float = 0.5, decay: float = 0.9, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
+    """Best product of confidences, dense types held to stricter floors.
 
     The best-first order visits nodes by falling path confidence and a node's
     label comes from its predecessors' best labels, so all labels are recomputed
-    together from the last round's until nothing changes; totals then cut the
-    order. Result: ``query_id, id, hop, path_confidence``.
+    together from the last round's until nothing changes. Totals per question cut
+    the order only where the caller gives them. Result: ``query_id, id, hop, path_confidence``.
     """
     strongest = Window.partitionBy("source_id").orderBy(F.desc("confidence"), "target_id", "edge_type")
     leaving = cut_lineage(
@@ -305,7 +142,7 @@ def expand_by_confidence(seeds: DataFrame, edges: DataFrame, edge_types: Sequenc
     base = seeds.select("query_id", "id").distinct().select("query_id", "id", F.lit(1.0).alias("c"), F.lit(0).alias("hop"))
     base = labels = cut_lineage(base)
     last = None
-    for _ in range(2 * hops + 2):
+    while True:
         stepped = labels.filter(F.col("hop") < hops).join(leaving, "id").select(
             "query_id", F.col("target_id").alias("id"), (F.col("c") * F.col("confidence") * F.pow(F.lit(decay), F.col("hop") + 1)).alias("c"),
             (F.col("hop") + 1).alias("hop"),
@@ -319,10 +156,11 @@ def expand_by_confidence(seeds: DataFrame, edges: DataFrame, edge_types: Sequenc
             break
         last = now
     order = Window.partitionBy("query_id").orderBy(F.desc("c"), "hop", "id")
-    top = labels.withColumn("visit", F.row_number().over(order)).filter(F.col("visit") <= max_nodes)
-    walked = leaving.groupBy("id").agg(F.count(F.lit(1)).alias("n_out"))
-    spent = F.sum(F.when(F.col("hop") < hops, F.coalesce("n_out", F.lit(0))).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        top.join(walked, "id", "left").withColumn("spent", F.coalesce(spent, F.lit(0))).filter(F.col("spent") < max_edges)
-        .select("query_id", "id", "hop", F.col("c").alias("path_confidence"))
-    )
+    top = labels.withColumn("visit", F.row_number().over(order))
+    if max_nodes is not None:
+        top = top.filter(F.col("visit") <= max_nodes)
+    if max_edges is not None:
+        walked = leaving.groupBy("id").agg(F.count(F.lit(1)).alias("n_out"))
+        spent = F.sum(F.when(F.col("hop") < hops, F.coalesce("n_out", F.lit(0))).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        top = top.join(walked, "id", "left").withColumn("spent", F.coalesce(spent, F.lit(0))).filter(F.col("spent") < max_edges)
+    return top.select("query_id", "id", "hop", F.col("c").alias("path_confidence"))

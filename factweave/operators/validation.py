@@ -58,6 +58,14 @@ def _number(text: Column) -> Column:
     return F.coalesce(F.replace(text, F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0))
 
 
+def _mentions(text: Column, name: Column) -> Column:
+    """Where (from 1) ``name`` stands in ``text``, every time: the ends of the pieces between its mentions."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), name, F.lit("\\E")), -1)
+    steps = F.slice(pieces, 1, F.size(pieces) - 1)
+    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + F.length(name), F.lit(1)) + F.length(x))))
+    return F.when(F.length(name) > 0, ends)
+
+
 def claims(answers: DataFrame) -> DataFrame:
     """Claims of ``id, answer``: ``from_value, to_value, from_year, to_year, claimed, actual``."""
     text = F.col("answer")
@@ -124,9 +132,11 @@ def evidence_mismatches(answers: DataFrame, changes: DataFrame, keywords=("reven
     both = changes.select("id", F.lower("text").alias("body"), F.lower("direction").alias("direction")).join(answers, "id")
     hits = both.withColumn("kw", F.explode(F.array_compact(F.array(*[
         F.when(F.contains("body", F.lit(k)) & F.contains(F.lower("answer"), F.lit(k)), F.lit(k)) for k in keywords]))))
-    at = F.expr("locate(kw, lower(answer))")
+    hits = hits.withColumn("at", F.explode(_mentions(F.lower("answer"), F.col("kw"))))
+    at = F.col("at")
     around = F.substring(F.col("answer"), F.greatest(F.lit(1), at - 100), at + 150 - F.greatest(F.lit(1), at - 100))
-    return hits.withColumn("said", stated_direction(around)).filter(F.col("said") != F.col("direction")).select(
+    wrong = hits.withColumn("said", stated_direction(around)).filter(F.col("said") != F.col("direction"))
+    return wrong.select("id", "kw").distinct().select(
         "id", F.lit("evidence_mismatch").alias("issue"), F.lit("critical").alias("severity"), F.col("kw").alias("detail"))
 
 
@@ -252,17 +262,18 @@ def synthesize(rows: DataFrame) -> DataFrame:
 
 
 def values_near_metric(answers: DataFrame, truth: DataFrame, around: int = 100, tolerance: float = 0.01) -> DataFrame:
-    """Figures within ``around`` characters of a metric's first mention that miss the true value: ``id, metric, claimed, value``.
+    """Figures within ``around`` characters of any mention of a metric that miss the true value: ``id, metric, claimed, value``.
 
     ``truth``: ``id, metric, value`` for each answer.
     """
-    both = answers.join(truth, "id").withColumn("_name", F.replace("metric", F.lit("_"), F.lit(" ")))
-    at = F.expr("locate(_name, lower(answer))")
+    both = answers.join(truth, "id").withColumn("_name", F.replace(F.lower("metric"), F.lit("_"), F.lit(" ")))
+    both = both.withColumn("_at", F.explode(_mentions(F.lower("answer"), F.col("_name"))))
+    at = F.col("_at")
     start = F.greatest(F.lit(1), at - around)
     nearby = F.substring(F.col("answer"), start, at + F.length("_name") + around - start)
     pattern = r"(?i)\$?([\d,.]*\d)\s*([BM])?"
     pairs = F.arrays_zip(F.regexp_extract_all(nearby, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(nearby, F.lit(pattern), F.lit(2)).alias("u"))
-    hits = both.filter(at > 0).select("id", "metric", "value", F.explode(pairs).alias("h"))
+    hits = both.select("id", "metric", "value", F.explode(pairs).alias("h"))
     scale = F.when(F.upper("h.u") == "B", 1e9).when(F.upper("h.u") == "M", 1e6).otherwise(1.0)
     claimed = F.replace("h.n", F.lit(","), F.lit("")).try_cast("double") * scale
     value = F.col("value").cast("double")

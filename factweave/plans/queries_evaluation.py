@@ -12,15 +12,15 @@ from factweave.plans.catalog import query
 from factweave.plans.queries_graph import GRAPH
 from factweave.plans.queries_similarity import VEC
 
-# Predicted: pairs of at least 0.2, stretched to a confidence. Gold: neighbouring ids, true when labels agree.
-EVAL = f"""{VEC}, pred AS (SELECT a s, b t, least(1.0::DOUBLE, round(sim * 2, 6)) c, CASE WHEN a % 2 = 0 THEN 'semantic' ELSE 'temporal' END x FROM p WHERE a < b AND sim >= 0.2),
+# Predicted: pairs of a filing (64 ids) of at least 0.2, stretched to a confidence. Gold: neighbouring ids, true when labels agree.
+EVAL = f"""{VEC}, pred AS (SELECT a s, b t, least(1.0::DOUBLE, round(sim * 2, 6)) c, CASE WHEN a % 2 = 0 THEN 'semantic' ELSE 'temporal' END x FROM p WHERE a // 64 = b // 64 AND a < b AND sim >= 0.2),
 gold AS (SELECT a.vec_id s, b.vec_id t, a.label = b.label y, CASE WHEN a.vec_id % 2 = 0 THEN 'semantic' ELSE 'temporal' END x
  FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 12)"""
 
 
 def predictions(spark, sf_dir):
-    v = gv.vectors(spark, sf_dir)
-    pairs = similarity_join(v, v, threshold=0.2, where=lambda l, r: r["pos"] > l["pos"])
+    v = gv.vectors(spark, sf_dir).withColumn("filing", F.floor(F.col("id") / 64))
+    pairs = similarity_join(v, v, threshold=0.2, key=("filing",), where=lambda l, r: r["pos"] > l["pos"])
     return pairs.select(
         F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), F.lit("SIMILAR").alias("edge_type"),
         F.least(F.lit(1.0), F.round(F.col("sim") * 2, 6)).alias("confidence"),

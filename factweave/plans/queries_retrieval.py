@@ -95,12 +95,6 @@ def scored_expansion(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("path_confidence", "score")})
 
 
-@query()
-def best_first_expansion(spark, sf_dir):
-    asked, seeds, nodes, edges, vectors, walk = _walk_inputs(spark, sf_dir)
-    return tv.expand_best_first(asked, seeds, nodes, edges, vectors, walk).withColumn("path_confidence", F.round("path_confidence", 6))
-
-
 @query(f"""WITH {GRAPH}, s AS (SELECT CAST(n_regionkey AS VARCHAR) query_id, arg_max(c_custkey, (c_acctbal, c_custkey)) c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey),
 h0 AS (SELECT query_id, 'EN:C' || c id, 1.0::DOUBLE p, 0 hop FROM s),
 h1 AS (SELECT query_id, target_id id, p * confidence * pow(0.9::DOUBLE, 1) p, 1 hop FROM h0 JOIN edges ON source_id = id WHERE edge_type = 'REFERS_TO' AND confidence >= 0.5 OR edge_type = 'ENTITY_RELATED_TO' AND confidence >= 0.85),

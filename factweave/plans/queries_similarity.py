@@ -20,10 +20,10 @@ def _rounded(df, *columns):
     return df.select(*columns, F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {VEC} SELECT a AS left_id, b AS right_id, round(sim, 6) AS sim FROM p WHERE a < b AND sim >= 0.35")
+@query(f"WITH {VEC} SELECT a AS left_id, b AS right_id, round(sim, 6) AS sim FROM p WHERE la = lb AND a < b AND sim >= 0.35")
 def similarity_pairs(spark, sf_dir):
     v = gv.vectors(spark, sf_dir)
-    return _rounded(similarity_join(v, v, threshold=0.35, where=lambda l, r: r["pos"] > l["pos"]), "left_id", "right_id")
+    return _rounded(similarity_join(v, v, threshold=0.35, key=("label",), where=lambda l, r: r["pos"] > l["pos"]), "left_id", "right_id")
 
 
 @query(f"WITH {VEC} SELECT a AS id, b AS neighbor, round(sim, 6) AS sim FROM p WHERE la = lb AND b = a + 1")
@@ -59,9 +59,9 @@ def sim_within_group_first5(spark, sf_dir):
     return _rounded(semantic.within_filing(nodes, v, floor=0.12), "left_id", "right_id")
 
 
-@query(f"""WITH {VEC}, s AS (SELECT id, label l, id % 2 t, row_number() OVER (PARTITION BY label, id % 2 ORDER BY id) pl, count(*) OVER (PARTITION BY label, id % 2) sz FROM v),
+@query(f"""WITH {VEC}, s AS (SELECT id, label l, id % 2 t FROM v),
 c AS (SELECT a, b, sim, y.l, row_number() OVER (PARTITION BY a, y.l ORDER BY sim DESC, b) r FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b
-WHERE x.t = y.t AND y.l > x.l AND x.pl <= 50 AND y.pl <= 50 AND x.pl <= y.sz AND y.pl <= x.sz AND sim >= 0.2)
+WHERE x.t = y.t AND y.l > x.l AND sim >= 0.2)
 SELECT a AS left_id, b AS right_id, round(sim, 6) AS sim FROM c WHERE r = 1""")
 def sim_cross_group_argmax(spark, sf_dir):
     nodes, v = _vector_nodes(spark, sf_dir)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import money
 from factweave.functions import text as tx
 from factweave.operators import classify as cl
+from factweave.operators import period_values, validation
 from factweave.plans.catalog import query
 from factweave.session import load_tables, spread
 
@@ -279,3 +281,51 @@ WHEN contains(lower(text), 'share') THEN 'shares' WHEN contains(lower(text), '%'
 def unit_inference(spark, sf_dir):
     (docs,) = load_tables(spark, sf_dir, "documents")
     return docs.select("doc_id", money.unit_in_text(F.col("text")).alias("unit"))
+
+
+@query("""WITH k AS (SELECT o_orderkey id, CAST(2001 + o_orderkey % 23 AS INTEGER) y, CAST(1 + o_orderkey % 4 AS INTEGER) q, CAST(o_orderkey % 899 + 1 AS DOUBLE) v FROM orders)
+SELECT id, v * 1e6 AS amount, 0.9::DOUBLE AS confidence, y AS fy, CAST(NULL AS INTEGER) AS fq FROM k WHERE id // 4 % 4 = 0
+UNION ALL SELECT id, v * 1e9, 0.8::DOUBLE, y, q FROM k WHERE id // 4 % 4 = 1
+UNION ALL SELECT id, v, 0.9::DOUBLE, NULL, NULL FROM k WHERE id // 4 % 4 = 2
+UNION ALL SELECT id, v * 1e6, 0.9::DOUBLE, y, NULL FROM k WHERE id // 4 % 4 = 3
+UNION ALL SELECT id, (v + 1000) * 1e6, 0.9::DOUBLE, y + 1, NULL FROM k WHERE id // 4 % 4 = 3""")
+def amounts_with_nearest_period(spark, sf_dir):
+    """Sentences of four shapes over all orders: the SQL states what each shape means."""
+    (orders,) = load_tables(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    y, q, v = (x.cast("string") for x in (2001 + k % 23, 1 + k % 4, k % 899 + 1))
+    shapes = [
+        F.concat(F.lit("FY"), y, F.lit(" sales: $"), v, F.lit(" million.")),
+        F.concat(F.lit("Q"), q, F.lit(" "), y, F.lit(" brought "), v, F.lit(" billion")),
+        F.concat(F.lit("$"), v, F.lit(" and nothing dated")),
+        F.concat(F.lit("In fiscal "), y, F.lit(" we had $"), v, F.lit("M. Much later, after many other words of no use to anybody, fiscal year "), (2002 + k % 23).cast("string"),
+                 F.lit(" had $"), (k % 899 + 1001).cast("string"), F.lit("M.")),
+    ]
+    kind = F.floor(k / 4) % 4
+    text = F.coalesce(*[F.when(kind == i, s) for i, s in enumerate(shapes)])
+    return period_values.values_with_periods(orders.select(k.alias("text_id"), text.alias("text"))).withColumnRenamed("text_id", "id")
+
+
+@query("""WITH t AS (SELECT substring(o_orderpriority, 3) metric, CAST(year(o_orderdate) AS INTEGER) y, count(*) n FROM orders GROUP BY 1, 2),
+c AS (SELECT metric, lag(y) OVER w from_year, y to_year, n - lag(n) OVER w change FROM t WINDOW w AS (PARTITION BY metric ORDER BY y))
+SELECT o_orderkey AS id, metric, from_year, to_year, change FROM orders JOIN c ON contains(lower('the desk of ' || o_custkey || ' took it as ' || o_orderpriority), lower(metric)) WHERE from_year IS NOT NULL""")
+def changes_by_named_metric(spark, sf_dir):
+    """Yearly changes in the number of orders of a priority, attached to the notes that name the priority."""
+    (orders,) = load_tables(spark, sf_dir, "orders")
+    yearly = orders.groupBy(F.expr("substring(o_orderpriority, 3)").alias("metric"), F.year("o_orderdate").alias("to_year")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("metric").orderBy("to_year")
+    changes = yearly.select("metric", F.lag("to_year").over(w).alias("from_year"), "to_year", (F.col("n") - F.lag("n").over(w)).alias("change")).filter("from_year is not null")
+    notes = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("The desk of "), F.col("o_custkey").cast("string"), F.lit(" took it as "), "o_orderpriority").alias("text"))
+    return period_values.changes_named_in_text(notes, changes).select("id", "metric", "from_year", "to_year", "change")
+
+
+@query("""SELECT o_orderkey AS id, 'net_sales' AS metric, CAST(o_orderkey % 50 + 2 AS DOUBLE) * 1e6 AS claimed, 7e6::DOUBLE AS value FROM orders WHERE o_orderkey % 50 + 2 <> 7
+UNION ALL SELECT o_orderkey, 'net_sales', CAST(o_orderkey % 30 + 3 AS DOUBLE) * 1e6, 7e6::DOUBLE FROM orders WHERE o_orderkey % 30 + 3 <> 7""")
+def values_at_every_mention(spark, sf_dir):
+    """Answers that name a metric twice, far apart, with a figure at each mention."""
+    (orders,) = load_tables(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    answer = F.concat(F.lit("Net sales were $"), (k % 50 + 2).cast("string"), F.lit("M. "), F.repeat(F.lit("nothing of interest here. "), 20), F.lit("So net sales: $"), (k % 30 + 3).cast("string"), F.lit("M."))
+    answers = orders.select(k.alias("id"), answer.alias("answer"))
+    truth = orders.select(k.alias("id"), F.lit("net_sales").alias("metric"), F.lit(7e6).alias("value"))
+    return validation.values_near_metric(answers, truth)

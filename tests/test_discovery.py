@@ -5,7 +5,7 @@ import pytest
 from fixtures import edge_set, node_frame, random_vectors, unit, vector_frame
 from pyspark.sql import functions as F
 
-from factweave.operators import causal, components, containment, cross_reference, entities, semantic, table_text, temporal
+from factweave.operators import causal, components, containment, cross_reference, entities, paths, semantic, table_text, temporal
 from factweave.operators.similarity import similarity_join
 from factweave.plans import build
 
@@ -158,8 +158,7 @@ def test_tag_words_and_similarity_make_a_discussion(spark):
 
 
 @pytest.mark.parametrize("keep,n,per", [("all", 1, None), ("first", 3, None), ("best", 1, None), ("best", 4, None), ("best", 1, "tag")])
-@pytest.mark.parametrize("pivots", [0, 6])
-def test_similarity_join_equals_brute_force(spark, keep, n, per, pivots):
+def test_similarity_join_equals_brute_force(spark, keep, n, per):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((8, 16))
     data = np.array([unit(centres[i % 8] + 0.25 * rng.standard_normal(16)) for i in range(160)])
@@ -168,7 +167,7 @@ def test_similarity_join_equals_brute_force(spark, keep, n, per, pivots):
     df = spark.createDataFrame(rows, "id long, pos long, grp string, tag int, vec array<float>")
     threshold = 0.75
     got = similarity_join(df, df, threshold=threshold, key=("grp",), keep=keep, n=n, per=per, where=lambda l, r: r["pos"] > l["pos"],
-                          block_rows=24, pivots=pivots)
+                          block_rows=24)
     got = {(r["left_id"], r["right_id"]) for r in got.collect()}
     f32 = data.astype(np.float32).astype(float)
     f32 /= np.linalg.norm(f32, axis=1, keepdims=True)
@@ -188,15 +187,25 @@ def test_similarity_join_equals_brute_force(spark, keep, n, per, pivots):
     assert got == want and len(want) > 50
 
 
-def test_containment_ways_agree(spark):
-    names = [(0, "red widget"), (1, "ab"), (2, "widget factory"), (3, "zzz"), (4, "red widget")]
-    texts = [("a", "one red widget factory"), ("b", "cab ride"), ("c", "nothing"), ("d", "abab red widge"), ("e", "")]
+def test_containment_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    names = [(0, "red widget"), (1, "ab"), (2, "widget factory"), (3, "zzz"), (4, "red widget"), (5, ""), (6, None), (7, "é"), (8, "x" * 30)]
+    names += [(10 + i, f"Customer#{i:09d}") for i in range(300)]  # all begin alike
+    texts = [("a", "one red widget factory"), ("b", "cab ride"), ("c", "nothing"), ("d", "abab red widget"), ("e", ""), ("f", None), ("g", "é" * 600 + "x" * 40)]
+    texts += [(f"t{i}", " ".join(f"Customer#{j:09d}" for j in rng.integers(0, 400, 120))) for i in range(40)]  # a third and more hold a frequent word
     n = spark.createDataFrame(names, "name_id int, name string")
     t = spark.createDataFrame(texts, "text_id string, text string")
-    want = {(tid, nid) for tid, text in texts for nid, name in names if name in text}
-    for force in (False, True):
-        got = {(r["text_id"], r["name_id"]) for r in containment.containment_join(t, n, force_grams=force).collect()}
-        assert got == want
+    want = {(tid, nid) for tid, text in texts if text for nid, name in names if name and name in text}
+    got = [(r["text_id"], r["name_id"]) for r in containment.containment_join(t, n).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert containment.containment_join(t, n.filter("name_id = 5")).count() == 0
+
+
+def test_a_path_of_any_length_is_found(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], "source_id string, target_id string")
+    found = paths.shortest_path(edges, "n060", "n000").orderBy("step").collect()
+    assert [r["id"] for r in found] == [f"n{i:03d}" for i in range(60, -1, -1)]
+    assert paths.shortest_path(edges, "n060", "n000", max_hops=59) is None and paths.shortest_path(edges, "n000", "gone") is None
 
 
 def test_entities_are_canonical_and_cooccur(spark):
