@@ -153,39 +153,54 @@ def validate(answers: DataFrame, found: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _claim_rows(answers: DataFrame, *kept: str) -> DataFrame:
+    """``id, kind, metric, pos, direction, amount`` of each claim in ``id, answer``: one pass over the text."""
+    text, none = F.col("answer"), F.array().cast("array<string>")
+    said = rf"(?iU)(\w+(?:\s+\w+)?)\s+({'|'.join(UP_WORDS + DOWN_WORDS)})\b"
+    claim = f"(?i){VALUE_CLAIM}"
+
+    def found(kind: str, pattern: str, worth: Column) -> Column:
+        matches_ = F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+        return F.transform(matches_, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), m.alias("m")))
+
+    both = F.concat(found("direction", said, F.lit(True)), found("value", claim, F.contains(text, F.lit("$"))))
+    # The short matches are then taken apart.
+    rows = answers.select("id", *kept, F.inline(both))
+    is_value = F.col("kind") == "value"
+    word, subject = F.lower(F.regexp_extract("m", r"(?U)(\w+)$", 1)), F.lower(F.regexp_extract("m", r"(?U)^(.*)\s+\w+$", 1))
+    tracked = F.coalesce(*[F.when(F.contains("subject", F.lit(m)), F.lit(m)) for m in TRACKED])
+    return rows.withColumn("subject", subject).select(
+        "id", *kept, "kind", "pos",
+        F.when(is_value, F.trim(F.lower(F.regexp_extract("m", claim, 1)))).otherwise(tracked).alias("metric"),
+        F.when(~is_value, F.when(word.isin(*UP_WORDS), "increase").otherwise("decrease")).alias("direction"),
+        F.when(is_value, parse_money(F.regexp_extract("m", claim, 2))).alias("amount"),
+    ).filter(F.when(F.col("kind") == "value", F.col("amount").isNotNull()).otherwise(F.col("metric").isNotNull()))
+
+
 def typed_claims(answers: DataFrame) -> DataFrame:
     """``id, kind, metric, direction, amount``: the last claim of each kind and metric in ``id, answer``."""
-    text = F.col("answer")
-    words = "|".join(UP_WORDS + DOWN_WORDS)
-    pattern = rf"(?iU)(\w+(?:\s+\w+)?)\s+({words})\b"
-    # One pass over the text; the short matches are then taken apart.
-    said = answers.select("id", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "m"))
-    said = said.select("id", "pos", F.lower(F.regexp_extract("m", r"(?U)(\w+)$", 1)).alias("w"),
-                       F.lower(F.regexp_extract("m", r"(?U)^(.*)\s+\w+$", 1)).alias("c"))
-    metric = F.coalesce(*[F.when(F.contains("c", F.lit(m)), F.lit(m)) for m in TRACKED])
-    directions = said.select("id", "pos", F.lit("direction").alias("kind"), metric.alias("metric"),
-                             F.when(F.col("w").isin(*UP_WORDS), "increase").otherwise("decrease").alias("direction"),
-                             F.lit(None).cast("decimal(38,4)").alias("amount")).filter(F.col("metric").isNotNull())
-    claim = f"(?i){VALUE_CLAIM}"
-    valued = answers.filter(F.contains("answer", F.lit("$"))).select("id", F.posexplode(F.regexp_extract_all(text, F.lit(claim), F.lit(0))).alias("pos", "m"))
-    values = valued.select("id", "pos", F.lit("value").alias("kind"), F.trim(F.lower(F.regexp_extract("m", claim, 1))).alias("metric"),
-                           F.lit(None).cast("string").alias("direction"), parse_money(F.regexp_extract("m", claim, 2)).alias("amount")).filter(F.col("amount").isNotNull())
-    both = directions.unionByName(values)
-    return both.groupBy("id", "kind", "metric").agg(F.max_by(F.struct("direction", "amount"), "pos").alias("c")).select(
+    return _claim_rows(answers).groupBy("id", "kind", "metric").agg(F.max_by(F.struct("direction", "amount"), "pos").alias("c")).select(
         "id", "kind", "metric", "c.direction", "c.amount")
 
 
 def discrepancies(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Claims on which two answers (``id, answer``) differ: ``id, kind, metric, severity``."""
-    left = typed_claims(a).withColumnsRenamed({"direction": "da", "amount": "va"})
-    right = typed_claims(b).withColumnsRenamed({"direction": "db", "amount": "vb"})
-    va, vb = F.col("va").cast("double"), F.col("vb").cast("double")
+    """Claims on which two answers (``id, answer``) differ: ``id, kind, metric, severity``.
+
+    The claims of both answers meet in one aggregation.
+    """
+    rows = _claim_rows(a.select("id", "answer", F.lit(0).alias("side")), "side").unionByName(_claim_rows(b.select("id", "answer", F.lit(1).alias("side")), "side"))
+
+    def last(side: int) -> Column:
+        own = F.col("side") == side
+        return F.max_by(F.struct("direction", "amount"), F.when(own, F.col("pos")))
+
+    met = rows.groupBy("id", "kind", "metric").agg(last(0).alias("a"), last(1).alias("b")).filter("a is not null and b is not null")
+    va, vb = F.col("a.amount").cast("double"), F.col("b.amount").cast("double")
     gap = F.when(va != 0, F.abs(va - vb) / va)
     severity = (
-        F.when(F.col("da") != F.col("db"), "critical").when(gap > 0.2, "critical").when(gap > 0.1, "major").when(gap > 0.05, "minor")
+        F.when(F.col("a.direction") != F.col("b.direction"), "critical").when(gap > 0.2, "critical").when(gap > 0.1, "major").when(gap > 0.05, "minor")
     )
-    return left.join(right, ["id", "kind", "metric"]).withColumn("severity", severity).filter(F.col("severity").isNotNull()).select(
-        "id", "kind", "metric", "severity")
+    return met.withColumn("severity", severity).filter(F.col("severity").isNotNull()).select("id", "kind", "metric", "severity")
 
 
 # Words that tie two figures to one subject; two shared words suffice.

@@ -1,6 +1,6 @@
 """The property graph over the business tables.
 
-Customers, suppliers, nations and regions are ENTITY nodes, documents are
+Customers, suppliers, parts, nations and regions are ENTITY nodes, documents are
 TEXT_SECTION, conversation turns are NOTE, orders are TABLE_ROW, and revenue per
 market segment and fiscal quarter is FINANCIAL_LINE.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import fiscal
+from factweave.operators.similarity import similarity_join
 from factweave.session import load_tables
 
 CALENDAR = fiscal.SEPTEMBER_SATURDAY
@@ -113,6 +114,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("nation", "N", "n_nationkey", "n_name"),
         ("customer", "C", "c_custkey", "c_name"),
         ("supplier", "S", "s_suppkey", "s_name"),
+        ("part", "P", "p_partkey", "p_name"),
     ):
         (df,) = load_tables(spark, sf_dir, table)
         parts.append(
@@ -166,7 +168,10 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edge that keys imply: master data, orders to customers and lines, consecutive turns."""
+    """Master data, orders to customers, lines and parts, suppliers to parts, consecutive turns and similar texts.
+
+    Suppliers have up to thousands of parts, so limits per node and fan-out penalties have something to bite on.
+    """
     orders, customer, turns = load_tables(spark, sf_dir, "orders", "customer", "conversations")
     day = F.col("o_orderdate").cast("date")
     mentions = orders.select(
@@ -184,7 +189,28 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         turns.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_semi"
     )
     chains = following.select(*_edge(note(F.col("turn")), note(F.col("turn") + 1), "TEMPORAL_NEXT", F.lit(0.9), "Temporal"))
-    return entity_edges(spark, sf_dir).unionByName(mentions).unionByName(explains).unionByName(chains)
+    return (
+        entity_edges(spark, sf_dir).unionByName(mentions).unionByName(explains).unionByName(chains)
+        .unionByName(part_edges(spark, sf_dir)).unionByName(similar_texts(spark, sf_dir))
+    )
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers to the parts they deliver, and orders to the parts in them, each pair once."""
+    (lines,) = load_tables(spark, sf_dir, "lineitem")
+    supplied = lines.select("l_suppkey", "l_partkey").distinct().select(
+        *_edge(_key("EN:S", "l_suppkey"), _key("EN:P", "l_partkey"), "ENTITY_RELATED_TO",
+               F.round(F.lit(0.5) + (F.col("l_suppkey") + F.col("l_partkey")) % 50 / 100, 6), "Entity"))
+    ordered = lines.select("l_orderkey", "l_partkey").distinct().select(
+        *_edge(_key("TR:", "l_orderkey"), _key("EN:P", "l_partkey"), "DISCUSSES", F.lit(0.8), "Entity"))
+    return supplied.unionByName(ordered)
+
+
+def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose vectors, within a block of 64 ids, have a cosine of at least 0.3."""
+    v = vectors(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 64))
+    found = similarity_join(v, v, threshold=0.3, key=("block",), where=lambda a, b: b["pos"] > a["pos"])
+    return found.select(*_edge(_key("TS:", "left_id"), _key("TS:", "right_id"), "SEMANTICALLY_SIMILAR", F.round("sim", 6), "Semantic"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +263,8 @@ nodes AS (
   UNION ALL SELECT 'EN:R' || r_regionkey, 'ENTITY', r_name, 'MASTER', NULL, r_regionkey, NULL, NULL, NULL, NULL, 'REGION' FROM region
   UNION ALL SELECT 'EN:N' || n_nationkey, 'ENTITY', n_name, 'MASTER', NULL, n_nationkey, NULL, NULL, NULL, NULL, 'NATION' FROM nation
   UNION ALL SELECT 'EN:C' || c_custkey, 'ENTITY', c_name, 'MASTER', NULL, c_custkey, NULL, NULL, NULL, NULL, 'CUSTOMER' FROM customer
-  UNION ALL SELECT 'EN:S' || s_suppkey, 'ENTITY', s_name, 'MASTER', NULL, s_suppkey, NULL, NULL, NULL, NULL, 'SUPPLIER' FROM supplier)
+  UNION ALL SELECT 'EN:S' || s_suppkey, 'ENTITY', s_name, 'MASTER', NULL, s_suppkey, NULL, NULL, NULL, NULL, 'SUPPLIER' FROM supplier
+  UNION ALL SELECT 'EN:P' || p_partkey, 'ENTITY', p_name, 'MASTER', NULL, p_partkey, NULL, NULL, NULL, NULL, 'PART' FROM part)
 """
 
 ENTITY_EDGES_CTE = """
@@ -257,5 +284,11 @@ edges AS (
   UNION ALL SELECT 'TR:' || o_orderkey, 'FL:' || c_mktsegment || ':' || {label_sql('d')}, 'EXPLAINS_LINE_ITEM',
          CAST(0.85 AS DOUBLE), 'TableText' FROM o JOIN customer ON o_custkey = c_custkey
   UNION ALL SELECT 'NT:' || a.conv_id || ':' || a.turn, 'NT:' || b.conv_id || ':' || b.turn, 'TEMPORAL_NEXT',
-         CAST(0.9 AS DOUBLE), 'Temporal' FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+         CAST(0.9 AS DOUBLE), 'Temporal' FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+  UNION ALL SELECT 'EN:S' || l_suppkey, 'EN:P' || l_partkey, 'ENTITY_RELATED_TO', round(CAST(0.5 AS DOUBLE) + (l_suppkey + l_partkey) % 50 / 100, 6), 'Entity'
+    FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+  UNION ALL SELECT 'TR:' || l_orderkey, 'EN:P' || l_partkey, 'DISCUSSES', CAST(0.8 AS DOUBLE), 'Entity' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+  UNION ALL SELECT 'TS:' || a, 'TS:' || b, 'SEMANTICALLY_SIMILAR', round(sim, 6), 'Semantic' FROM (
+    SELECT a.vec_id a, b.vec_id b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) sim
+    FROM embeddings a JOIN embeddings b ON a.vec_id // 64 = b.vec_id // 64 AND a.vec_id < b.vec_id) WHERE sim >= 0.3)
 """

@@ -14,16 +14,14 @@ from factweave.plans.catalog import query
 from factweave.session import load_tables
 
 GRAPH = f"{gv.FACTS_CTE}, {gv.NODES_CTE}, {gv.EDGES_CTE}"
-# Master data and conversations: the part of the graph with many components.
-SPARSE = f"""{GRAPH}, sn AS (SELECT * FROM nodes WHERE type IN ('ENTITY', 'NOTE')),
-se AS (SELECT * FROM edges WHERE edge_type IN ('REFERS_TO', 'ENTITY_RELATED_TO', 'TEMPORAL_NEXT')),
-ends AS (SELECT source_id id, target_id other FROM se UNION ALL SELECT target_id, source_id FROM se)"""
+ENDS = f"{GRAPH}, ends AS (SELECT source_id id, target_id other FROM edges UNION ALL SELECT target_id, source_id FROM edges)"
+# The smallest label travels along the edges until nothing changes.
+LABELS = f"""{ENDS}, comp(id, c) USING KEY (id) AS (SELECT id, id FROM nodes
+UNION (SELECT u.id, min(v.c) FROM comp v JOIN ends e ON e.id = v.id JOIN recurring.comp u ON u.id = e.other WHERE v.c < u.c GROUP BY u.id))"""
 
 
-def sparse_graph(spark, sf_dir):
-    nodes = gv.nodes(spark, sf_dir).filter(F.col("type").isin("ENTITY", "NOTE"))
-    edges = gv.edges(spark, sf_dir).filter(F.col("edge_type").isin("REFERS_TO", "ENTITY_RELATED_TO", "TEMPORAL_NEXT"))
-    return nodes, edges
+def whole_graph(spark, sf_dir):
+    return gv.nodes(spark, sf_dir), gv.edges(spark, sf_dir)
 
 
 @query(f"WITH {GRAPH} SELECT id, type, text, filing_id FROM nodes WHERE id = 'EN:N7'")
@@ -182,55 +180,53 @@ def edge_dedupe_undirected(spark, sf_dir):
     return dedupe.dedupe_undirected(line_edges(spark, sf_dir)).select("source_id", "edge_type", "target_id", "confidence", "input_pos")
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, reach(id, root) AS (SELECT id, id FROM sn UNION SELECT e.other, r.root FROM reach r JOIN ends e ON e.id = r.id)
-SELECT id, min(root) AS component FROM reach GROUP BY id""")
+@query(f"WITH RECURSIVE {LABELS} SELECT id, c AS component FROM comp")
 def connected_components(spark, sf_dir):
-    nodes, edges = sparse_graph(spark, sf_dir)
+    nodes, edges = whole_graph(spark, sf_dir)
     return cc.connected_components(nodes, edges)
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, reach(id, root) AS (SELECT id, id FROM sn UNION SELECT e.other, r.root FROM reach r JOIN ends e ON e.id = r.id),
-comp AS (SELECT id, min(root) c FROM reach GROUP BY id), sizes AS (SELECT c, count(*) s FROM comp GROUP BY c),
-deg AS (SELECT n.id, count(e.other) d FROM sn n LEFT JOIN ends e ON e.id = n.id GROUP BY n.id)
+@query(f"""WITH RECURSIVE {LABELS}, sizes AS (SELECT c, count(*) s FROM comp GROUP BY c),
+deg AS (SELECT n.id, count(e.other) d FROM nodes n LEFT JOIN ends e ON e.id = n.id GROUP BY n.id)
 SELECT count(*) AS total_nodes, CAST(sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS BIGINT) AS isolated_nodes, round(avg(d), 6) AS average_degree, max(d) AS max_degree,
- min(d) AS min_degree, (SELECT count(*) FROM se) AS total_edges, 0::BIGINT AS bridge_edges, (SELECT count(*) FROM sizes) AS connected_components,
+ min(d) AS min_degree, (SELECT count(*) FROM edges) AS total_edges, 0::BIGINT AS bridge_edges, (SELECT count(*) FROM sizes) AS connected_components,
  (SELECT max(s) FROM sizes) AS largest_component_size, (SELECT count(*) FROM sizes) <= 1 AS is_connected FROM deg""")
 def graph_summary(spark, sf_dir):
-    nodes, edges = sparse_graph(spark, sf_dir)
+    nodes, edges = whole_graph(spark, sf_dir)
     return gs.graph_summary(nodes, edges, cc.connected_components(nodes, edges)).withColumn("average_degree", F.round("average_degree", 6))
 
 
-@query(f"WITH {SPARSE} SELECT DISTINCT other AS id FROM ends WHERE id = 'EN:N3' ORDER BY id LIMIT 100")
+@query(f"WITH {ENDS} SELECT DISTINCT other AS id FROM ends WHERE id = 'EN:N3' ORDER BY id LIMIT 100")
 def neighbors_one_hop(spark, sf_dir):
-    return paths.neighbors(sparse_graph(spark, sf_dir)[1], "EN:N3")
+    return paths.neighbors(whole_graph(spark, sf_dir)[1], "EN:N3")
 
 
 def _walk(start: str, hops: int) -> str:
     return f"walk(id, hop) AS (SELECT '{start}', 0 UNION SELECT e.other, w.hop + 1 FROM walk w JOIN ends e ON e.id = w.id WHERE w.hop < {hops})"
 
 
-@query(f"WITH RECURSIVE {SPARSE}, {_walk('EN:C5', 3)} SELECT n.id, n.text, CAST(min(hop) AS INTEGER) AS hop FROM walk w JOIN sn n ON n.id = w.id GROUP BY ALL")
+@query(f"WITH RECURSIVE {ENDS}, {_walk('EN:C5', 3)} SELECT n.id, n.text, CAST(min(hop) AS INTEGER) AS hop FROM walk w JOIN nodes n ON n.id = w.id GROUP BY ALL")
 def khop_neighborhood(spark, sf_dir):
-    nodes, edges = sparse_graph(spark, sf_dir)
+    nodes, edges = whole_graph(spark, sf_dir)
     return paths.neighborhood(nodes, edges, "EN:C5", depth=3)[0].select("id", "text", "hop")
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, seeds AS (SELECT 'EN:R' || r_regionkey s FROM region),
+@query(f"""WITH RECURSIVE {ENDS}, seeds AS (SELECT 'EN:R' || r_regionkey s FROM region),
 walk(seed, id, hop) AS (SELECT s, s, 0 FROM seeds UNION SELECT w.seed, e.other, w.hop + 1 FROM walk w JOIN ends e ON e.id = w.id WHERE w.hop < 4)
 SELECT seed, id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY seed, id""")
 def shortest_path_lengths(spark, sf_dir):
-    nodes, edges = sparse_graph(spark, sf_dir)
+    nodes, edges = whole_graph(spark, sf_dir)
     return paths.hop_distances(edges, nodes.filter("entity_type = 'REGION'").select("id"), max_hops=4)
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {_walk('EN:C0', 8)}, d AS (SELECT id, min(hop) hop FROM walk GROUP BY id),
+@query(f"""WITH RECURSIVE {ENDS}, {_walk('EN:C0', 8)}, d AS (SELECT id, min(hop) hop FROM walk GROUP BY id),
 goal AS (SELECT 'EN:S' || min(s_suppkey) id FROM supplier JOIN nation ON s_nationkey = n_nationkey
  WHERE n_regionkey = (SELECT n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 0)),
 back(step, id) AS (SELECT hop, id FROM d WHERE id = (SELECT id FROM goal) UNION ALL
  SELECT b.step - 1, (SELECT min(p.id) FROM ends e JOIN d p ON p.id = e.other WHERE e.id = b.id AND p.hop = b.step - 1) FROM back b WHERE b.step > 0)
 SELECT CAST(step AS INTEGER) AS step, id FROM back""")
 def shortest_path(spark, sf_dir):
-    _, edges = sparse_graph(spark, sf_dir)
+    _, edges = whole_graph(spark, sf_dir)
     nation, customer, supplier = load_tables(spark, sf_dir, "nation", "customer", "supplier")
     home = customer.filter("c_custkey = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey")
     near = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(home, "n_regionkey", "left_semi")
