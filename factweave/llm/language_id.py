@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.llm.shared import stored
+
 SAMPLE = 400
+SALTS = 64
 DIMENSIONS = 4096
 UNKNOWN = "und"
 #: A document is rejected by the filter below this score.
@@ -128,8 +131,13 @@ def fit(docs: DataFrame, key: str = "doc_id", per_language: int = SAMPLE) -> Mod
     A null key is in no fold and not learned from.
     """
     usable = docs.filter((fold(key) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), key), key))
-    drawn = usable.select(key, "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select(key, F.col("lang").alias("__lang"))
+    # First within salts, so that no task ranks what all tasks of a language send.
+    order = [F.xxhash64(F.lit(17), key), F.col(key)]
+    salted = usable.select(key, "lang", F.pmod(F.xxhash64(F.lit(23), key), F.lit(SALTS)).alias("salt"))
+    for group in (("lang", "salt"), ("lang",)):
+        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= per_language).drop("rank")
+    # Written, so that Spark knows how small it is and needn't shuffle the texts.
+    drawn = stored(salted.select(key, F.col("lang").alias("__lang")), "language-sample")
     texts = docs.select(key, "text").join(drawn, key).select("__lang", "text").filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]):
