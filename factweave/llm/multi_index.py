@@ -32,7 +32,7 @@ TARGET_RECALL = 0.999
 #: The codebooks are fitted on at most this many vectors.
 SAMPLE = 8_192
 #: Wanted members of a cell; the codebooks grow with the square root of the rows.
-CELL_ROWS = 32
+CELL_ROWS = 256
 MAX_CENTROIDS = 256
 CHUNK_ROWS = 4_096
 
@@ -119,7 +119,7 @@ def _usable():
 
 def _points(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, vector, form`` of the usable rows; ``form`` is equal for equal vectors of a label."""
-    return vectors.filter(_usable()).select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")).withColumn(
+    return vectors.filter(_usable()).select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("vector")).withColumn(
         "form", F.xxhash64("label", "vector")
     )
 
@@ -153,7 +153,7 @@ def near_links(points: DataFrame, dimension: int, threshold: float = THRESHOLD,
                             names=["label", "cell", "query", "point", "weight", "vector"],
                         )
 
-    dealt = points.select("label", "point", "weight", "vector").mapInArrow(deal, "label string, cell int, query boolean, point long, weight long, vector array<double>")
+    dealt = points.select("label", "point", "weight", "vector").mapInArrow(deal, f"label string, cell int, query boolean, point long, weight long, vector {points.schema['vector'].dataType.simpleString()}")
     filed = dealt.filter("not query").groupBy("label", "cell").count()
     large = stored(filed.filter(F.col("count") > CHUNK_ROWS).select("label", "cell", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks")), "large-cells")
     spread = dealt.join(large, ["label", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
