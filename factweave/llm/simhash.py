@@ -244,11 +244,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     named = found.join(points, "point").groupBy("component").agg(F.min("smallest").alias("linked_id"))
     linked = found.join(named, "component").select("point", "linked_id")
     names = points.join(linked, "point", "left").select(F.col("point").alias("fingerprint"), F.coalesce("linked_id", "smallest").alias("component_id"))
+    # Written, so that the last join is one of two plain exchanges, whose frequent fingerprints Spark can split.
+    names = stored(names, "simhash-names")
     return rows.join(names, "fingerprint").select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of each group; of rows that repeat a key, one."""
-    groups = near_duplicates(docs, key)
-    first = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.join(first, docs[key].eqNullSafe(first[key]), "left_semi").dropDuplicates([key]).select(docs.columns)
+    """The document with the smallest key of each group; of rows that repeat a key, one.
+
+    A row without a key can't be named as any group's document, and is kept.
+    """
+    groups = near_duplicates(docs.filter(F.col(key).isNotNull()), key)
+    first = groups.filter(F.col(key) == F.col("component_id")).select(key)
+    # The removal of repeated keys goes by the partitions of the join.
+    named = docs.join(first, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    return named.unionByName(docs.filter(F.col(key).isNull()))
