@@ -243,4 +243,4 @@ def business_terms(text: Column, kind: str) -> Column:
         text, F.lit(rf"(?i){kind}s?\s*(?:include|including|are|:)\s*([^.;]+)"), F.lit(1)
     )
     names = F.flatten(F.transform(listed, lambda s: F.split(s, r",\s*(?:and\s+)?|\s+and\s+")))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(names, F.trim), lambda s: F.length(s) > 2)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda s: F.trim(s)), lambda s: F.length(s) > 2)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ("facts", "text", "graph", "similarity", "discovery", "evaluation", "retrieval", "decision", "answering", "ingestion")
+GROUPS = ("facts", "text", "graph", "similarity", "discovery", "evaluation", "retrieval", "decision", "answering", "ingestion", "rules")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
