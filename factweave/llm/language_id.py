@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factweave.llm.shared import stored
 
 SAMPLE = 400
-SALTS = 64
+SPARE = 4
 DIMENSIONS = 4096
 UNKNOWN = "und"
 #: A document is rejected by the filter below this score.
@@ -128,17 +128,19 @@ def fold(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", per_language: int = SAMPLE) -> Model | None:
     """Learns from the text and the label of documents outside the held-out fold; None where there are none.
 
-    A null key is in no fold and not learned from.
+    A null key is in no fold and not learned from; of rows that repeat a key and a label, one is.
     """
     usable = docs.filter((fold(key) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # First within salts, so that no task ranks what all tasks of a language send.
-    order = [F.xxhash64(F.lit(17), key), F.col(key)]
-    salted = usable.select(key, "lang", F.pmod(F.xxhash64(F.lit(23), key), F.lit(SALTS)).alias("salt"))
-    for group in (("lang", "salt"), ("lang",)):
-        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= per_language).drop("rank")
+    # The rows with the smallest hashes of each language. Only a share that surely holds them is ranked, a few
+    # times as many as are wanted, however many documents the language has.
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(17), key), 11) / F.lit(2.0**53)
+    counts = stored(docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    early = usable.select(key, "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("n") <= SPARE * per_language).drop("n").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", key))
+    ranked = early.withColumn("rank", rank).filter(F.col("rank") <= per_language)
     # Written, so that Spark knows how small it is and needn't shuffle the texts.
-    drawn = stored(salted.select(key, F.col("lang").alias("__lang")), "language-sample")
-    texts = docs.select(key, "text").join(drawn, key).select("__lang", "text").filter("text is not null")
+    drawn = stored(ranked.select(key, F.col("lang").alias("__lang")), "language-sample")
+    texts = docs.select(key, "text").join(drawn, key).filter("text is not null").dropDuplicates([key, "__lang"]).select("__lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
