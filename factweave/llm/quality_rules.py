@@ -5,7 +5,7 @@ distinct texts that hold a line are counted, so that plain copies of one documen
 not turn its lines into boilerplate. A line found in more than ``limit`` of them is
 removed from every document but its first holder (the smallest id, so that no content
 disappears from the corpus). A document is rejected when the base rules fail or when
-removal leaves it depleted: fewer than ``MIN_WORDS`` words.
+removal leaves it depleted: over half of its words gone, and fewer than ``MIN_WORDS`` left.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LI
     )
     counted = base_counts(docs.drop("content", "removed", "n_removed_words", "kept").withColumn("content", F.xxhash64("text")))
     counted = counted.join(taken, ["doc_id", "content"], "left").drop("content").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    return counted.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= MIN_WORDS))
+    depleted = (F.col("n_words") - F.col("n_removed_words") < MIN_WORDS) & (2 * F.col("n_removed_words") > F.col("n_words"))
+    return counted.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:

@@ -66,7 +66,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed_words >= 10 AS kept, n_removed_words
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - n_removed_words < 10 AND 2 * n_removed_words > n_words) AS kept, n_removed_words
 FROM base
 """
 

@@ -95,7 +95,7 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
         rows.append((i, "read this notice\nread this NOTICE\nread this notice\nread this notice", "a"))  # n_words 12, repeated windows
     rows += [(i, f"read this notice\n{own.format(i)} ", "b") for i in range(40, 45)]
     rows += [(i, "one line of a plain copy that all of these hold in full today here", "a") for i in range(45, 75)]
-    rows += [(75, "read this notice\nand five more words here\nmore words", "a")]
+    rows += [(75, "read this notice\nread THIS notice\nread this Notice\nfour more words here", "a")]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.1, min_limit=6).collect()}
     assert got[0].kept and got[0].n_removed_words == 0  # the first holder keeps the line
     assert all(got[i].kept and got[i].n_removed_words == 3 for i in range(1, 30))
