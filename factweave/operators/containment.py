@@ -2,8 +2,10 @@
 
 A text can hold a name only if it holds each of the name's grams of ``q`` characters. The texts are
 counted once for all grams of all names, and each name is anchored on the gram that the fewest texts
-hold; names with a gram that no text holds are done. Texts and names then meet in an equi-join on the
-anchor, and the hit is verified. A name shorter than ``q`` is its own gram.
+hold; names with a gram that no text holds are done. For names of which the caller knows that they are
+few and unlike each other, the pass over the texts can be left out: the anchor is then the gram that the
+fewest names share. Texts and names meet in an equi-join on the anchor, and the hit is verified. A name
+shorter than ``q`` is its own gram.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.session import cut_lineage
+
 BLOCK_CHARS = 512
 #: Names of one anchor are dealt over so many keys, so that no frequent anchor stays in one task.
 SALTS = 16
@@ -29,12 +33,13 @@ def _text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return blocks.select("text_id", F.explode(every).alias("gram"))
 
 
-def containment_join(texts: DataFrame, names: DataFrame, q: int = 8) -> DataFrame:
+def containment_join(texts: DataFrame, names: DataFrame, q: int = 8, counted: bool = True) -> DataFrame:
     """``text_id, name_id`` for every text (``text_id, text``) that contains a name (``name_id, name``).
 
     Empty names and null names or texts match nothing.
     """
-    names = names.filter(F.length("name") > 0).select("name_id", "name")
+    # Names are read several times, and often made by a long plan.
+    names = cut_lineage(names.filter(F.length("name") > 0).select("name_id", "name"))
     size = F.least(F.lit(q), F.length("name"))
     sizes = sorted(r[0] for r in names.select(size).distinct().collect())  # at most q values
     if not sizes:
@@ -42,10 +47,14 @@ def containment_join(texts: DataFrame, names: DataFrame, q: int = 8) -> DataFram
     candidates = names.select("name_id", "name", F.explode(_grams(F.col("name"), size)).alias("gram"))
     held = _text_grams(texts, sizes)
     # Frequent grams are summed on the map side.
-    counts = held.join(candidates.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = candidates.join(counts, "gram", "left").groupBy("name_id", "name").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
-    anchors = rarest.filter("a.n > 0").select("name_id", "name", F.col("a.gram").alias("gram"), F.pmod(F.xxhash64("name_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = held.join(candidates.select("gram").distinct(), "gram", "left_semi") if counted else candidates
+    counts = known.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = candidates.join(counts, "gram").groupBy("name_id", "name").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "gram")).alias("a"))
+    # A name with a gram that no text holds is in none.
+    every = F.size(_grams(F.col("name"), size))
+    anchors = rarest.filter(F.col("met") == every).select("name_id", "name", F.col("a.gram").alias("gram"), F.pmod(F.xxhash64("name_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    if counted:
+        anchors = cut_lineage(anchors)
     # Only grams that anchor a name travel on, once for each salt its names have.
     wanted = anchors.select("gram", "salt").distinct()
     met = held.join(wanted, "gram").join(anchors, ["gram", "salt"]).select("text_id", "name_id", "name").distinct()

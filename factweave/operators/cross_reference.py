@@ -136,11 +136,11 @@ def _matching_sections(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     keys = wanted.select("search_key").distinct()
     longer = containment_join(
         names.select(F.col("section_key").alias("text_id"), F.col("section_key").alias("text")),
-        keys.select(F.col("search_key").alias("name_id"), F.col("search_key").alias("name")),
+        keys.select(F.col("search_key").alias("name_id"), F.col("search_key").alias("name")), counted=False,
     ).select(F.col("name_id").alias("search_key"), F.col("text_id").alias("section_key"))
     shorter = containment_join(
         keys.select(F.col("search_key").alias("text_id"), F.col("search_key").alias("text")),
-        names.select(F.col("section_key").alias("name_id"), F.col("section_key").alias("name")),
+        names.select(F.col("section_key").alias("name_id"), F.col("section_key").alias("name")), counted=False,
     ).select(F.col("text_id").alias("search_key"), F.col("name_id").alias("section_key"))
     return longer.unionByName(shorter).distinct().join(names, "section_key").groupBy("search_key").agg(
         F.min_by("section_key", "seen").alias("section_key")

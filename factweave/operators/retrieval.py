@@ -99,7 +99,7 @@ def dynamic_search(questions: DataFrame, nodes: DataFrame, vectors: DataFrame |
     )
     distinct_terms = wanted.select("term").distinct().select(F.col("term").alias("name_id"), F.col("term").alias("name"))
     joined = lines.select(F.col("id").alias("text_id"), F.concat_ws("\n", "body", "tag", "part").alias("text"))
-    hits = containment_join(joined, distinct_terms).withColumnsRenamed({"text_id": "id", "name_id": "term"})
+    hits = containment_join(joined, distinct_terms, counted=False).withColumnsRenamed({"text_id": "id", "name_id": "term"})
     matched = wanted.join(hits, "term").join(lines, "id").withColumn(
         "counts", F.col("own") & (F.contains("body", F.col("term")) | F.contains("tag", F.col("term")))
     )
@@ -151,7 +151,7 @@ def structure_seeds(questions: DataFrame, nodes: DataFrame, edges: DataFrame, ve
     lines = nodes.filter(F.col("type") == "FINANCIAL_LINE")
     body = F.concat_ws("\n", F.lower(F.coalesce("xbrl_tag", F.lit(""))), F.lower("text"))
     hits = containment_join(lines.select(F.col("id").alias("text_id"), body.alias("text")),
-                            short.select(F.col("name").alias("name_id"), "name").distinct())
+                            short.select(F.col("name").alias("name_id"), "name").distinct(), counted=False)
     by_concept = short.join(hits.withColumnsRenamed({"name_id": "name", "text_id": "id"}), "name").select("query_id", "id").distinct()
     by_concept = _top(by_concept.join(lines.select("id", "value"), "id"), 7, F.desc_nulls_first("value"), F.col("id"))
     ranked = ranked.unionByName(by_concept.select("query_id", "id", F.lit(2).alias("stage"), F.col("rank").alias("place")))
