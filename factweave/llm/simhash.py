@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm import near_copies
 from factweave.llm.shared import stored
 from factweave.operators.components import connected_components
 
@@ -230,13 +231,8 @@ def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return stored(links.distinct(), "simhash-links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, fingerprint, component_id`` of every row: the smallest key among all rows that links reach.
-
-    Null and empty texts share the fingerprint zero and are linked like any others. A null key never
-    becomes the name of a component unless all its keys are null. Repeated rows come out repeated.
-    """
-    rows = stored(fingerprints(docs.select(key, "text")), "fingerprints")
+def component_names(rows: DataFrame, key: str) -> DataFrame:
+    """``fingerprint, component_id`` of the distinct fingerprints of ``rows``, which is read twice and holds ``key`` too."""
     points = stored(rows.groupBy(F.col("fingerprint").alias("point")).agg(F.min(key).alias("smallest")), "points")
     links = near_links(points)
     ends = links.select(F.col("source_id").alias("id")).union(links.select("target_id")).distinct()
@@ -245,17 +241,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     linked = found.join(named, "component").select("point", "linked_id")
     names = points.join(linked, "point", "left").select(F.col("point").alias("fingerprint"), F.coalesce("linked_id", "smallest").alias("component_id"))
     # Written, so that the last join is one of two plain exchanges, whose frequent fingerprints Spark can split.
-    names = stored(names, "simhash-names")
-    return rows.join(names, "fingerprint").select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return stored(names, "simhash-names")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, fingerprint, component_id`` of every row: the smallest key among all rows that links reach.
+
+    Null and empty texts share the fingerprint zero and are linked like any others. A null key never
+    becomes the name of a component unless all its keys are null. Repeated rows come out repeated.
+    """
+    rows = stored(fingerprints(docs.select(key, "text")), "fingerprints")
+    return rows.join(component_names(rows, key), "fingerprint").select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _profiles(docs: DataFrame, key: str) -> DataFrame:
+    """``key, content, fingerprint, size, prefix``: the fingerprint of each text, and the size and prefix of its set of shingles."""
+    common, counts = near_copies.common_shingles(docs)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column("text").to_pylist()
+                prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+                sets = [near_copies.shingles(t) for t in texts]
+                starts = near_copies._arrays([near_copies.prefix(s, common, counts) for s in sets])
+                sizes = pa.array([len(s) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("content"), pa.array(prints.view(np.int64)), sizes, starts], names=[key, "content", "fingerprint", "size", "prefix"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, near_copies.content().alias("content"), "text").mapInArrow(run, f"`{key}` {kind}, content long, fingerprint long, size int, prefix array<long>")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The document with the smallest key of each group; of rows that repeat a key, one.
 
+    Groups are those of ``near_duplicates``, joined further by every pair of texts whose lower-cased five-word
+    shingles have a Jaccard similarity of at least 0.8, however far apart their fingerprints are.
     A row without a key can't be named as any group's document, and is kept.
     """
-    groups = near_duplicates(docs.filter(F.col(key).isNotNull()), key)
-    first = groups.filter(F.col(key) == F.col("component_id")).select(key)
+    keyed = docs.filter(F.col(key).isNotNull())
+    rows = stored(_profiles(keyed, key), "profiles")
+    names = component_names(rows.select(key, "fingerprint"), key)
+    texts = rows.filter("size > 0").select("content", "size", "prefix", "fingerprint").dropDuplicates(["content"])
+    units = stored(texts.join(names, "fingerprint").select("content", "size", "prefix", F.col("component_id").alias("group")), "near-units")
+    joined = near_copies.merged_groups(keyed, units).filter(F.col("id") != F.col("component")).select(F.col("id").alias(key))
+    # The name of a group is the key of one of its rows.
+    first = names.select(F.col("component_id").alias(key)).distinct().join(joined, key, "left_anti")
     # The removal of repeated keys goes by the partitions of the join.
     named = docs.join(first, key, "left_semi").dropDuplicates([key]).select(docs.columns)
     return named.unionByName(docs.filter(F.col(key).isNull()))
