@@ -21,6 +21,8 @@ WINDOW = 5
 #: A line is frequent above this share of a host's documents, and above this many of them.
 MAX_SHARE = 0.02
 MIN_LIMIT = 100
+#: The pipeline's filter has no floor but this one, against chance repeats; the SQL of the query states MIN_LIMIT.
+FILTER_MIN_LIMIT = 10
 
 
 def _words(text: Column) -> Column:
@@ -123,11 +125,11 @@ def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LI
     return counted.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def quality_filter(docs: DataFrame, **limits) -> DataFrame:
+def quality_filter(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = FILTER_MIN_LIMIT) -> DataFrame:
     """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text."""
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", _line_key(x))), "\n")
     whole = F.col("removed").isNull()
-    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), **limits).filter("kept")
+    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, min_limit).filter("kept")
     new = {"text": F.when(whole, F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(whole, F.col("whole_row.n_chars")).otherwise(F.char_length(left).cast(docs.schema["n_chars"].dataType))
