@@ -94,27 +94,28 @@ def document_lines(docs: DataFrame) -> DataFrame:
     ).filter("n_words > 0")
 
 
-def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LIMIT) -> DataFrame:
-    """``host, line, first_id`` of the lines above the limit of their host.
+def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LIMIT, of_texts: bool = False) -> DataFrame:
+    """``host, line, first_id`` of the lines above the limit of their host: a share of its rows, or of its distinct texts.
 
     Both counts are combined on the map side, so a line of a third of all documents costs
     one row per task. The result is written to the shared folder, so that the joins know its size.
     """
-    hosts = docs.groupBy(stratum("source").alias("host")).agg((F.count(F.lit(1)) * F.lit(max_share)).alias("share"))
+    members = docs.select(stratum("source").alias("host"), F.xxhash64("text").alias("content"))
+    hosts = (members.distinct() if of_texts else members).groupBy("host").agg((F.count(F.lit(1)) * F.lit(max_share)).alias("share"))
     held = document_lines(docs).groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_id"))
     counted = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id"))
     found = counted.filter(F.col("n") > min_limit).join(hosts, "host").filter(F.col("n") > F.col("share"))
     return stored(found.select("host", "line", "first_id"), "frequent-lines")
 
 
-def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LIMIT, of_texts: bool = False) -> DataFrame:
     """``docs`` with the base counts, ``removed`` (hashes of its removed lines), ``n_removed_words`` and ``kept``.
 
     Null texts, sources and ids are allowed: a null source is a host of its own, and a row
     without an id is judged by the base rules alone. Repeated ids share their removed lines.
     """
     taken = (
-        document_lines(docs).join(frequent_lines(docs, max_share, min_limit), ["host", "line"])
+        document_lines(docs).join(frequent_lines(docs, max_share, min_limit, of_texts), ["host", "line"])
         .filter(F.col("doc_id") != F.col("first_id"))
         .dropDuplicates(["doc_id", "content", "pos"])
         .groupBy("doc_id", "content").agg(F.collect_set("line").alias("removed"), F.sum("n_words").alias("n_removed_words"))
@@ -129,7 +130,7 @@ def quality_filter(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int
     """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text."""
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", _line_key(x))), "\n")
     whole = F.col("removed").isNull()
-    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, min_limit).filter("kept")
+    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, min_limit, True).filter("kept")
     new = {"text": F.when(whole, F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(whole, F.col("whole_row.n_chars")).otherwise(F.char_length(left).cast(docs.schema["n_chars"].dataType))

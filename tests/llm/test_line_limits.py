@@ -33,3 +33,9 @@ def test_filter_removes_lines_of_small_hosts(spark):
     rows = [(i, f"{own(i)}\n{FOOTER}", "small") for i in range(40)] + [(i, f"{own(i)}\n{FOOTER}", "tiny") for i in range(40, 50)]
     texts = {r.doc_id: r.text for r in quality_rules.quality_filter(frame(spark, rows)).collect()}
     assert [i for i, t in texts.items() if FOOTER in t and i < 40] == [0] and sum(FOOTER in texts[i] for i in range(40, 50)) == 10
+
+
+def test_filter_takes_its_share_of_distinct_texts(spark):
+    rows = [(i, f"{own(i)}\n{FOOTER}", "a") for i in range(150)] + [(i, own(-1), "a") for i in range(150, 10_000)]
+    kept = quality_rules.quality_filter(frame(spark, rows))
+    assert kept.filter(kept.text.contains(FOOTER)).count() == 1 and kept.count() == 10_000
