@@ -127,10 +127,14 @@ def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LI
 
 
 def quality_filter(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = FILTER_MIN_LIMIT) -> DataFrame:
-    """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text."""
+    """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text.
+
+    What is left must pass the base minimum of words.
+    """
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", _line_key(x))), "\n")
     whole = F.col("removed").isNull()
-    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, min_limit, True).filter("kept")
+    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, min_limit, True)
+    judged = judged.filter(F.col("kept") & (F.col("n_words") - F.col("n_removed_words") >= MIN_WORDS))
     new = {"text": F.when(whole, F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(whole, F.col("whole_row.n_chars")).otherwise(F.char_length(left).cast(docs.schema["n_chars"].dataType))

@@ -39,3 +39,11 @@ def test_filter_takes_its_share_of_distinct_texts(spark):
     rows = [(i, f"{own(i)}\n{FOOTER}", "a") for i in range(150)] + [(i, own(-1), "a") for i in range(150, 10_000)]
     kept = quality_rules.quality_filter(frame(spark, rows))
     assert kept.filter(kept.text.contains(FOOTER)).count() == 1 and kept.count() == 10_000
+
+
+def test_filter_rejects_what_removal_leaves_below_the_base_minimum(spark):
+    rows = [(i, f"{own(i)}\n{FOOTER}", "a") for i in range(40)]
+    rows += [(40, "this one has nine words of its own {}\n".format("x") + "short line of all\n" + FOOTER, "a")]
+    rows += [(i, f"{own(i)}\nand a line of nine words in all pages", "a") for i in range(41, 60)]
+    rows += [(60, "these are the nine words left of this one\nand a line of nine words in all pages", "a")]
+    assert {r.doc_id for r in quality_rules.quality_filter(frame(spark, rows)).collect()} == set(range(61)) - {60}
