@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import chat_formatting, language_id, multi_index, offset_pieces, packing, pair_index_bpe, quality_rules, sharding, simhash, suffix_dedup, warc
+from factweave.llm import chat_formatting, language_id, multi_index, offset_pieces, packing, pair_index_bpe, period_runs, quality_rules, sharding, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,8 @@ def op4_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offset_pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op11_tiled_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digests(table(spark, sf_dir, "documents"))
