@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import chat_formatting, language_id, multi_index, offset_pieces, packing, pair_index_bpe, period_runs, quality_rules, sharding, simhash, suffix_dedup, warc
+from factweave.llm import chat_formatting, language_id, multi_index, offset_pieces, packing, pair_index_bpe, period_runs, quality_rules, sharding, simhash, suffix_dedup, turn_repair, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op13_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_tiled_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
