@@ -15,10 +15,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Known words of a worker; the older half goes when the newer is full.
 CACHE_WORDS = 150_000
@@ -30,6 +32,19 @@ _SPACE = re.compile(f"[{SPACES}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for blanks, the vocabulary does not
 
 
+def _unassigned() -> str:
+    """Ranges of the code points without a category in Python's tables, for a regular expression."""
+    ranges, first = [], None
+    for c in range(0x110001):
+        inside = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(ranges)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from U+0100 on."""
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -49,15 +64,21 @@ class PairIndexBpe:
             raise ValueError("this vocabulary is normalised or merged in another way")
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"]
-        self.tokens = {i: t for t, i in vocab.items()}
+        tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens.update({i: t for t, i in self.special.items()})
+        tokens.update({i: t for t, i in self.special.items()})
+        self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word_pattern = regex.compile(pattern.replace(r"\s", SPACES))
+        # Python's tables end at some version of Unicode; of later code points only the vocabulary's own library knows the class.
+        self.later = re.compile(f"[{_unassigned()}]")
+        self.library = Tokenizer.from_file(path)
         symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + self.suffix] for s in symbols]
+        self.byte_of = {s: b for b, s in enumerate(symbols)}
+        self.inner = np.array([vocab[s] for s in symbols], np.int64)
+        self.last = np.array([vocab[s + self.suffix] for s in symbols], np.int64)
         self.width = max(vocab.values()) + 1
         self.ranks: dict[int, int] = {}
         self.made: list[int] = []
@@ -71,27 +92,35 @@ class PairIndexBpe:
             self.ranks[left * self.width + right] = rank
             self.made.append(new)
             self.twins.append(left == right)
+        self.codes = np.array(sorted(self.ranks), np.int64)
+        self.code_ranks = np.array([self.ranks[c] for c in self.codes.tolist()], np.int64)
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
         self.words: dict[str, list[int]] = {}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word (as UTF-8), by one index of pairs over all of them."""
-        sym: list[int] = []
-        starts = []
-        for word in words:
-            starts.append(len(sym))
-            sym.extend(map(self.inner.__getitem__, word))
-            sym[-1] = self.last[word[-1]]
-            sym.append(-1)  # ends the word
-        n = len(sym)
+        """The ids of each word (as UTF-8, not empty), by one index of pairs over all of them."""
+        if not words:
+            return []
+        # A mark of -1 ends each word; it takes the place of one more byte.
+        joined = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+        stops = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
+        codes = self.inner[joined]
+        codes[stops - 1] = self.last[joined[stops - 1]]
+        codes[stops] = -1
+        n = len(codes)
+        pairs = codes[:-1] * self.width + codes[1:]
+        at = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
+        held = np.flatnonzero((self.codes[at] == pairs) & (codes[:-1] >= 0) & (codes[1:] >= 0))
+        found = self.code_ranks[at[held]]
+        order = np.argsort(found, kind="stable")
+        ranked, edges = np.unique(found[order], return_index=True)
+        places_of = held[order].tolist()
+        bounds = [*edges.tolist(), len(places_of)]
+        index: dict[int, list[int]] = {rank: places_of[a:b] for rank, a, b in zip(ranked.tolist(), bounds, bounds[1:])}
+        sym, starts = codes.tolist(), [0, *(stops[:-1] + 1).tolist()]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks, width, made = self.ranks, self.width, self.made
-        index: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            rank = ranks.get(sym[p] * width + sym[p + 1]) if sym[p] >= 0 and sym[p + 1] >= 0 else None
-            if rank is not None:
-                index.setdefault(rank, []).append(p)
         heap = sorted(index)
         while heap:
             rank = heappop(heap)
@@ -125,9 +154,14 @@ class PairIndexBpe:
         """Put the encodings of new chunks (texts without blanks) into the cache."""
         split, new_words = {}, {}
         for chunk in chunks:
-            # A capital sigma is lowered without regard to its place in the word.
-            plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            split[chunk] = found = self.word_pattern.findall(plain) if plain.isascii() else self._find(plain)
+            if chunk.isascii():
+                found = self.word_pattern.findall(chunk.lower())
+            elif self.later.search(chunk):
+                found = self._words_of_library(chunk)
+            else:
+                # A capital sigma is lowered without regard to its place in the word.
+                found = self.word_pattern.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+            split[chunk] = found
             for word in found:
                 if word not in self.words:
                     new_words[word] = None
@@ -136,14 +170,15 @@ class PairIndexBpe:
             new_words = {w: None for found in split.values() for w in found}
         names = list(new_words)
         self.words.update(zip(names, self.encode_words([w.encode("utf-8", "surrogatepass") for w in names])))
+        numbers, shown, known = self.names.__getitem__, self.tokens.__getitem__, self.words
         for chunk, found in split.items():
-            ids = [i for word in found for i in self.words[word]]
-            self.young[chunk] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            ids = known[found[0]] if len(found) == 1 else [i for word in found for i in known[word]]
+            self.young[chunk] = (" ".join(map(numbers, ids)), len(ids), " ".join(map(shown, ids)))
 
-    def _find(self, plain: str) -> list[str]:
-        """Words of a text; code points without a category count as symbols, though newer tables may know them as letters."""
-        known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in plain)
-        return [plain[m.start() : m.end()] for m in self.word_pattern.finditer(known)]
+    def _words_of_library(self, chunk: str) -> list[str]:
+        """Words of a text as the vocabulary's own normaliser and splitter find them; merges stay ours."""
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(map(self.byte_of.__getitem__, part)).decode("utf-8") for part, _ in parts]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by blanks: the vocabulary names no other decoder."""
@@ -167,9 +202,12 @@ class PairIndexBpe:
         self._learn(unknown)
         out, known = [], self.young
         for row in rows:
-            parts = [p for c in row if (p := known[c])[1]]
+            parts = list(map(known.__getitem__, row))
             if parts:
                 ids, counts, decoded = zip(*parts)
+                if 0 in counts:
+                    parts = [p for p in parts if p[1]]
+                    ids, counts, decoded = zip(*parts) if parts else ((), (), ())
                 out.append((" ".join(ids), sum(counts), " ".join(decoded)))
             else:
                 out.append(("", 0, ""))

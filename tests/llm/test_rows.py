@@ -249,6 +249,19 @@ def test_pair_index_matches_the_library():
         assert decoded == slow.decode(want, skip_special_tokens=False)
 
 
+def test_pair_index_knows_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    slow, own = Tokenizer.from_file(path), pair_index_bpe.PairIndexBpe(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"x{c}y{c}!" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    rng = random.Random(2)
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x7F), rng.randrange(0xA0, 0x3000), rng.randrange(0x10000, 0x20000)])) for _ in range(20)) for _ in range(20_000)]
+    for at in range(0, len(texts), 200):
+        part = texts[at : at + 200]
+        want = [" ".join(map(str, e.ids)) for e in slow.encode_batch(part, add_special_tokens=False)]
+        assert [r[0] for r in own.encode_batch(part)] == want
+
+
 def test_pair_index_caches_turn_over(monkeypatch):
     monkeypatch.setattr(pair_index_bpe, "CACHE_WORDS", 5)
     path = public_tokenizers.path("word_bpe_49k.json")
