@@ -2,10 +2,10 @@
 
 Lines are normalised (lower case, blanks collapsed) and hashed. For each host the
 distinct texts that hold a line are counted, so that plain copies of one document do
-not turn its lines into boilerplate. A line found in more than ``limit`` of them is
-removed from every document but its first holder (the smallest id, so that no content
-disappears from the corpus). A document is rejected when the base rules fail or when
-removal leaves it depleted: over half of its words gone, and fewer than ``MIN_WORDS`` left.
+not turn its lines into boilerplate; the host's own distinct texts are what their share is
+taken of. A line above the share is removed from every document but its first holder (the
+smallest id, so that no content disappears from the corpus). A document is rejected when the
+base rules fail or when removal leaves it depleted, with fewer words than they ask for.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from factweave.llm.shared import BLANKS, stored, stratum
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A line is frequent above this share of a host's documents, and above this many of them.
+#: A line is frequent above this share of a host's distinct texts. The floor is against chance: a line shared by so few isn't boilerplate.
 MAX_SHARE = 0.02
-MIN_LIMIT = 100
-#: The pipeline's filter has no floor but this one, against chance repeats; the SQL of the query states MIN_LIMIT.
-FILTER_MIN_LIMIT = 10
+FLOOR = 10
 
 
 def _words(text: Column) -> Column:
@@ -94,47 +92,43 @@ def document_lines(docs: DataFrame) -> DataFrame:
     ).filter("n_words > 0")
 
 
-def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LIMIT, of_texts: bool = False) -> DataFrame:
-    """``host, line, first_id`` of the lines above the limit of their host: a share of its rows, or of its distinct texts.
+def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, floor: int = FLOOR) -> DataFrame:
+    """``host, line, first_id`` of the lines in more than ``floor`` distinct texts and more than that share of those of their host.
 
     Both counts are combined on the map side, so a line of a third of all documents costs
     one row per task. The result is written to the shared folder, so that the joins know its size.
     """
-    members = docs.select(stratum("source").alias("host"), F.xxhash64("text").alias("content"))
-    hosts = (members.distinct() if of_texts else members).groupBy("host").agg((F.count(F.lit(1)) * F.lit(max_share)).alias("share"))
+    members = docs.filter(F.col("text").isNotNull()).select(stratum("source").alias("host"), F.xxhash64("text").alias("content"))
+    hosts = members.distinct().groupBy("host").agg((F.count(F.lit(1)) * F.lit(max_share)).alias("share"))
     held = document_lines(docs).groupBy("host", "line", "content").agg(F.min("doc_id").alias("first_id"))
     counted = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id"))
-    found = counted.filter(F.col("n") > min_limit).join(hosts, "host").filter(F.col("n") > F.col("share"))
+    found = counted.filter(F.col("n") > floor).join(hosts, "host").filter(F.col("n") > F.col("share"))
     return stored(found.select("host", "line", "first_id"), "frequent-lines")
 
 
-def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = MIN_LIMIT, of_texts: bool = False) -> DataFrame:
+def judge(docs: DataFrame, max_share: float = MAX_SHARE, floor: int = FLOOR) -> DataFrame:
     """``docs`` with the base counts, ``removed`` (hashes of its removed lines), ``n_removed_words`` and ``kept``.
 
     Null texts, sources and ids are allowed: a null source is a host of its own, and a row
     without an id is judged by the base rules alone. Repeated ids share their removed lines.
     """
     taken = (
-        document_lines(docs).join(frequent_lines(docs, max_share, min_limit, of_texts), ["host", "line"])
+        document_lines(docs).join(frequent_lines(docs, max_share, floor), ["host", "line"])
         .filter(F.col("doc_id") != F.col("first_id"))
         .dropDuplicates(["doc_id", "content", "pos"])
         .groupBy("doc_id", "content").agg(F.collect_set("line").alias("removed"), F.sum("n_words").alias("n_removed_words"))
     )
     counted = base_counts(docs.drop("content", "removed", "n_removed_words", "kept").withColumn("content", F.xxhash64("text")))
     counted = counted.join(taken, ["doc_id", "content"], "left").drop("content").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    depleted = (F.col("n_words") - F.col("n_removed_words") < MIN_WORDS) & (2 * F.col("n_removed_words") > F.col("n_words"))
+    depleted = F.col("n_words") - F.col("n_removed_words") < MIN_WORDS
     return counted.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def quality_filter(docs: DataFrame, max_share: float = MAX_SHARE, min_limit: int = FILTER_MIN_LIMIT) -> DataFrame:
-    """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text.
-
-    What is left must pass the base minimum of words.
-    """
+def quality_filter(docs: DataFrame, max_share: float = MAX_SHARE, floor: int = FLOOR) -> DataFrame:
+    """The kept documents without their frequent lines, in the columns of ``docs``; ``n_chars`` follows the text."""
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", _line_key(x))), "\n")
     whole = F.col("removed").isNull()
-    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, min_limit, True)
-    judged = judged.filter(F.col("kept") & (F.col("n_words") - F.col("n_removed_words") >= MIN_WORDS))
+    judged = judge(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row")), max_share, floor).filter("kept")
     new = {"text": F.when(whole, F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(whole, F.col("whole_row.n_chars")).otherwise(F.char_length(left).cast(docs.schema["n_chars"].dataType))

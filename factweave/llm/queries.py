@@ -50,10 +50,10 @@ WITH d AS (
   SELECT doc_id, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
          len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_words
   FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM d)
-), hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source
+), hosts AS (SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source
 ), frequent AS (
   SELECT l.source, line, min(doc_id) AS first_id FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, line, h.n HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.02 * h.n
+  GROUP BY l.source, line, h.n HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.02 * h.n
 ), removed AS (
   SELECT doc_id, sum(n_words) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line
   WHERE doc_id <> first_id GROUP BY doc_id
@@ -66,7 +66,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - n_removed_words < 10 AND 2 * n_removed_words > n_words) AS kept, n_removed_words
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed_words >= 10 AS kept, n_removed_words
 FROM base
 """
 

@@ -19,14 +19,14 @@ def frame(spark, rows):
 def test_sql_removes_lines_and_rejects_documents(spark, tmp_path):
     rows = [(i, f"{own(i)}\n{FOOTER}" if i % 2 else own(i), "a") for i in range(300)]
     rows += [(i, f"only six words {i} here now\n{FOOTER.upper()}", "a") for i in range(300, 320)]
-    rows += [(i, f"{own(i)}\n{FOOTER}", None) for i in range(320, 410)]
+    rows += [(i, f"{own(i)}\n{FOOTER}", None) for i in range(320, 410)] + [(i, f"{own(i)}\n{FOOTER}", "tiny") for i in range(410, 420)] + [(420, None, "a")]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     df = queries.QUERIES["op5_line_frequency"](spark, str(tmp_path))
     got = df.collect()
     assert compare(df.columns, got, con, queries.ORACLES["op5_line_frequency"])[0] is None
-    assert sum(r.n_removed_words > 0 for r in got) == 149 + 20 and sum(not r.kept for r in got) == 20
+    assert sum(r.n_removed_words > 0 for r in got) == 149 + 20 + 89 and sum(not r.kept for r in got) == 20 + 1
 
 
 def test_filter_removes_lines_of_small_hosts(spark):

@@ -96,13 +96,13 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     rows += [(i, f"read this notice\n{own.format(i)} ", "b") for i in range(40, 45)]
     rows += [(i, "one line of a plain copy that all of these hold in full today here", "a") for i in range(45, 75)]
     rows += [(75, "read this notice\nread THIS notice\nread this Notice\nfour more words here", "a")]
-    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.1, min_limit=6).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.1, floor=6).collect()}
     assert got[0].kept and got[0].n_removed_words == 0  # the first holder keeps the line
     assert all(got[i].kept and got[i].n_removed_words == 3 for i in range(1, 30))
     assert not any(got[i].kept for i in range(30, 40)) and got[40].kept and got[40].n_removed_words == 0
     assert all(got[i].kept for i in range(45, 75))  # copies of one text count once
     assert not got[75].base_failed and not got[75].kept
-    texts = {r.doc_id: r.text for r in quality_rules.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.1, min_limit=6).collect()}
+    texts = {r.doc_id: r.text for r in quality_rules.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_share=0.1, floor=6).collect()}
     assert texts[1] == own.format(1) and texts[0] == rows[0][1] and 75 not in texts and len(texts) == 30 + 5 + 30
 
 
