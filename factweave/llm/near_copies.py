@@ -4,6 +4,10 @@ All shingles have one order, rare ones first. Two similar sets share at least on
 ``n - ceil(0.8 n) + 1`` shingles of each, so every similar pair meets at a shingle of its prefixes, and
 is then compared in full. The order decides only how many pairs meet: shingles that are common in a
 bounded sample come last. Shingles are 64-bit hashes; no other step is approximate.
+
+Shingles and their texts are exchanged once, sorted, and one pass keeps those that two texts share; all that
+follows works on these few. Texts are compared in groups that are known already, one representative of each
+shingle first, so that a group of copies costs no pairs of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.shared import stored
+from factweave.llm.shared import discard, stored
 from factweave.operators.components import connected_components
 
 SHINGLE = 5
@@ -62,23 +66,20 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
 
 
-def _arrays(sets: list[np.ndarray]) -> pa.Array:
+def arrays(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, sets)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
 
 
-def _with_shingles(texts: DataFrame) -> DataFrame:
-    """``own`` in place of ``text``."""
-    kept = [c for c in texts.columns if c != "text"]
+def _shingle_counts(texts: DataFrame) -> DataFrame:
+    """``gram, count``: in how many of ``texts`` a shingle is."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*map(part.column, kept), _arrays([shingles(t) for t in part.column("text").to_pylist()])], names=[*kept, "own"])
+                yield pa.RecordBatch.from_arrays([arrays([shingles(t) for t in batch.column("text").slice(at, 500).to_pylist()])], names=["own"])
 
-    schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept), "own array<long>"])
-    return texts.select(*kept, "text").mapInArrow(run, schema)
+    return texts.select("text").mapInArrow(run, "own array<long>").select(F.explode("own").alias("gram")).groupBy("gram").count()
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +89,42 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if last is None:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     sample = texts.filter(F.col("content") <= last).dropDuplicates(["content"])
-    counted = _with_shingles(sample).select(F.explode("own").alias("gram")).groupBy("gram").count().filter(F.col("count") >= COMMON)
+    counted = _shingle_counts(sample).filter(F.col("count") >= COMMON)
     rows = sorted((r[0], r[1]) for r in counted.orderBy(F.desc("count"), "gram").limit(TABLE).collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The rows ``gram, content, size, pos`` of shingles that two texts hold, each once. Rows stream through in order."""
+    names = ["gram", "content", "size", "pos"]
+
+    def run(batches):
+        last, sent = None, False  # the last row so far, and whether it is out
+        for batch in batches:
+            rows = [batch.column(n).to_numpy() for n in names]
+            if not len(rows[0]):
+                continue
+            if last is not None:
+                rows = [np.concatenate([[x], r]).astype(r.dtype) for x, r in zip(last, rows)]
+            gram, content = rows[:2]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
+            rows = [r[new] for r in rows]
+            met = rows[0][1:] == rows[0][:-1]
+            out = np.zeros(len(rows[0]), bool)
+            out[1:] |= met
+            out[:-1] |= met
+            out_last = bool(out[-1])
+            if last is not None and sent:
+                out_last = out_last or len(out) == 1
+                out[0] = False
+            last, sent = [r[-1] for r in rows], out_last
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(r[out]) for r in rows], names=names)
+
+    return entries.repartition("gram").sortWithinPartitions("gram", "content").mapInArrow(run, "gram long, content long, size int, pos int")
+
+
 def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """``a, b`` of the pairs that meet at a shingle, are in two groups and can reach 0.8 by sizes and places."""
     x, y = left.alias("x"), right.alias("y")
@@ -102,48 +134,65 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``source_id, target_id``: the groups of the pairs that are similar. Only the texts of pairs are moved."""
-    ends = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
-    ends = stored(groups.join(ends, "content", "left_semi"), "near-ends")
-    texts = docs.select(content().alias("content"), "text").join(ends, "content").dropDuplicates(["content"])
-    sets = stored(_with_shingles(texts), "near-sets")
-    first = sets.select(F.col("content").alias("a"), F.col("group").alias("source_id"), F.col("own").alias("a_own"))
-    second = sets.select(F.col("content").alias("b"), F.col("group").alias("target_id"), F.col("own").alias("b_own"))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``source_id, target_id``: the groups of the pairs that are similar; ``texts`` has ``content, text, group``."""
+    first = texts.select(F.col("content").alias("a"), F.col("group").alias("source_id"), F.col("text").alias("a_text"))
+    second = texts.select(F.col("content").alias("b"), F.col("group").alias("target_id"), F.col("text").alias("b_text"))
 
     def run(batches):
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            sides = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("a_own"), batch.column("b_own"))]
-            (x, xs), (y, ys) = sides
-            good = [similar(x[xs[k] : xs[k + 1]], y[ys[k] : ys[k + 1]]) for k in range(batch.num_rows)]
+            good = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text"))):
+                if len(known) > 200:
+                    known = {}
+                for name, text in ((a, x), (b, y)):
+                    if name not in known:
+                        known[name] = shingles(text)
+                good.append(similar(known[a], known[b]))
             yield batch.select(["source_id", "target_id"]).filter(pa.array(good, pa.bool_()))
 
     kind = first.schema["source_id"].dataType.simpleString()
-    joined = pairs.join(first, "a").join(second, "b").select("source_id", "target_id", "a_own", "b_own")
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "source_id", "target_id", "a_text", "b_text")
     return joined.mapInArrow(run, f"source_id {kind}, target_id {kind}").distinct()
 
 
-def merged_groups(docs: DataFrame, units: DataFrame) -> DataFrame:
+def _of_two_groups(hits: DataFrame) -> DataFrame:
+    """The rows of shingles that are in two groups."""
+    shared = hits.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("gram")
+    return hits.join(shared, "gram", "left_semi")
+
+
+def merged_groups(docs: DataFrame, profiles: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """``id, component`` of the groups that similar texts join to others: the smallest group of each component.
 
-    ``units`` has one row of ``content, size, prefix, group`` for each distinct text and is read several times.
-    Pairs inside a group aren't compared. Each text is first compared with one text at each of its shingles, which joins
-    large groups without all their pairs; then all pairs that are still in two groups are.
+    ``profiles`` has ``key, content, fingerprint, size, prefix`` of each document (the prefix at least once for each content; a
+    text without words has none and is left to its group); ``names`` has ``fingerprint, component_id``. Of ``docs`` only the key
+    and the text are read, so other columns can't clash. Pairs inside a group aren't compared. Each text is first compared with
+    one text at each of its shingles, which joins large groups without all their pairs; then all pairs still in two groups are.
     """
-    entries = units.select("content", "size", "group", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("gram")
-    hits = stored(entries.join(shared, "gram", "left_semi"), "near-hits")
-    wanted = stored(hits.select("content", "group").distinct(), "near-wanted")
+    entries = profiles.filter(F.size("prefix") > 0).select("content", "size", F.posexplode("prefix").alias("pos", "gram"))
+    held = stored(_shared(entries.select("gram", "content", "size", "pos")), "near-held")
+    rows = profiles.groupBy("content", "fingerprint").agg(F.min(key).alias(key)).join(held.select("content").distinct(), "content", "left_semi")
+    named = stored(rows.join(names, "fingerprint").select("content", key, F.col("component_id").alias("group")), "near-named")
+    hits = stored(_of_two_groups(held.join(named.select("content", "group"), "content")), "near-hits")
+    discard(held)
+
+    # One document stands for each text; its text is moved once.
+    wanted = named.join(hits.select("content").distinct(), "content", "left_semi")
+    texts = docs.select(key, content().alias("content"), "text").join(wanted, [key, "content"]).dropDuplicates([key, "content"]).select("content", "text", "group")
+    texts = stored(texts, "near-texts")
 
     lead = hits.groupBy("gram").agg(F.min(F.struct("group", "content", "size", "pos")).alias("lead")).select("gram", "lead.*")
     tried = stored(_candidates(hits, lead), "near-tried")
-    links = stored(_verified(docs, tried, wanted), "near-links")
-    groups = wanted.select(F.col("group").alias("id")).distinct()
+    links = stored(_verified(tried, texts), "near-links")
+    groups = texts.select(F.col("group").alias("id")).distinct()
     found = stored(connected_components(groups, links), "near-components")
 
     renamed = hits.join(found.withColumnRenamed("id", "group"), "group").drop("group").withColumnRenamed("component", "group")
-    still = renamed.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("gram")
-    left = stored(renamed.join(still, "gram", "left_semi"), "near-left")
+    left = stored(_of_two_groups(renamed), "near-left")
     rest = stored(_candidates(left, left).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    more = stored(_verified(docs, rest, wanted), "near-links")
-    return connected_components(groups, links.unionByName(more))
+    more = stored(_verified(rest, texts), "near-more")
+    out = stored(connected_components(groups, links.unionByName(more)), "near-groups")
+    discard(named, hits, texts, tried, links, found, left, rest, more)
+    return out

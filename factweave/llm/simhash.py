@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import near_copies
-from factweave.llm.shared import stored
+from factweave.llm.shared import discard, stored
 from factweave.operators.components import connected_components
 
 SHINGLE = 3
@@ -33,6 +33,8 @@ SHARD_ROWS = 20_000
 #: Larger shards are compared in pairs of chunks of this size.
 CHUNK_ROWS = 60_000
 DIRECT_ROWS = 2_048
+#: A task remembers so many texts, so that their copies cost nothing.
+KNOWN_TEXTS = 200_000
 
 
 # ---- fingerprints --------------------------------------------------------------------
@@ -255,19 +257,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _profiles(docs: DataFrame, key: str) -> DataFrame:
-    """``key, content, fingerprint, size, prefix``: the fingerprint of each text, and the size and prefix of its set of shingles."""
+    """``key, content, fingerprint, size, prefix``: the fingerprint of each text, and the size and prefix of its set of shingles.
+
+    Of copies that come by in one task, only the first gets a prefix.
+    """
     common, counts = near_copies.common_shingles(docs)
 
     def run(batches):
+        known: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column("text").to_pylist()
-                prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-                sets = [near_copies.shingles(t) for t in texts]
-                starts = near_copies._arrays([near_copies.prefix(s, common, counts) for s in sets])
-                sizes = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("content"), pa.array(prints.view(np.int64)), sizes, starts], names=[key, "content", "fingerprint", "size", "prefix"])
+                prints, sizes, prefixes = [], [], []
+                for content, text in zip(part.column("content").to_pylist(), part.column("text").to_pylist()):
+                    if content in known:
+                        own, size = known[content]
+                        prefixes.append(np.empty(0, np.int64))
+                    else:
+                        found = near_copies.shingles(text)
+                        own, size = known[content] = fingerprint(text), len(found)
+                        prefixes.append(near_copies.prefix(found, common, counts))
+                    prints.append(own)
+                    sizes.append(size)
+                columns = [part.column(key), part.column("content"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), near_copies.arrays(prefixes)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "content", "fingerprint", "size", "prefix"])
+                if len(known) > KNOWN_TEXTS:
+                    known = {}
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, near_copies.content().alias("content"), "text").mapInArrow(run, f"`{key}` {kind}, content long, fingerprint long, size int, prefix array<long>")
@@ -283,11 +298,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     keyed = docs.filter(F.col(key).isNotNull())
     rows = stored(_profiles(keyed, key), "profiles")
     names = component_names(rows.select(key, "fingerprint"), key)
-    texts = rows.filter("size > 0").select("content", "size", "prefix", "fingerprint").dropDuplicates(["content"])
-    units = stored(texts.join(names, "fingerprint").select("content", "size", "prefix", F.col("component_id").alias("group")), "near-units")
-    joined = near_copies.merged_groups(keyed, units).filter(F.col("id") != F.col("component")).select(F.col("id").alias(key))
+    merged = near_copies.merged_groups(keyed, rows, names, key)
+    joined = merged.filter(F.col("id") != F.col("component")).select(F.col("id").alias(key))
     # The name of a group is the key of one of its rows.
-    first = names.select(F.col("component_id").alias(key)).distinct().join(joined, key, "left_anti")
+    first = stored(names.select(F.col("component_id").alias(key)).distinct().join(joined, key, "left_anti"), "near-kept")
+    discard(rows, names, merged)
     # The removal of repeated keys goes by the partitions of the join.
     named = docs.join(first, key, "left_semi").dropDuplicates([key]).select(docs.columns)
     return named.unionByName(docs.filter(F.col(key).isNull()))
