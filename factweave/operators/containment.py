@@ -1,61 +1,164 @@
-"""Which texts contain which names, without comparing every text with every name.
-
-A text can hold a name only if it holds each of the name's grams of ``q`` characters. The texts are
-counted once for all grams of all names, and each name is anchored on the gram that the fewest texts
-hold; names with a gram that no text holds are done. For names of which the caller knows that they are
-few and unlike each other, the pass over the texts can be left out: the anchor is then the gram that the
-fewest names share. Texts and names meet in an equi-join on the anchor, and the hit is verified. A name
-shorter than ``q`` is its own gram.
+"""Which texts contain which names, reading each text once.
+
+Names are the patterns of Aho-Corasick automata. A name table that is known to be small becomes one automaton
+that every task holds while it scans its texts; nothing of the texts is moved. A large table is dealt into shards by the
+first characters of the names, each small enough for an automaton. A text then goes nowhere whole: a filter of fixed size
+tells at which places one of the beginnings stands, and only the pieces of text that start there, as long as
+the longest name of their shard, travel to the shard, salted so that a frequent beginning takes many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.session import cut_lineage
 
-BLOCK_CHARS = 512
-#: Names of one anchor are dealt over so many keys, so that no frequent anchor stays in one task.
+#: The most characters (and names) of one automaton: about 60 bytes each.
+AUTOMATON_CHARS = 2_000_000
+#: Names are dealt by so many first characters.
+BEGINNING = 4
+#: Bits of the filter of beginnings.
+FILTER_BITS = 1 << 22
 SALTS = 16
+#: Pieces of one message to a shard.
+PIECES = 256
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def automaton(names: list[str]) -> ahocorasick.Automaton:
+    """Finds the places of all names in one pass; the value of a name is its number."""
+    found = ahocorasick.Automaton()
+    for number, name in enumerate(names):
+        found.add_word(name, number)
+    found.make_automaton()
+    return found
+
+
+def _held(found: ahocorasick.Automaton, text: str) -> set[int]:
+    return {number for _, number in found.iter(text)}
+
+
+def beginnings(text: str, size: int) -> np.ndarray:
+    """A number below ``FILTER_BITS`` for the ``size`` characters from each place on."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    mixed = sum((codes[k : k + n] + np.uint64(size)) * _FACTORS[k] for k in range(size))
+    return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _names_of(names: DataFrame) -> DataFrame:
+    """The distinct names with their length and the number of their beginning."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("name").to_pylist()
+            keys = [int(beginnings(t[:BEGINNING], min(len(t), BEGINNING))[0]) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(map(len, texts), pa.int32()), pa.array(keys, pa.int32())], names=["name", "length", "beginning"])
+
+    return names.select("name").distinct().mapInArrow(run, "name string, length int, beginning int")
+
+
+def _one_automaton(texts: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """``text_id, name`` by a scan of the texts where they are."""
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches):
+        found = automaton(shared.value)
+        for batch in batches:
+            rows, numbers = [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                own = _held(found, text) if text else ()
+                rows += [row] * len(own)
+                numbers += own
+            yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(rows, pa.int64())), pa.array([shared.value[k] for k in numbers], pa.string())], names=["text_id", "name"])
+
+    return texts.select("text_id", "text").mapInArrow(run, f"text_id {kind}, name string")
+
 
+def _sharded(texts: DataFrame, names: DataFrame, shards: int, kind: str) -> DataFrame:
+    """``text_id, name`` by pieces of the texts sent to the shards; ``names`` comes from ``_names_of``."""
+    spark = texts.sparkSession
+    # At most FILTER_BITS numbers, each with its longest name.
+    known = names.groupBy("beginning").agg(F.max("length").alias("longest"), F.collect_set(F.least(F.col("length"), F.lit(BEGINNING))).alias("sizes"))
+    longest = np.zeros(FILTER_BITS, np.int32)
+    sizes: set[int] = set()
+    for r in known.toLocalIterator():
+        longest[r["beginning"]] = r["longest"]
+        sizes.update(r["sizes"])
+    shared = spark.sparkContext.broadcast((longest, sorted(sizes)))
 
-def _grams(text: Column, size: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+    def cut(batches: Iterator[pa.RecordBatch]):
+        reach, lengths = shared.value
+        for batch in batches:
+            rows, where, pieces = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                if not text:
+                    continue
+                by_shard: dict[int, list[str]] = {}
+                for size in lengths:
+                    keys = beginnings(text, size)
+                    places = np.flatnonzero(reach[keys])
+                    for at, key in zip(places.tolist(), keys[places].tolist()):
+                        by_shard.setdefault(key % shards, []).append(text[at : at + int(reach[key])])
+                for shard, own in by_shard.items():
+                    own = list(dict.fromkeys(own))
+                    for at in range(0, len(own), PIECES):
+                        rows.append(row), where.append(shard), pieces.append(own[at : at + PIECES])
+            columns = [batch.column("text_id").take(pa.array(rows, pa.int64())), pa.array(where, pa.int32()), pa.array(pieces, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["text_id", "shard", "pieces"])
 
+    def match(batches: Iterator[pa.RecordBatch]):
+        current, held, found = None, [], None
+        for batch in batches:
+            rows, out = [], []
+            for row, (where, name, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "name", "pieces")))):
+                if where != current:
+                    current, held, found = where, [], None
+                if name is not None:
+                    held.append(name)
+                    continue
+                if found is None:
+                    found = automaton(held)
+                # A name counts where a piece begins, since every name has a piece of its own.
+                numbers = {n for piece in own for end, n in found.iter(piece) if end + 1 == len(held[n])}
+                rows += [row] * len(numbers)
+                out += [held[n] for n in numbers]
+            yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], names=["text_id", "name"])
 
-def _text_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """``text_id, gram``: the grams of each text, cut from overlapping blocks so that a long text costs no more per character."""
-    longest = max(sizes)
-    starts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK_CHARS).cast("int")), lambda b: b * BLOCK_CHARS + 1)
-    blocks = texts.filter(F.length("text") > 0).select("text_id", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(BLOCK_CHARS + longest - 1)))).alias("block"))
-    every = F.flatten(F.array(*[F.when(F.length("block") >= n, _grams(F.col("block"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]))
-    return blocks.select("text_id", F.explode(every).alias("gram"))
+    sent = texts.select("text_id", "text").mapInArrow(cut, f"text_id {kind}, shard int, pieces array<string>")
+    place = F.col("shard") * SALTS + F.col("salt")
+    sent = sent.withColumn("salt", F.pmod(F.xxhash64("text_id", "pieces"), F.lit(SALTS)).cast("int"))
+    dealt = names.select(F.pmod("beginning", F.lit(shards)).cast("int").alias("shard"), "name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # The names of a shard come before what is looked up in it.
+    both = sent.select(place.alias("place"), "text_id", "pieces", F.lit(None).cast("string").alias("name"), F.lit(1).alias("later")).unionByName(
+        dealt.select(place.alias("place"), "name", F.lit(0).alias("later")), allowMissingColumns=True
+    )
+    ordered = both.repartition("place").sortWithinPartitions("place", "later")
+    return ordered.select("place", "text_id", "name", "pieces").mapInArrow(match, f"text_id {kind}, name string").distinct()
 
 
-def containment_join(texts: DataFrame, names: DataFrame, q: int = 8, counted: bool = True) -> DataFrame:
+def containment_join(texts: DataFrame, names: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """``text_id, name_id`` for every text (``text_id, text``) that contains a name (``name_id, name``).
 
-    Empty names and null names or texts match nothing.
+    Empty names and null names or texts match nothing. Equal names are looked for once. The ids of a text must be its own.
     """
     # Names are read several times, and often made by a long plan.
     names = cut_lineage(names.filter(F.length("name") > 0).select("name_id", "name"))
-    size = F.least(F.lit(q), F.length("name"))
-    sizes = sorted(r[0] for r in names.select(size).distinct().collect())  # at most q values
-    if not sizes:
+    kind = texts.schema["text_id"].dataType.simpleString()
+    total = names.select("name").distinct().agg(F.sum(F.length("name")), F.count(F.lit(1))).first()
+    if not total[1]:
         return texts.select("text_id").join(names.select("name_id"), F.lit(False))
-    candidates = names.select("name_id", "name", F.explode(_grams(F.col("name"), size)).alias("gram"))
-    held = _text_grams(texts, sizes)
-    # Frequent grams are summed on the map side.
-    known = held.join(candidates.select("gram").distinct(), "gram", "left_semi") if counted else candidates
-    counts = known.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = candidates.join(counts, "gram").groupBy("name_id", "name").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "gram")).alias("a"))
-    # A name with a gram that no text holds is in none.
-    every = F.size(_grams(F.col("name"), size))
-    anchors = rarest.filter(F.col("met") == every).select("name_id", "name", F.col("a.gram").alias("gram"), F.pmod(F.xxhash64("name_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    if counted:
-        anchors = cut_lineage(anchors)
-    # Only grams that anchor a name travel on, once for each salt its names have.
-    wanted = anchors.select("gram", "salt").distinct()
-    met = held.join(wanted, "gram").join(anchors, ["gram", "salt"]).select("text_id", "name_id", "name").distinct()
-    return met.join(texts.select("text_id", "text"), "text_id").filter(F.contains("text", F.col("name"))).select("text_id", "name_id")
+    if total[0] <= automaton_chars:
+        hits = _one_automaton(texts, [r[0] for r in names.select("name").distinct().collect()], kind)
+    else:
+        distinct = cut_lineage(_names_of(names))
+        hits = _sharded(texts, distinct, -(-total[0] // automaton_chars), kind)
+    return hits.join(names, "name").select("text_id", "name_id")

@@ -187,6 +187,13 @@ def test_similarity_join_equals_brute_force(spark, keep, n, per):
     assert got == want and len(want) > 50
 
 
+def test_small_name_tables_move_no_text(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS text_id", "text")
+    names = spark.createDataFrame([(1, "the"), (2, "of ")], "name_id int, name string")
+    plan = containment.containment_join(texts, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate") == 0
+
+
 def test_containment_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     names = [(0, "red widget"), (1, "ab"), (2, "widget factory"), (3, "zzz"), (4, "red widget"), (5, ""), (6, None), (7, "é"), (8, "x" * 30)]
@@ -196,8 +203,10 @@ def test_containment_equals_brute_force(spark):
     n = spark.createDataFrame(names, "name_id int, name string")
     t = spark.createDataFrame(texts, "text_id string, text string")
     want = {(tid, nid) for tid, text in texts if text for nid, name in names if name and name in text}
-    got = [(r["text_id"], r["name_id"]) for r in containment.containment_join(t, n).collect()]
-    assert set(got) == want and len(got) == len(want)
+    for chars in (containment.AUTOMATON_CHARS, 500, 20):  # one automaton, and shards of them
+        got = [(r["text_id"], r["name_id"]) for r in containment.containment_join(t, n, chars).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert containment.containment_join(t.limit(0), n, 20).count() == containment.containment_join(t.limit(0), n).count() == 0
     assert containment.containment_join(t, n.filter("name_id = 5")).count() == 0
 
 
