@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Domains of node types and groups of edge types.
 FINANCIAL = ("FINANCIAL_LINE", "TABLE_ROW")
 NARRATIVE = ("TEXT_SECTION", "NOTE")
+DOMAINS = dict.fromkeys(FINANCIAL, "financial") | dict.fromkeys(NARRATIVE, "narrative") | {"ENTITY": "entity"}
 BRIDGING = ("EXPLAINS_LINE_ITEM", "DISCUSSES")
 CAUSAL = ("CAUSED_BY", "LEADS_TO")
 SEMANTIC = ("SEMANTICALLY_SIMILAR",)

@@ -95,10 +95,48 @@ def scored_expansion(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("path_confidence", "score")})
 
 
-@query(f"""WITH {GRAPH}, s AS (SELECT CAST(n_regionkey AS VARCHAR) query_id, arg_max(c_custkey, (c_acctbal, c_custkey)) c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey),
+# The two edge types that the walk may take, from their own tables.
+WALKED_SQL = f"""{gv.ENTITY_EDGES_CTE}, walked AS (SELECT source_id, target_id, edge_type, confidence FROM entity_edges UNION ALL
+SELECT 'EN:S' || l_suppkey, 'EN:P' || l_partkey, 'ENTITY_RELATED_TO', round(CAST(0.5 AS DOUBLE) + (l_suppkey + l_partkey) % 50 / 100, 6) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem))"""
+
+
+@query()
+def strict_expansion(spark, sf_dir):
+    """Every question's strict best-first walk over the whole graph."""
+    asked, seeds, nodes, edges, vectors, walk = _walk_inputs(spark, sf_dir)
+    out = tv.best_first(asked, seeds, nodes, edges, vectors, walk)
+    return out.withColumns({c: F.round(c, 6) for c in ("path_confidence", "score")})
+
+
+# Weights at explore weight 0.5; the first hop has no history: full novelty, no redundancy or isolation.
+FIRST_HOP_SQL = f"""WITH {VEC}, sim AS (SELECT a, b, round(sim, 6) c FROM p WHERE a // 64 = b // 64 AND a < b AND sim >= 0.3),
+q AS (SELECT min(id) q FROM v GROUP BY label), fan AS (SELECT a, count(*) n FROM sim GROUP BY a),
+e AS (SELECT q.q, sim.b, sim.c, fan.n, p.sim s, row_number() OVER (PARTITION BY sim.a ORDER BY sim.c DESC, 'TS:' || sim.b) place
+      FROM q JOIN sim ON sim.a = q.q JOIN fan ON fan.a = q.q JOIN p ON p.a = q.q AND p.b = sim.b),
+f AS (SELECT *, least(1.0, greatest(0.0, c + 0.3 * greatest(0.0, (s - 0.7) / 0.3) + 0.175 - 0.425 * 0.2
+      - 0.2 * CASE WHEN c >= 0.6 THEN 0.0 ELSE (0.6 - c) / 0.6 END - 0.3 * CASE WHEN n <= 15 THEN 0.0 ELSE least(1.0, least(1.0, (n - 15) / 25.0) * 1.5) END)) score FROM e WHERE place <= 15),
+g AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, place) r FROM f WHERE score >= 0.2),
+u AS (SELECT q, 'TS:' || q id, 1 visit, 0 hop, 1.0 pc, 1.0 score FROM q UNION ALL SELECT q, 'TS:' || b, CAST(r + 1 AS INTEGER), 1, c * 0.9, score FROM g WHERE r <= 5)
+SELECT q AS query_id, id, visit, hop, round(CAST(pc AS DOUBLE), 6) AS path_confidence, round(CAST(score AS DOUBLE), 6) AS score FROM u"""
+
+
+@query(FIRST_HOP_SQL)
+def strict_first_hop(spark, sf_dir):
+    """One question per label, walking one hop over similar texts."""
+    v = gv.vectors(spark, sf_dir)
+    asked = v.groupBy("label").agg(F.min(F.struct("id", "vec")).alias("q")).select(F.col("q.id").alias("query_id"), F.col("q.vec").alias("vec"))
+    named = F.concat(F.lit("TS:"), F.col("id").cast("string"))
+    nodes = v.select(named.alias("id"), F.lit("TEXT_SECTION").alias("type"))
+    walk = tv.Walk(edge_types=("SEMANTICALLY_SIMILAR",), hops=1, per_node=5, min_confidence=0.3, min_score=0.2)
+    seeds = asked.select("query_id", F.concat(F.lit("TS:"), F.col("query_id").cast("string")).alias("id"))
+    out = tv.best_first(asked, seeds, nodes, gv.similar_texts(spark, sf_dir), v.select(named.alias("id"), "vec"), walk)
+    return out.select("query_id", "id", "visit", "hop", F.round("path_confidence", 6).alias("path_confidence"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {WALKED_SQL}, s AS (SELECT CAST(n_regionkey AS VARCHAR) query_id, arg_max(c_custkey, (c_acctbal, c_custkey)) c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey),
 h0 AS (SELECT query_id, 'EN:C' || c id, 1.0::DOUBLE p, 0 hop FROM s),
-h1 AS (SELECT query_id, target_id id, p * confidence * pow(0.9::DOUBLE, 1) p, 1 hop FROM h0 JOIN edges ON source_id = id WHERE edge_type = 'REFERS_TO' AND confidence >= 0.5 OR edge_type = 'ENTITY_RELATED_TO' AND confidence >= 0.85),
-h2 AS (SELECT query_id, target_id id, p * confidence * pow(0.9::DOUBLE, 2) p, 2 hop FROM h1 JOIN edges ON source_id = id WHERE edge_type = 'REFERS_TO' AND confidence >= 0.5)
+h1 AS (SELECT query_id, target_id id, p * confidence * pow(0.9::DOUBLE, 1) p, 1 hop FROM h0 JOIN walked ON source_id = id WHERE edge_type = 'REFERS_TO' AND confidence >= 0.5 OR edge_type = 'ENTITY_RELATED_TO' AND confidence >= 0.85),
+h2 AS (SELECT query_id, target_id id, p * confidence * pow(0.9::DOUBLE, 2) p, 2 hop FROM h1 JOIN walked ON source_id = id WHERE edge_type = 'REFERS_TO' AND confidence >= 0.5)
 SELECT query_id, id, CAST(hop AS INTEGER) AS hop, round(p, 6) AS path_confidence FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)""")
 def confidence_expansion(spark, sf_dir):
     customer, nation = load_tables(spark, sf_dir, "customer", "nation")

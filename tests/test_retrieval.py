@@ -106,6 +106,37 @@ def test_level_expansion_reaches_first_hop_by_the_same_scores(spark):
     assert level == best and len(level) > 4
 
 
+def test_best_first_equals_the_heap_replay(spark):
+    tried = 0
+    for seed in range(5, 11):
+        ids, kinds, vec, edges, query = _graph(seed)
+        met = set(ids[5:9])
+        nodes = spark.createDataFrame(list(kinds.items()), "id string, type string")
+        e = spark.createDataFrame(edges, "source_id string, target_id string, edge_type string, confidence double")
+        walks = {"a": WALK, "b": traversal.Walk(**{**WALK.__dict__, "explore": 0.9, "per_node": 2}), "c": traversal.Walk(**{**WALK.__dict__, "hops": 2, "min_score": 0.0, "decay": 0.7})}
+        starts = {"a": [ids[0]], "b": [ids[3], ids[0]], "c": [ids[1], "gone", ids[2]]}
+        q = spark.createDataFrame([(k, [float(x) for x in query], w.explore, w.per_node, w.decay, w.min_score, w.hops) for k, w in walks.items()],
+                                  "query_id string, vec array<float>, explore double, per_node int, decay double, min_score double, hops int")
+        s = spark.createDataFrame([(k, i, n) for k, own in starts.items() for n, i in enumerate(own)], "query_id string, id string, rank int")
+        o = spark.createDataFrame([(k, i) for k in walks for i in met], "query_id string, id string")
+        got = traversal.best_first(q, s, nodes, e, vector_frame(spark, vec), WALK, o).orderBy("query_id", "visit").collect()
+        for k, w in walks.items():
+            want = _oracle(kinds, vec, edges, query, [i for i in starts[k] if i in kinds], met, w)
+            assert [(r.id, r.hop, round(r.path_confidence, 9)) for r in got if r.query_id == k] == want, (seed, k)
+            tried += len(want)
+    assert tried > 150
+
+
+def test_best_first_without_input(spark):
+    nodes = spark.createDataFrame([("a", "NOTE")], "id string, type string")
+    e = spark.createDataFrame([], "source_id string, target_id string, edge_type string, confidence double")
+    q = spark.createDataFrame([("q", [1.0]), ("r", None)], "query_id string, vec array<float>")
+    s = spark.createDataFrame([("q", "a"), ("q", "a"), ("r", "a"), ("q", "b"), (None, "a")], "query_id string, id string")
+    v = spark.createDataFrame([], "id string, vec array<float>")
+    assert sorted((r.query_id, r.id, r.visit) for r in traversal.best_first(q, s, nodes, e, v, WALK).collect()) == [("q", "a", 1), ("r", "a", 1)]
+    assert traversal.best_first(q, s.limit(0), nodes, e, v, WALK).count() == 0
+
+
 def test_confidence_expansion_equals_best_first(spark):
     ids, _, _, edges, _ = _graph(9)
     hops, per_node, decay = 3, 4, 0.9
