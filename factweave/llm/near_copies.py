@@ -7,7 +7,9 @@ bounded sample come last. Shingles are 64-bit hashes; no other step is approxima
 
 Shingles and their texts are exchanged once, sorted, and one pass keeps those that two texts share; all that
 follows works on these few. Texts are compared in groups that are known already, one representative of each
-shingle first, so that a group of copies costs no pairs of its own.
+shingle first, so that a group of copies costs no pairs of its own. Most pairs that meet are told apart by sketches,
+the parities of the shingles in hash buckets: sets differ in at least as many shingles as their sketches in bits. Only
+the texts of the others are moved and compared in full.
 """
 
 from __future__ import annotations
@@ -66,6 +68,24 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each of 2^k buckets, at least twice the shingles: is the number of shingles in it odd?"""
+    if not len(own):
+        return b""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount(own.view(np.uint64) & np.uint64(bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, sizes: int) -> bool:
+    """Do the sketches of two sets allow a similarity of 0.8? ``sizes``: the sum of theirs."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= sizes
+
+
 def arrays(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, sets)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
@@ -134,8 +154,26 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``source_id, target_id``: the groups of the pairs that are similar; ``texts`` has ``content, text, group``."""
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that their sketches (``content, size, sketch``) don't tell apart."""
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "sizes"))
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*row) for row in zip(*columns)], pa.bool_()))
+
+    first = sketches.select(F.col("content").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("x"))
+    second = sketches.select(F.col("content").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y"))
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", (F.col("n") + F.col("m")).alias("sizes"))
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``source_id, target_id``: the groups of the pairs that are similar. ``named`` has ``content, key, group``."""
+    ends = named.join(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct(), "content", "left_semi")
+    # One document stands for each text.
+    texts = docs.select(key, content().alias("content"), "text").join(ends, [key, "content"]).dropDuplicates([key, "content"])
+    texts = stored(texts.select("content", "text", "group"), "near-texts")
     first = texts.select(F.col("content").alias("a"), F.col("group").alias("source_id"), F.col("text").alias("a_text"))
     second = texts.select(F.col("content").alias("b"), F.col("group").alias("target_id"), F.col("text").alias("b_text"))
 
@@ -154,7 +192,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     kind = first.schema["source_id"].dataType.simpleString()
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "source_id", "target_id", "a_text", "b_text")
-    return joined.mapInArrow(run, f"source_id {kind}, target_id {kind}").distinct()
+    links = stored(joined.mapInArrow(run, f"source_id {kind}, target_id {kind}").distinct(), "near-links")
+    discard(texts)
+    return links
 
 
 def _of_two_groups(hits: DataFrame) -> DataFrame:
@@ -166,7 +206,7 @@ def _of_two_groups(hits: DataFrame) -> DataFrame:
 def merged_groups(docs: DataFrame, profiles: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """``id, component`` of the groups that similar texts join to others: the smallest group of each component.
 
-    ``profiles`` has ``key, content, fingerprint, size, prefix`` of each document (the prefix at least once for each content; a
+    ``profiles`` has ``key, content, fingerprint, size, prefix, sketch`` of each document (the last two at least once for each content; a
     text without words has none and is left to its group); ``names`` has ``fingerprint, component_id``. Of ``docs`` only the key
     and the text are read, so other columns can't clash. Pairs inside a group aren't compared. Each text is first compared with
     one text at each of its shingles, which joins large groups without all their pairs; then all pairs still in two groups are.
@@ -178,21 +218,20 @@ def merged_groups(docs: DataFrame, profiles: DataFrame, names: DataFrame, key: s
     hits = stored(_of_two_groups(held.join(named.select("content", "group"), "content")), "near-hits")
     discard(held)
 
-    # One document stands for each text; its text is moved once.
-    wanted = named.join(hits.select("content").distinct(), "content", "left_semi")
-    texts = docs.select(key, content().alias("content"), "text").join(wanted, [key, "content"]).dropDuplicates([key, "content"]).select("content", "text", "group")
-    texts = stored(texts, "near-texts")
+    groups = stored(hits.select(F.col("group").alias("id")).distinct(), "near-ids")
+    some = profiles.filter(F.length("sketch") > 0).select("content", "size", "sketch")
+    sketches = stored(some.join(hits.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]), "near-sketches")
 
     lead = hits.groupBy("gram").agg(F.min(F.struct("group", "content", "size", "pos")).alias("lead")).select("gram", "lead.*")
     tried = stored(_candidates(hits, lead), "near-tried")
-    links = stored(_verified(tried, texts), "near-links")
-    groups = texts.select(F.col("group").alias("id")).distinct()
+    near = stored(_plausible(tried, sketches), "near-pairs")
+    links = _verified(near, docs, named, key)
     found = stored(connected_components(groups, links), "near-components")
 
     renamed = hits.join(found.withColumnRenamed("id", "group"), "group").drop("group").withColumnRenamed("component", "group")
     left = stored(_of_two_groups(renamed), "near-left")
-    rest = stored(_candidates(left, left).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    more = stored(_verified(rest, texts), "near-more")
+    rest = stored(_plausible(_candidates(left, left).join(tried, ["a", "b"], "left_anti"), sketches), "near-rest")
+    more = _verified(rest, docs, named, key)
     out = stored(connected_components(groups, links.unionByName(more)), "near-groups")
-    discard(named, hits, texts, tried, links, found, left, rest, more)
+    discard(named, hits, groups, sketches, tried, near, links, found, left, rest, more)
     return out

@@ -257,9 +257,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _profiles(docs: DataFrame, key: str) -> DataFrame:
-    """``key, content, fingerprint, size, prefix``: the fingerprint of each text, and the size and prefix of its set of shingles.
+    """``key, content, fingerprint, size, prefix, sketch``: the fingerprint of each text, and what ``near_copies`` needs of its set of shingles.
 
-    Of copies that come by in one task, only the first gets a prefix.
+    Of copies that come by in one task, only the first gets a prefix and a sketch.
     """
     common, counts = near_copies.common_shingles(docs)
 
@@ -268,24 +268,26 @@ def _profiles(docs: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                prints, sizes, prefixes = [], [], []
+                prints, sizes, prefixes, sketches = [], [], [], []
                 for content, text in zip(part.column("content").to_pylist(), part.column("text").to_pylist()):
                     if content in known:
                         own, size = known[content]
                         prefixes.append(np.empty(0, np.int64))
+                        sketches.append(b"")
                     else:
                         found = near_copies.shingles(text)
                         own, size = known[content] = fingerprint(text), len(found)
                         prefixes.append(near_copies.prefix(found, common, counts))
+                        sketches.append(near_copies.sketch(found))
                     prints.append(own)
                     sizes.append(size)
-                columns = [part.column(key), part.column("content"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), near_copies.arrays(prefixes)]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "content", "fingerprint", "size", "prefix"])
+                columns = [part.column(key), part.column("content"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), near_copies.arrays(prefixes), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "content", "fingerprint", "size", "prefix", "sketch"])
                 if len(known) > KNOWN_TEXTS:
                     known = {}
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, near_copies.content().alias("content"), "text").mapInArrow(run, f"`{key}` {kind}, content long, fingerprint long, size int, prefix array<long>")
+    return docs.select(key, near_copies.content().alias("content"), "text").mapInArrow(run, f"`{key}` {kind}, content long, fingerprint long, size int, prefix array<long>, sketch binary")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from test_dedup import plain_components, plain_fingerprint
 
@@ -55,6 +56,22 @@ def test_stage_drops_all_near_copies(spark, monkeypatch, common):
     assert len(by_fingerprint) > len(want)
 
 
+def test_sketches_never_part_similar_sets():
+    rng = random.Random(8)
+    told, near = 0, 0
+    for _ in range(2000):
+        n = rng.choice([1, 3, 20, 200, 900])
+        a = rng.sample(range(1 << 62), n)
+        keep = rng.choice([0.0, 0.5, 0.75, 0.9, 1.0])
+        b = [x if rng.random() < keep else rng.randrange(1 << 62) for x in a] + rng.sample(range(1 << 62), rng.randrange(0, 1 + n // 4))
+        x, y = (np.unique(np.array(s, np.int64)) for s in (a, b))
+        possible = near_copies.may_be_similar(near_copies.sketch(x), near_copies.sketch(y), len(x) + len(y))
+        assert possible or not near_copies.similar(x, y)
+        near += near_copies.similar(x, y)
+        told += not possible
+    assert near > 300 and told > 0.9 * (2000 - near)
+
+
 def test_stage_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
