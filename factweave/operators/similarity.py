@@ -43,6 +43,7 @@ def similarity_join(
     below: float | None = None,
     strict: bool = False,
     collapse_copies: bool = False,
+    distinct: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Pairs of rows with equal ``key`` and cosine at or above ``threshold``.
@@ -56,7 +57,8 @@ def similarity_join(
     similar ones (ties: smallest ``pos``), optionally per value of the right
     column ``per``. ``collapse_copies`` (for ``"best"`` with ``n=1``, when ``where``
     reads neither ``id`` nor ``pos``) keeps one right row per distinct vector:
-    copies differ only by ``pos`` and the earliest always wins. Result: key columns, ``left_id``, ``right_id``,
+    copies differ only by ``pos`` and the earliest always wins. ``distinct`` says that rows meet under several
+    values of the last key column, which then is no part of the result, and that a pair counts once. Result: key columns, ``left_id``, ``right_id``,
     ``left_pos``, ``right_pos``, ``sim`` and ``per``.
     """
     key = list(key)
@@ -143,6 +145,9 @@ def similarity_join(
     # Both sides may stem from one table: the right one gets names of its own.
     rights = rights.toDF(*[f"r__{c}" for c in rights.columns])
     pairs = lefts.groupBy(*on).cogroup(rights.groupBy(*[f"r__{c}" for c in on])).applyInArrow(score, out)
+    if distinct:
+        key.pop()
+        pairs = pairs.dropDuplicates([*key, "left_id", "right_id"]).select(*key, "left_id", "right_id", "left_pos", "right_pos", "sim", "per")
     if keep != "all":
         order = ([F.desc("sim")] if keep == "best" else []) + [F.asc("right_pos")]
         within = Window.partitionBy("left_id", *(["per"] if per else [])).orderBy(*order)
