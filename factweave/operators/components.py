@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.operators.similarity import similarity_join
+from factweave.operators.similarity import search, similarity_join
 from factweave.session import cut_lineage
 
 
@@ -72,13 +72,16 @@ def bridge_edges(
     bridge_threshold: float = 0.70,
     sample: int | None = None,
     positive_only: bool = False,
+    recall: float | None = None,
 ) -> DataFrame:
     """BRIDGE edges that join all components that hold a vector.
 
     A component is represented by all its embedded nodes, or by the first ``sample`` of them by id.
     Repeatedly taking the best pair between components builds a maximum spanning
     tree, so each round lets every component pick its best partner at once.
-    ``positive_only`` never bridges across a non-positive cosine. Result:
+    ``positive_only`` never bridges across a non-positive cosine. With a ``recall``, components are first joined over bridges
+    of at least the threshold, each found with that probability and without comparing all nodes; only those that none of
+    these reaches are compared in full. Result:
     ``source_id, target_id, sim, confidence, forced``.
     """
     comp = connected_components(nodes, edges)
@@ -94,14 +97,18 @@ def bridge_edges(
     found = spark.createDataFrame([], "source_id string, target_id string, sim double")
     differs = lambda l, r: l["comp"] != r["comp"]
     level = 0.0 if positive_only else -1.0
+    strong = recall is not None and bridge_threshold > 0
     while labels.select("component").distinct().limit(2).count() > 1:
         tagged = reps.withColumnRenamed("component", "base").join(labels, "base").select(
             "id", "pos", "vec", F.col("component").alias("comp")
         )
-        pairs = similarity_join(
-            tagged, tagged, threshold=level, keep="best", n=1, where=differs, strict=positive_only,
-            collapse_copies=True,
-        )
+        if strong:
+            pairs = search(recall)(tagged, tagged, threshold=bridge_threshold, keep="best", n=1, where=differs, collapse_copies=True)
+        else:
+            pairs = similarity_join(
+                tagged, tagged, threshold=level, keep="best", n=1, where=differs, strict=positive_only,
+                collapse_copies=True,
+            )
         named = pairs.join(tagged.select(F.col("id").alias("left_id"), F.col("comp").alias("lc")), "left_id").join(
             tagged.select(F.col("id").alias("right_id"), F.col("comp").alias("rc")), "right_id"
         )
@@ -115,7 +122,10 @@ def bridge_edges(
             .select("lc", "p.*")
         )
         if best.isEmpty():
-            break
+            if not strong:
+                break
+            strong = False
+            continue
         found = cut_lineage(
             found.unionByName(
                 best.groupBy("a", "b").agg(F.first("sim").alias("sim")).select(

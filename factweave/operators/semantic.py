@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.dedupe import dedupe_directed, edge_columns
-from factweave.operators.similarity import similarity_join
+from factweave.operators.similarity import search, similarity_join
 
 NAME = "semantic"
 
@@ -47,15 +47,17 @@ def _later_sampled(l: dict, r: dict) -> np.ndarray:
     return _later_filing(l, r) & (l["place"] <= r["size"]) & (r["place"] <= l["size"])
 
 
-def across_filings(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, sample: int | None = None) -> DataFrame:
+def across_filings(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, sample: int | None = None, recall: float | None = None) -> DataFrame:
     """For each node the best match of its type in every later filing: ``left_id, right_id, sim``.
 
+    All pairs of a type are compared, unless ``recall`` says with which probability a pair above the floor has to be found.
+
     With ``sample``, a pair of filings compares only the first ``min(sample, n1, n2)`` nodes of each.
     """
     kept = nodes.select("id", "type", "filing_id", "input_pos").join(vectors.select("id", "vec"), "id")
     if sample is None:
         rows = kept.select("id", F.col("input_pos").alias("pos"), "type", F.col("filing_id").alias("filing"), "vec")
-        return similarity_join(rows, rows, threshold=floor, key=("type",), keep="best", n=1, per="filing", where=_later_filing).filter(F.col("sim") > 0)
+        return search(recall)(rows, rows, threshold=floor, key=("type",), keep="best", n=1, per="filing", where=_later_filing).filter(F.col("sim") > 0)
     per = Window.partitionBy("filing_id", "type").orderBy("input_pos", "id")
     sizes = kept.groupBy("filing_id", "type").agg(F.count(F.lit(1)).cast("int").alias("size"))
     rows = (

@@ -9,6 +9,7 @@ threshold (or the per-row best ones) ever leave a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,15 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def search(recall: float | None) -> Callable[..., DataFrame]:
+    """The exact join, or with a ``recall`` the one that finds each pair with that probability in less than quadratic work."""
+    if recall is None:
+        return similarity_join
+    from factweave.operators.forest import forest_join
+
+    return partial(forest_join, recall=recall)
+
+
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
     """The ``k`` most similar corpus rows per query, the query itself left out.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factweave.functions import fiscal
 from factweave.functions.vectors import cosine
 from factweave.operators.dedupe import dedupe_directed, edge_columns
-from factweave.operators.similarity import similarity_join
+from factweave.operators.similarity import search, similarity_join
 
 NAME = "temporal"
 
@@ -85,8 +85,12 @@ def link_by_section(nodes: DataFrame, vectors: DataFrame, floor: float = SECTION
     return _edges(near, F.col("sim"), evidence, "section_match", 3)
 
 
-def best_in_next_period(nodes: DataFrame, vectors: DataFrame, floor: float = MATCH_FLOOR, types: tuple = ("TEXT_SECTION", "NOTE")) -> DataFrame:
-    """For each node the most similar node of its type in the following period that occurs: ``left_id, right_id, sim``."""
+def best_in_next_period(nodes: DataFrame, vectors: DataFrame, floor: float = MATCH_FLOOR, types: tuple = ("TEXT_SECTION", "NOTE"),
+                        recall: float | None = None) -> DataFrame:
+    """For each node the most similar node of its type in the following period that occurs: ``left_id, right_id, sim``.
+
+    With a ``recall`` a pair above the floor is found with that probability, without comparing whole periods.
+    """
     rows = nodes.filter(F.col("type").isin(*types)).withColumn("_p", sortable_period(F.col("period")))
     order = Window.partitionBy("type").orderBy("_p", "period")
     # One row per (type, period): a calendar's worth.
@@ -95,7 +99,7 @@ def best_in_next_period(nodes: DataFrame, vectors: DataFrame, floor: float = MAT
         "id", F.col("input_pos").alias("pos"), "type", "rank", "vec"
     )
     right = placed.withColumn("rank", F.col("rank") - 1)
-    return similarity_join(placed, right, threshold=floor, key=("type", "rank"), keep="best", collapse_copies=True).filter("sim > 0")
+    return search(recall)(placed, right, threshold=floor, key=("type", "rank"), keep="best", collapse_copies=True).filter("sim > 0")
 
 
 def link_by_similarity(nodes: DataFrame, vectors: DataFrame, floor: float = MATCH_FLOOR) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.operators import evaluation as ev
@@ -12,15 +13,22 @@ from factweave.plans.catalog import query
 from factweave.plans.queries_graph import GRAPH
 from factweave.plans.queries_similarity import VEC
 
-# Predicted: pairs of a filing (64 ids) of at least 0.2, stretched to a confidence. Gold: neighbouring ids, true when labels agree.
-EVAL = f"""{VEC}, pred AS (SELECT a s, b t, least(1.0::DOUBLE, round(sim * 2, 6)) c, CASE WHEN a % 2 = 0 THEN 'semantic' ELSE 'temporal' END x FROM p WHERE a // 64 = b // 64 AND a < b AND sim >= 0.2),
-gold AS (SELECT a.vec_id s, b.vec_id t, a.label = b.label y, CASE WHEN a.vec_id % 2 = 0 THEN 'semantic' ELSE 'temporal' END x
- FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 12)"""
+# One key for both: the source of the document with the vector's id. Predicted: pairs of a source of at least 0.2, stretched to a
+# confidence. Gold: each vector and the next 12 of its source, true when labels agree.
+EVAL = f"""{VEC}, src AS (SELECT id, label, source, row_number() OVER (PARTITION BY source ORDER BY id) place FROM v JOIN documents ON doc_id = id WHERE source IS NOT NULL),
+pred AS (SELECT a s, b t, least(1.0::DOUBLE, round(sim * 2, 6)) c, CASE WHEN a % 2 = 0 THEN 'semantic' ELSE 'temporal' END x FROM p JOIN src x ON x.id = a JOIN src y ON y.id = b WHERE x.source = y.source AND a < b AND sim >= 0.2),
+gold AS (SELECT a.id s, b.id t, a.label = b.label y, CASE WHEN a.id % 2 = 0 THEN 'semantic' ELSE 'temporal' END x
+ FROM src a JOIN src b ON a.source = b.source AND b.place BETWEEN a.place + 1 AND a.place + 12)"""
+
+
+def _sourced(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("source").isNotNull()).select(F.col("doc_id").alias("id"), "source")
+    return gv.vectors(spark, sf_dir).join(docs, "id")
 
 
 def predictions(spark, sf_dir):
-    v = gv.vectors(spark, sf_dir).withColumn("filing", F.floor(F.col("id") / 64))
-    pairs = similarity_join(v, v, threshold=0.2, key=("filing",), where=lambda l, r: r["pos"] > l["pos"])
+    v = _sourced(spark, sf_dir)
+    pairs = similarity_join(v, v, threshold=0.2, key=("source",), where=lambda l, r: r["pos"] > l["pos"])
     return pairs.select(
         F.col("left_id").alias("source_id"), F.col("right_id").alias("target_id"), F.lit("SIMILAR").alias("edge_type"),
         F.least(F.lit(1.0), F.round(F.col("sim") * 2, 6)).alias("confidence"),
@@ -28,9 +36,10 @@ def predictions(spark, sf_dir):
 
 
 def gold(spark, sf_dir):
-    v = gv.vectors(spark, sf_dir).select("id", "label")
-    near = v.select(F.col("id").alias("source_id"), F.col("label").alias("la"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 12)).alias("id"))
-    return near.join(v, "id").select(
+    following = F.collect_list(F.struct("id", "label")).over(Window.partitionBy("source").orderBy("id").rowsBetween(1, 12))
+    near = _sourced(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("label").alias("la"), following.alias("next"))
+    near = near.select("source_id", "la", F.inline("next"))
+    return near.select(
         "source_id", F.col("id").alias("target_id"), F.lit("SIMILAR").alias("edge_type"), (F.col("la") == F.col("label")).alias("label"),
         F.when(F.col("source_id") % 2 == 0, "semantic").otherwise("temporal").alias("expert"))
 

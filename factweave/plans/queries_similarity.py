@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.functions.vectors import cosine
+from factweave.functions.vectors import cosine, hashed_text_vector
 from factweave.operators import components as cc
 from factweave.operators import semantic, table_text, temporal
+from factweave.operators.cells import cell_join
 from factweave.operators.similarity import similarity_join, top_k_similar
 from factweave.plans import graph_view as gv
 from factweave.plans.catalog import query
-from factweave.session import load_tables
+from factweave.session import cut_lineage, load_tables, spread
 
 VEC = """v AS (SELECT vec_id id, CAST(embedding AS DOUBLE[]) e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) nrm, label FROM embeddings),
 p AS (SELECT a.id a, b.id b, a.label la, b.label lb, list_dot_product(a.e, b.e) / (a.nrm * b.nrm) sim FROM v a, v b WHERE a.id <> b.id)"""
@@ -20,10 +21,24 @@ def _rounded(df, *columns):
     return df.select(*columns, F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {VEC} SELECT a AS left_id, b AS right_id, round(sim, 6) AS sim FROM p WHERE la = lb AND a < b AND sim >= 0.35")
+@query(f"WITH {VEC} SELECT a AS left_id, b AS right_id, round(sim, 6) AS sim FROM p WHERE a < b AND sim >= 0.35")
 def similarity_pairs(spark, sf_dir):
+    """All pairs, through cells with a recall of 1."""
     v = gv.vectors(spark, sf_dir)
-    return _rounded(similarity_join(v, v, threshold=0.35, key=("label",), where=lambda l, r: r["pos"] > l["pos"]), "left_id", "right_id")
+    return _rounded(cell_join(v, v, threshold=0.35, recall=1.0, where=lambda l, r: r["pos"] > l["pos"]), "left_id", "right_id")
+
+
+def section_vectors(spark, sf_dir):
+    """Every document as a section, with the hashed terms of its text as vector."""
+    sections = gv.text_sections(spark, sf_dir)
+    return sections, cut_lineage(spread(sections).select("id", hashed_text_vector(F.col("text"), 64).alias("vec")))
+
+
+@query()
+def similar_across_sources(spark, sf_dir):
+    """For each document its best match in every later source, each found with a probability of 0.99."""
+    sections, v = section_vectors(spark, sf_dir)
+    return _rounded(semantic.across_filings(sections, v, floor=0.9, recall=0.99), "left_id", "right_id")
 
 
 @query(f"WITH {VEC} SELECT a AS id, b AS neighbor, round(sim, 6) AS sim FROM p WHERE la = lb AND b = a + 1")
