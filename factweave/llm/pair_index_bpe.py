@@ -2,7 +2,7 @@
 
 Texts are split into words as the vocabulary file says. For all new words of a batch at once, an index
 maps each mergeable pair to all its positions. Ranks that have positions wait in a heap; the least is taken,
-its merge is applied at every position still valid, and the lists of the neighbouring pairs are updated.
+its merge is applied at once at all positions still valid, and the lists of the neighbouring pairs are updated.
 A merge can only create pairs of higher rank (checked on loading), so each rank is handled once.
 """
 
@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 #: Known words of a worker; the older half goes when the newer is full.
 CACHE_WORDS = 150_000
-BATCH_ROWS = 500
+BATCH_ROWS = 1000
 
 # The characters with the Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,19 +32,6 @@ _SPACE = re.compile(f"[{SPACES}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for blanks, the vocabulary does not
 
 
-def _unassigned() -> str:
-    """Ranges of the code points without a category in Python's tables, for a regular expression."""
-    ranges, first = [], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if inside and first is None:
-            first = c
-        elif not inside and first is not None:
-            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return "".join(ranges)
-
-
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from U+0100 on."""
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -73,27 +60,27 @@ class PairIndexBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word_pattern = regex.compile(pattern.replace(r"\s", SPACES))
         # Python's tables end at some version of Unicode; of later code points only the vocabulary's own library knows the class.
-        self.later = re.compile(f"[{_unassigned()}]")
+        self.is_later = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], self.is_later, [False]]))).tolist()
+        self.later = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
         self.library = Tokenizer.from_file(path)
         symbols = byte_symbols()
         self.byte_of = {s: b for b, s in enumerate(symbols)}
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + self.suffix] for s in symbols], np.int64)
         self.width = max(vocab.values()) + 1
-        self.ranks: dict[int, int] = {}
-        self.made: list[int] = []
-        self.twins: list[bool] = []
+        ranks: dict[int, int] = {}
+        self.pairs: list[tuple[int, int, int]] = []
         created: dict[int, int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             new, left, right = vocab[a + b], vocab[a], vocab[b]
             if max(created.get(left, -1), created.get(right, -1)) >= rank or new in created:
                 raise ValueError("a merge uses what a later merge makes")
             created[new] = rank
-            self.ranks[left * self.width + right] = rank
-            self.made.append(new)
-            self.twins.append(left == right)
-        self.codes = np.array(sorted(self.ranks), np.int64)
-        self.code_ranks = np.array([self.ranks[c] for c in self.codes.tolist()], np.int64)
+            ranks[left * self.width + right] = rank
+            self.pairs.append((left, right, new))
+        self.codes = np.array(sorted(ranks), np.int64)
+        self.code_ranks = np.array([ranks[c] for c in self.codes.tolist()], np.int64)
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
         self.words: dict[str, list[int]] = {}
@@ -108,55 +95,59 @@ class PairIndexBpe:
         codes = self.inner[joined]
         codes[stops - 1] = self.last[joined[stops - 1]]
         codes[stops] = -1
-        n = len(codes)
-        pairs = codes[:-1] * self.width + codes[1:]
-        at = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
-        held = np.flatnonzero((self.codes[at] == pairs) & (codes[:-1] >= 0) & (codes[1:] >= 0))
-        found = self.code_ranks[at[held]]
-        order = np.argsort(found, kind="stable")
-        ranked, edges = np.unique(found[order], return_index=True)
-        places_of = held[order].tolist()
-        bounds = [*edges.tolist(), len(places_of)]
-        index: dict[int, list[int]] = {rank: places_of[a:b] for rank, a, b in zip(ranked.tolist(), bounds, bounds[1:])}
-        sym, starts = codes.tolist(), [0, *(stops[:-1] + 1).tolist()]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, width, made = self.ranks, self.width, self.made
-        heap = sorted(index)
+        sym, n = codes, len(codes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            """Put the mergeable pairs at these places into the index."""
+            wanted = sym[places] * self.width + sym[after[places]]
+            at = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+            held = self.codes[at] == wanted
+            found = self.code_ranks[at[held]]
+            order = np.argsort(found, kind="stable")
+            found, places = found[order], places[held][order]
+            edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else found
+            for rank, start, stop in zip(found[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(found)]):
+                if rank in index:
+                    index[rank].append(places[start:stop])
+                else:
+                    index[rank] = [places[start:stop]]
+                    heappush(heap, rank)
+
+        note(np.flatnonzero((sym[:-1] >= 0) & (sym[1:] >= 0)))
         while heap:
             rank = heappop(heap)
-            places = index.pop(rank)
-            if self.twins[rank]:
-                places.sort()  # overlapping pairs go from left to right
-            new = made[rank]
-            for p in places:
-                q = after[p]
-                if sym[p] < 0 or sym[q] < 0 or ranks.get(sym[p] * width + sym[q]) != rank:
-                    continue
-                sym[p], sym[q] = new, -2
-                r = after[p] = after[q]
-                before[r] = p
-                o = before[p]
-                if o >= 0 and sym[o] >= 0 and (found := ranks.get(sym[o] * width + new)) is not None:
-                    if found in index:
-                        index[found].append(o)
-                    else:
-                        index[found] = [o]
-                        heappush(heap, found)
-                if sym[r] >= 0 and (found := ranks.get(new * width + sym[r])) is not None:
-                    if found in index:
-                        index[found].append(p)
-                    else:
-                        index[found] = [p]
-                        heappush(heap, found)
-        return [[s for s in sym[a:b] if s >= 0] for a, b in zip(starts, [*starts[1:], n])]
+            p = np.concatenate(index.pop(rank))
+            left, right, new = self.pairs[rank]
+            p = p[(sym[p] == left) & (sym[after[p]] == right)]
+            if left == right:
+                # Pairs that overlap go from left to right: every other one of a chain.
+                p.sort()
+                first = np.concatenate([[True], p[1:] != after[p[:-1]]]) if len(p) else np.empty(0, bool)
+                at = np.arange(len(p))
+                p = p[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]
+            q = after[p]
+            sym[p], sym[q] = new, -2
+            r = after[q]
+            after[p], before[r] = r, p
+            o = before[p]
+            note(np.unique(np.concatenate([o[sym[o] >= 0], p[sym[r] >= 0]])))
+        ids = sym[sym >= 0].tolist()
+        ends = np.cumsum(sym >= 0)[stops].tolist()
+        return [ids[x:y] for x, y in zip([0, *ends[:-1]], ends)]
 
     def _learn(self, chunks: set[str]) -> None:
         """Put the encodings of new chunks (texts without blanks) into the cache."""
         split, new_words = {}, {}
+        others = [c for c in chunks if not c.isascii()]
+        points = np.frombuffer("".join(others).encode("utf-32-le", "surrogatepass"), "<u4")
+        later = self.later.search if self.is_later[points].any() else None
         for chunk in chunks:
             if chunk.isascii():
                 found = self.word_pattern.findall(chunk.lower())
-            elif self.later.search(chunk):
+            elif later and later(chunk):
                 found = self._words_of_library(chunk)
             else:
                 # A capital sigma is lowered without regard to its place in the word.
