@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factweave.operators import components as cc
 from factweave.operators import dedupe
 from factweave.operators import graph_filters as gf
 from factweave.operators import graph_stats as gs
-from factweave.operators import paths
+from factweave.operators import paths, term_index
 from factweave.plans import graph_view as gv
 from factweave.plans.catalog import query
-from factweave.session import load_tables
+from factweave.session import ensure_checkpoint_dir, load_tables
 
 GRAPH = f"{gv.FACTS_CTE}, {gv.NODES_CTE}, {gv.EDGES_CTE}"
 ENDS = f"{GRAPH}, ends AS (SELECT source_id id, target_id other FROM edges UNION ALL SELECT target_id, source_id FROM edges)"
@@ -42,6 +44,41 @@ def node_search_ranked(spark, sf_dir):
     return gf.search_ranked(gv.nodes(spark, sf_dir), "Of", ("TEXT_SECTION", "NOTE"), limit=25).select("id", "score", "highlight")
 
 
+def _term_index(spark, sf_dir):
+    """An index of all texts, in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/term-index-{uuid.uuid4().hex}"
+    term_index.write_index(gv.text_sections(spark, sf_dir).unionByName(gv.notes(spark, sf_dir)), path)
+    return term_index.TermIndex(spark, path)
+
+
+SEARCHED = f"""{GRAPH}, texts AS (SELECT * FROM nodes WHERE type IN ('TEXT_SECTION', 'NOTE'))"""
+
+
+@query(f"WITH {SEARCHED} SELECT id, type FROM texts WHERE contains(text, 'of the') ORDER BY id LIMIT 500")
+def indexed_search(spark, sf_dir):
+    return _term_index(spark, sf_dir).search("of the", limit=500).select("id", "type")
+
+
+@query(f"""WITH {SEARCHED} SELECT id, CASE WHEN starts_with(lower(text), 'in') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM texts
+WHERE contains(lower(text), 'in') AND type = 'NOTE' ORDER BY score DESC, id LIMIT 200""")
+def indexed_search_ranked(spark, sf_dir):
+    return _term_index(spark, sf_dir).search_ranked("In", ("NOTE",), limit=200).select("id", "score")
+
+
+BM25_TERMS = {"places": ["the", "Und", "dans"], "rare": ["street", "price", "the"], "none": ["no such word at all"]}
+
+
+@query(f"""WITH {SEARCHED}, w AS (SELECT id, unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) word FROM texts WHERE text IS NOT NULL),
+len AS (SELECT id, count(*) FILTER (word <> '') n_words FROM w GROUP BY id), tf AS (SELECT lower(word) term, id, count(*) tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) df FROM tf GROUP BY term),
+q AS (SELECT * FROM (VALUES ('places', 'the'), ('places', 'und'), ('places', 'dans'), ('rare', 'street'), ('rare', 'price'), ('rare', 'the')) t(query_id, term)),
+s AS (SELECT query_id, id, sum(ln(1 + ((SELECT count(*) FROM len) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_words / (SELECT avg(n_words) FROM len)))) score
+ FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (id) GROUP BY 1, 2)
+SELECT query_id, id, round(score, 6) AS score FROM s""")
+def indexed_bm25(spark, sf_dir):
+    asked = spark.createDataFrame(list(BM25_TERMS.items()), "query_id string, terms array<string>")
+    return _term_index(spark, sf_dir).bm25(asked).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {GRAPH}, p AS (SELECT id FROM nodes ORDER BY id OFFSET 100 LIMIT 1700)
 SELECT source_id, target_id, edge_type, confidence FROM edges WHERE source_id IN (SELECT id FROM p) AND target_id IN (SELECT id FROM p)""")
 def graph_page_induced(spark, sf_dir):
