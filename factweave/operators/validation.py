@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +75,12 @@ def claims(answers: DataFrame) -> DataFrame:
     parts = []
     for p, (v1, y1, v2, y2) in [(p, (1, 2, 3, 4)) for p in DATED_CLAIMS] + [(SPAN_CLAIM, (1, 3, 2, 4))]:
         # The direction is worded within 100 characters of the claim.
-        zipped = F.arrays_zip(found(p, 0).alias("m"), *[found(p, g).alias(n) for n, g in (("v1", v1), ("y1", y1), ("v2", v2), ("y2", y2))])
+        whole, cut = found(p, 0), F.split(text, f"(?i){p}", -1)
+        # A match begins where the texts and matches before it end, so that a claim that is worded twice keeps its own surroundings.
+        begins = F.transform(whole, lambda m, i: F.aggregate(F.slice(whole, 1, i), F.lit(1), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(cut, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)))
+        zipped = F.arrays_zip(whole.alias("m"), begins.alias("at"), *[found(p, g).alias(n) for n, g in (("v1", v1), ("y1", y1), ("v2", v2), ("y2", y2))])
         dated = answers.select("id", "answer", F.explode(zipped).alias("c"))
-        at = F.expr("locate(c.m, answer)")
+        at = F.col("c.at")
         around = F.substring(F.col("answer"), F.greatest(F.lit(1), at - 100), F.length("c.m") + 200)
         a, b, y1, y2 = _number(F.col("c.v1")), _number(F.col("c.v2")), F.col("c.y1").cast("int"), F.col("c.y2").cast("int")
         swap = y1 > y2
@@ -159,22 +164,25 @@ def _claim_rows(answers: DataFrame, *kept: str) -> DataFrame:
     said = rf"(?iU)(\w+(?:\s+\w+)?)\s+({'|'.join(UP_WORDS + DOWN_WORDS)})\b"
     claim = f"(?i){VALUE_CLAIM}"
 
-    def found(kind: str, pattern: str, worth: Column) -> Column:
+    def found(pattern: str, worth: Column, taken: Callable[[Column], Column]) -> Column:
         matches_ = F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-        return F.transform(matches_, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), m.alias("m")))
-
-    both = F.concat(found("direction", said, F.lit(True)), found("value", claim, F.contains(text, F.lit("$"))))
-    # The short matches are then taken apart.
-    rows = answers.select("id", *kept, F.inline(both))
-    is_value = F.col("kind") == "value"
-    word, subject = F.lower(F.regexp_extract("m", r"(?U)(\w+)$", 1)), F.lower(F.regexp_extract("m", r"(?U)^(.*)\s+\w+$", 1))
-    tracked = F.coalesce(*[F.when(F.contains("subject", F.lit(m)), F.lit(m)) for m in TRACKED])
-    return rows.withColumn("subject", subject).select(
-        "id", *kept, "kind", "pos",
-        F.when(is_value, F.trim(F.lower(F.regexp_extract("m", claim, 1)))).otherwise(tracked).alias("metric"),
-        F.when(~is_value, F.when(word.isin(*UP_WORDS), "increase").otherwise("decrease")).alias("direction"),
-        F.when(is_value, parse_money(F.regexp_extract("m", claim, 2))).alias("amount"),
-    ).filter(F.when(F.col("kind") == "value", F.col("amount").isNotNull()).otherwise(F.col("metric").isNotNull()))
+        return F.transform(matches_, lambda m, i: F.struct(i.alias("pos"), taken(m).alias("c")))
+
+    # Each short match is taken apart once, inside the array: a filter on rows would be pushed below and do it again.
+    def direction(m: Column) -> Column:
+        word, subject = F.lower(F.regexp_extract(m, r"(?U)(\w+)$", 1)), F.lower(F.regexp_extract(m, r"(?U)^(.*)\s+\w+$", 1))
+        tracked = F.coalesce(*[F.when(F.contains(subject, F.lit(t)), F.lit(t)) for t in TRACKED])
+        return F.struct(F.lit("direction").alias("kind"), tracked.alias("metric"), F.when(word.isin(*UP_WORDS), "increase").otherwise("decrease").alias("direction"),
+                        F.lit(None).cast("double").alias("amount"))
+
+    def value(m: Column) -> Column:
+        return F.struct(F.lit("value").alias("kind"), F.trim(F.lower(F.regexp_extract(m, claim, 1))).alias("metric"), F.lit(None).cast("string").alias("direction"),
+                        parse_money(F.regexp_extract(m, claim, 2)).cast("double").alias("amount"))
+
+    both = F.concat(found(said, F.lit(True), direction), found(claim, F.contains(text, F.lit("$")), value))
+    worth = F.filter(both, lambda x: F.when(x["c"]["kind"] == "value", x["c"]["amount"].isNotNull()).otherwise(x["c"]["metric"].isNotNull()))
+    rows = answers.select("id", *kept, F.inline(worth))
+    return rows.select("id", *kept, "c.kind", "pos", "c.metric", "c.direction", "c.amount")
 
 
 def typed_claims(answers: DataFrame) -> DataFrame:

@@ -163,3 +163,10 @@ def test_edges_stream_once(spark, tmp_path):
     for _ in range(2):
         updates.append_edges(stream, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
     assert spark.read.parquet(f"{out}/edges").count() == 2
+
+
+def test_a_claim_worded_twice_keeps_its_own_direction(spark):
+    said = "$5 billion in 2020 to $6 billion in 2021"
+    text = f"Sales rose from {said}." + " Nothing else is told about these figures here." * 6 + f" Later they say costs fell from {said}."
+    found = validation.claims(spark.createDataFrame([("a", text)], "id string, answer string")).filter("from_year = 2020").collect()
+    assert sorted(r.claimed for r in found if r.to_value == 6) == ["decrease", "increase"]
