@@ -165,17 +165,26 @@ class _Expression:
 
 def parse(source: str) -> list[tuple]:
     """The syntax tree of a template."""
-    pieces, at = [], 0
+    pieces: list[tuple[str, str]] = []
+    at, trim = 0, False
+
+    def plain(text: str, before: bool) -> None:
+        """Text between tags; a dash inside a tag's bracket takes away the blanks beside it."""
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if before else text
+        if opened := re.search(r"\{[{%#]", text):
+            raise TemplateError(f"{opened[0]!r} is not closed")
+        if text:
+            pieces.append(("text", text))
+
     for m in _TAG.finditer(source):
-        if m.start() > at:
-            pieces.append(("text", source[at : m.start()]))
+        plain(source[at : m.start()], m[0][2] == "-")
         if m[1] is not None:
             pieces.append(("tag", m[1]))
         elif m[2] is not None:
             pieces.append(("print", m[2]))
-        at = m.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
+        at, trim = m.end(), m[0][-3] == "-"
+    plain(source[at:], False)
     body, rest = _block(pieces, 0, ())
     if rest != len(pieces):
         raise TemplateError(f"unexpected {pieces[rest][1]!r}")
@@ -253,7 +262,7 @@ def fold(node: tuple) -> tuple:
         return ("field", fold(node[1]), node[2])
     if kind == "filter":
         inner = fold(node[2])
-        return ("const", FILTERS[node[1]](inner[1])) if inner[0] == "const" else ("filter", node[1], inner)
+        return ("const", _filtered(node[1], inner[1])) if inner[0] == "const" else ("filter", node[1], inner)
     if kind == "not":
         inner = fold(node[1])
         return ("const", not inner[1]) if inner[0] == "const" else ("not", inner)
@@ -261,9 +270,9 @@ def fold(node: tuple) -> tuple:
     if kind in ("and", "or") and left[0] == "const":
         return right if bool(left[1]) == (kind == "and") else left
     if left[0] == right[0] == "const":
-        return ("const", left[1] + right[1] if kind == "+" else BINARY[kind](left[1], right[1]) if kind in BINARY else right[1])
+        return ("const", _shown(left[1]) + _shown(right[1]) if kind == "+" else BINARY[kind](left[1], right[1]))
     if kind == "+" and right[0] == "const" and left[0] == "+" and left[2][0] == "const":
-        return ("+", left[1], ("const", left[2][1] + right[1]))
+        return ("+", left[1], ("const", _shown(left[2][1]) + _shown(right[1])))
     return (kind, left, right)
 
 
@@ -308,6 +317,11 @@ def _shown(value) -> str:
     return "" if value is None else str(value)
 
 
+def _filtered(name: str, value):
+    """A length is that of the value itself, all other filters take what is shown of it."""
+    return FILTERS[name](value if name == "length" and value is not None else _shown(value))
+
+
 # ---- closures ------------------------------------------------------------------------
 
 Scope = dict
@@ -331,8 +345,8 @@ def _value(node: tuple) -> Callable[[Scope], object]:
 
         return field
     if kind == "filter":
-        inner, apply, counts = _value(node[2]), FILTERS[node[1]], node[1] == "length"
-        return lambda scope: apply(v if counts and (v := inner(scope)) is not None else _shown(inner(scope)))
+        inner, name = _value(node[2]), node[1]
+        return lambda scope: _filtered(name, inner(scope))
     if kind == "not":
         inner = _value(node[1])
         return lambda scope: not inner(scope)
@@ -501,8 +515,13 @@ def format_conversations(rows: DataFrame, template: str = CHATML) -> DataFrame:
     return _sorted_rows(rows).mapInArrow(run, "conv_id long, part long, formatted string, generated boolean")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """A digest row per conversation, from the output of ``format_conversations`` (whose partitions and order it keeps)."""
+def read_back(formatted: DataFrame, ordered: bool = False) -> DataFrame:
+    """A digest row per conversation, from the output of ``format_conversations``.
+
+    Output that comes straight from there is ``ordered``: its partitions and order are kept. Any other is put in order first.
+    """
+    if not ordered:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches):
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("conv_id", "part", "formatted", "generated"))))

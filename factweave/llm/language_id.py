@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from factweave.llm.shared import stored
 
 SAMPLE = 400
+#: Labels that are learned: the most frequent ones. 64 of them are at most 400 MB of vectors in the driver.
+LANGUAGES = 64
 SPARE = 4
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -128,13 +130,14 @@ def fold(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", per_language: int = SAMPLE) -> Model | None:
     """Learns from the text and the label of documents outside the held-out fold; None where there are none.
 
-    A null key is in no fold and not learned from; of rows that repeat a key and a label, one is.
+    A null key is in no fold and not learned from; of rows that repeat a key and a label, one is. The ``LANGUAGES`` most frequent
+    labels are learned (ties: the first by name), so that what reaches the driver is bounded however many odd labels there are.
     """
     usable = docs.filter((fold(key) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # The rows with the smallest hashes of each language. Only a share that surely holds them is ranked, a few
     # times as many as are wanted, however many documents the language has.
     place = F.shiftrightunsigned(F.xxhash64(F.lit(17), key), 11) / F.lit(2.0**53)
-    counts = stored(docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    counts = stored(docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES), "language-counts")
     early = usable.select(key, "lang", place.alias("place")).join(counts, "lang").filter(F.col("place") * F.col("n") <= SPARE * per_language).drop("n").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", key))
     ranked = early.withColumn("rank", rank).filter(F.col("rank") <= per_language)

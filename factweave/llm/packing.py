@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences in bulk-synchronous steps.
+"""Best-fit packing of token sequences in bulk-synchronous steps over runs of equal lengths.
 
 Documents are cut into pieces of at most ``capacity`` tokens and packed as best-fit decreasing does. A
 superstep handles all pieces of one length, from the longest down: pieces are range-sorted by length, open
@@ -6,8 +6,8 @@ sequences by gap, and a sweep gives each piece the successor gap, the smallest t
 want the same gap are told apart by their rank in the length; gaps shrink, and the next step begins.
 
 Lengths are small integers, so a whole run of equal gaps meets a whole run of equal pieces at once: the state
-of the sweep is a table of runs bounded by ``capacity``, whatever the corpus. It is worked out from the
-histogram of lengths and goes to the tasks as ``(length, first rank, count, first sequence, offset)``; every
+of the sweep is a table of runs bounded by ``capacity``, whatever the corpus. So the supersteps aren't Spark jobs: Spark
+makes the histogram of lengths (at most ``capacity`` rows), the driver sweeps over it, and the plan goes to the tasks as ``(length, first rank, count, first sequence, offset)``; every
 piece finds its run by its length and rank. Ranks come from bucket counts, so no length is sorted in one task.
 """
 

@@ -34,7 +34,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 20, source: str =
     rows = docs.select(
         F.struct(*kept).alias("row"),
         stratum(source).alias("source"),
-        F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("shuffle"),
+        # Rows without a key are spread by their other columns.
+        F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), F.xxhash64(*kept))).otherwise(F.xxhash64(F.lit(seed), F.col(key).cast("string"))).alias("shuffle"),
         F.xxhash64(*kept).alias("tie"),
     ).withColumn("bucket", F.shiftright("shuffle", 64 - BUCKET_BITS))
     counts = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))

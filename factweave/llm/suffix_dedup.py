@@ -1,11 +1,13 @@
-"""Passages that repeat across documents, found with sparse suffix arrays.
+"""Passages that repeat across documents, found at the suffixes of minimiser positions.
 
 A passage is ``PASSAGE`` words or more. Of the ``PASSAGE - GRAM + 1`` grams of ``GRAM`` words in each
 window of ``PASSAGE`` words the one with the least hash is its minimiser, so equal windows choose the same
 position. Only the suffixes at these positions are retained: each stands for the run of windows that chose
-it and carries their hashes, which order it by content. Suffixes are sorted by the gram they start with;
-equal neighbours in that order repeat, and matches are extended left and right window by window
-over the run and on into the neighbouring runs, to the largest spans.
+it and carries their hashes, which order it by content. Suffixes are brought together by the hash of the gram they start
+with. They are not compared with their neighbours in full order of content: a text that repeats a passage of 50 words inside a longer
+one has no single best neighbour, and such a sort would move 25 words and more on each side of every position. Instead the
+hashes of the windows in each run stand for the content; equal ones are matches, and matches that follow
+each other in a document are joined to the largest spans.
 
 Every window belongs to exactly one suffix, so the result is exactly that of comparing all windows (up to
 63-bit hashes), with about a fourteenth of the rows. What repeats within a task is combined there: its first

@@ -25,7 +25,9 @@ from factweave.llm.shared import shared_folder, stored
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4096
-RECORDS_PER_FILE = 5000
+#: An archive is read whole by one task: it has at most so many bytes, at this many for the headers of a record.
+ARCHIVE_BYTES = 64 * 1024 * 1024
+HEAD_BYTES = 1024
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -108,7 +110,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = with_revisits(pages).mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (segment_bytes + HEAD_BYTES))).text(path)
 
 
 # ---- reading -------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 from edge_tables import edge_docs, no_docs
@@ -170,3 +171,45 @@ def test_pipeline_is_its_stages(spark, sf):
 def test_stages_take_odd_tables(spark, sf, make):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, make(spark), sf).collect()
+
+
+def test_folding_changes_nothing():
+    rng = random.Random(12)
+    values = {"x": 1, "y": "a", "z": None, "m": {"k": "v"}, "l": [1, 2]}
+
+    def expression(depth):
+        kind = rng.randrange(8) if depth else rng.randrange(2)
+        if kind == 0:
+            return rng.choice(["1", "2", "'b'", "''", "true", "false", "none", "' c '"])
+        if kind == 1:
+            return rng.choice(["x", "y", "z", "m.k", "gone"])
+        if kind == 2:
+            return f"({expression(depth - 1)} | {rng.choice(sorted(set(chat.FILTERS) - {'length'}))})"
+        if kind == 3:
+            return f"(not {expression(depth - 1)})"
+        return f"({expression(depth - 1)} {rng.choice(['+', '+', '+', 'and', 'or', '==', '!='])} {expression(depth - 1)})"
+
+    for _ in range(3000):
+        source = f"a{{{{ {expression(3)} }}}}b{{% if {expression(2)} %}}c{{{{ {expression(2)} + 1 + 2 }}}}{{% else %}}d{{% endif %}}"
+        tree = chat.parse(source)
+        whole, folded = ("".join(t for t, _ in chat._body(body, False)(dict(values))) for body in (tree, chat.fold_body(tree)))
+        assert whole == folded, source
+
+
+def test_dashes_trim_and_open_brackets_are_refused():
+    def shown(source):
+        return "".join(t for t, _ in chat.compile_template(source)(x=1))
+
+    assert shown("a  {{- x -}}  b {% if x -%}  c  {%- endif %} d") == "a1b c d"
+    assert shown("{{ x + 2 }}{{ 1 + 2 }}{{ none + 'a' }}{{ 5 | trim }}") == "1212a5"
+    for broken in ("a {{ x", "{% if x %}a{% endif", "{# note"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(broken)
+
+
+def test_output_that_was_stored_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"text {c} {t}") for c in range(30) for t in range(40)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows)
+    want = sorted(map(tuple, chat.read_back(formatted, ordered=True).collect()))
+    formatted.repartition(7).write.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, chat.read_back(spark.read.parquet(f"{tmp_path}/out")).collect())) == want and len(want) == 30
