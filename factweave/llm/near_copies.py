@@ -25,6 +25,8 @@ from factweave.operators.components import connected_components
 
 SHINGLE = 5
 SEED = 42
+#: Holders of a frequent shingle are compared in pairs of chunks of about this many.
+CHUNK_ROWS = 4_096
 #: Common shingles are those of at least COMMON among SAMPLE distinct texts; the TABLE most frequent are kept.
 SAMPLE = 8_192
 COMMON = 3
@@ -168,6 +170,94 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def alike_in_run(content: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of contents among holders of one shingle, in order of size, that sizes, places, groups and sketches allow; ``side``
+    keeps apart what another run compares (rows of one side, where there are two)."""
+    found: list[tuple[int, int]] = []
+    two = side.min() != side.max()
+    widths = np.array([len(x) for x in sketches])
+    matrices = {w: np.frombuffer(b"".join(x for x in sketches if len(x) == w), np.uint64).reshape(-1, w // 8) for w in set(widths.tolist())}
+    place = np.zeros(len(widths), np.int64)
+    for w in matrices:
+        own = widths == w
+        place[own] = np.arange(own.sum())
+    for k in range(1, len(content)):
+        # Earlier rows are no larger; those below 0.8 of this one are out.
+        j = np.arange(np.searchsorted(size[:k], -(-4 * size[k] // 5)), k)
+        n, m = size[k], size[j]
+        good = (group[j] != group[k]) & (content[j] != content[k])
+        if two:
+            good &= side[j] != side[k]
+        good &= (np.minimum(pos[k], pos[j]) + np.minimum(n - pos[k], m - pos[j])) * 9 >= (n + m) * 4
+        j = j[good]
+        for w in set(widths[j].tolist()):
+            same = j[widths[j] == w]
+            width = min(w, widths[k]) // 8
+            mine = _folded(matrices[widths[k]][place[k]][None, :], width)
+            apart = np.bitwise_count(_folded(matrices[w][place[same]], width) ^ mine).sum(axis=1, dtype=np.int64)
+            for other in content[same[9 * apart <= n + size[same]]].tolist():
+                found.append((min(other, int(content[k])), max(other, int(content[k]))))
+    return found
+
+
+def _alike(hits: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a, b`` of all pairs of two groups that meet at a shingle and that nothing tells apart.
+
+    The holders of a shingle come together as rows, and only pairs that may be similar leave the task. A shingle
+    of more than CHUNK_ROWS holders is dealt into pairs of chunks, so that no task holds more than two of them.
+    """
+    counts = hits.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
+    rows = hits.join(counts, "gram").join(sketches.select("content", "sketch"), "content")
+    own = F.pmod(F.xxhash64("content", F.lit(3)), F.col("chunks")).cast("int")
+    dealt = rows.withColumn("own", own).select(
+        "gram", "content", F.xxhash64("group").alias("group"), "size", "pos", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    ).withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+    names = ["gram", "first", "second", "content", "group", "size", "pos", "own", "sketch"]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs():
+            whole = pa.Table.from_batches(held)
+            held.clear()
+            columns = [whole.column(c).to_numpy() for c in names[:-1]]
+            prints = whole.column("sketch").to_pylist()
+            keys = columns[:3]
+            new = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in keys])]))
+            out: list[tuple[int, int]] = []
+            for at, stop in zip(new.tolist(), [*new[1:].tolist(), whole.num_rows]):
+                if stop - at > 1:
+                    out += alike_in_run(*(c[at:stop] for c in columns[3:]), prints[at:stop])
+            a, b = zip(*set(out)) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # What belongs to the last run of a batch waits for the next.
+            keys = [batch.column(c).to_numpy() for c in names[:3]]
+            last = np.logical_and.reduce([c == c[-1] for c in keys])
+            first = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if first == 0 and held and any(h.column(c)[-1].as_py() != batch.column(c)[0].as_py() for h in held[-1:] for c in names[:3]):
+                yield pairs()
+            if first:
+                held.append(batch.slice(0, first))
+                yield pairs()
+            held.append(batch.slice(first))
+        if held:
+            yield pairs()
+
+    ordered = dealt.select(*names).repartition("gram", "first", "second").sortWithinPartitions("gram", "first", "second", "size")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, key: str) -> DataFrame:
     """``source_id, target_id``: the groups of the pairs that are similar. ``named`` has ``content, key, group``."""
     ends = named.join(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct(), "content", "left_semi")
@@ -230,7 +320,7 @@ def merged_groups(docs: DataFrame, profiles: DataFrame, names: DataFrame, key: s
 
     renamed = hits.join(found.withColumnRenamed("id", "group"), "group").drop("group").withColumnRenamed("component", "group")
     left = stored(_of_two_groups(renamed), "near-left")
-    rest = stored(_plausible(_candidates(left, left).join(tried, ["a", "b"], "left_anti"), sketches), "near-rest")
+    rest = stored(_alike(left, sketches).join(tried, ["a", "b"], "left_anti"), "near-rest")
     more = _verified(rest, docs, named, key)
     out = stored(connected_components(groups, links.unionByName(more)), "near-groups")
     discard(named, hits, groups, sketches, tried, near, links, found, left, rest, more)

@@ -45,10 +45,11 @@ def near_copies_of(rng, n):
     return list(zip(order, rows))
 
 
-@pytest.mark.parametrize("common", [2, 10_000])
-def test_stage_drops_all_near_copies(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "chunk"), [(2, 4096), (10_000, 4096), (10_000, 3)])
+def test_stage_drops_all_near_copies(spark, monkeypatch, common, chunk):
     monkeypatch.setattr(near_copies, "COMMON", common)
-    rows = near_copies_of(random.Random(common), 90)
+    monkeypatch.setattr(near_copies, "CHUNK_ROWS", chunk)
+    rows = near_copies_of(random.Random(common + chunk), 90)
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     want = plain_kept(rows)
     assert sorted(r.doc_id for r in kept.collect()) == want
