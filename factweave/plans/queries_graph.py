@@ -11,6 +11,7 @@ from factweave.operators import dedupe
 from factweave.operators import graph_filters as gf
 from factweave.operators import graph_stats as gs
 from factweave.operators import paths, term_index
+from factweave.operators.distance_index import DistanceIndex, write_index
 from factweave.plans import graph_view as gv
 from factweave.plans.catalog import query
 from factweave.session import ensure_checkpoint_dir, load_tables
@@ -280,3 +281,17 @@ SELECT 2, edge_type, count(*), count(DISTINCT target_id) FROM h2 GROUP BY edge_t
 def frontier_trace(spark, sf_dir):
     seeds = gv.order_rows(spark, sf_dir).select("id")
     return paths.frontier_trace(gv.edges(spark, sf_dir), seeds, ["MENTIONS_ENTITY", "ENTITY_RELATED_TO", "REFERS_TO"], max_hops=3)
+
+
+@query("""SELECT DISTINCT 'TR:' || l_orderkey AS source_id, 'EN:S' || l_suppkey AS target_id,
+CAST(CASE WHEN c_nationkey = s_nationkey THEN 3 WHEN a.n_regionkey = b.n_regionkey THEN 5 END AS INTEGER) AS distance
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation b ON s_nationkey = b.n_nationkey""")
+def indexed_pair_distances(spark, sf_dir):
+    """From each order to each of its suppliers through customers, nations and regions, by one look at stored labels."""
+    mentions = gv.edges(spark, sf_dir).filter("edge_type = 'MENTIONS_ENTITY'")
+    path = f"{ensure_checkpoint_dir(spark)}/distance-index-{uuid.uuid4().hex}"
+    write_index(gv.entity_edges(spark, sf_dir).unionByName(mentions), path)
+    (lines,) = load_tables(spark, sf_dir, "lineitem")
+    pairs = lines.select(F.concat(F.lit("TR:"), "l_orderkey").alias("source_id"), F.concat(F.lit("EN:S"), "l_suppkey").alias("target_id")).distinct()
+    return DistanceIndex(spark, path).distances(pairs)
