@@ -46,8 +46,9 @@ def write_index(edges: DataFrame, path: str, max_hops: int | None = None) -> Non
     """Write ``id, hub, distance, parent`` of the undirected graph ``edges`` (``source_id, target_id``) below ``path``.
 
     Edges with a null end are left out; repeated ones and loops count for nothing, but the node of a loop is known.
-    ``max_hops`` bounds the distance from a node to its hub. Labels grow with how spread out the shortest paths are:
-    a few a node where hubs carry them (trees, star-like graphs), up to the root of the nodes on random graphs.
+    ``max_hops`` bounds the distance from a node to its hub: distances up to it stay exact, longer ones may come out too
+    long or as null. Labels are a few a node where hubs carry the shortest paths (trees, star-like graphs); on graphs
+    without hubs their number a node grows with the graph, and only ``max_hops`` bounds the index.
     """
     spark = edges.sparkSession
     clean = edges.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
