@@ -40,7 +40,7 @@ def within_filing(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, pe
 
 
 def _later_filing(l: dict, r: dict) -> np.ndarray:
-    return r["filing"].astype(str) > l["filing"].astype(str)
+    return r["filing"] > l["filing"]
 
 
 def _later_sampled(l: dict, r: dict) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Exact cosine joins.
 
-Vectors meet in bounded blocks: both sides are cut into blocks of about
-``block_rows`` rows, every pair of blocks becomes one cogroup, and numpy scores
-it. A hot key therefore spreads over many tasks, and only pairs that pass the
-threshold (or the per-row best ones) ever leave a task.
+Vectors meet in bounded blocks: both sides are cut into blocks of ``block_rows``
+rows or more, every pair of blocks becomes one cogroup, and numpy scores
+it in tiles of ``block_rows`` by ``block_rows``. A hot key therefore spreads over many tasks, and only pairs that pass the
+threshold (or the per-row best ones) ever leave a task. Where only the best or first ones are kept, blocks grow with
+the group, so that rows are copied a bounded number of times until blocks reach their own bound.
 """
 
 from __future__ import annotations
@@ -12,12 +13,18 @@ from collections.abc import Callable, Sequence
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 2048
+#: A group is cut into at most so many blocks a side, since each row goes to every block of the other side,
+BLOCKS = 16
+#: as long as a block holds no more than so many numbers and its task gives no more than so many rows.
+BLOCK_FLOATS = 1 << 22
+BLOCK_RESULTS = 1 << 22
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -31,6 +38,15 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
+def blocks(rows: str, block_rows: int, keep: str, n: int) -> Column:
+    """Blocks of a side of ``rows`` rows, beside ``_dims`` (numbers of a vector) and ``_per`` (values of ``per``)."""
+    if keep == "all":
+        return F.ceil(F.col(rows) / block_rows).cast("int")
+    size = F.lit(float(block_rows))
+    widest = F.greatest(size, F.least(BLOCK_FLOATS / F.greatest(F.lit(1), "_dims"), BLOCK_RESULTS / (F.greatest(F.lit(1), "_per") * n)))
+    return F.ceil(F.col(rows) / F.least(widest, F.greatest(size, F.col(rows) / BLOCKS))).cast("int")
+
+
 def similarity_join(
     left: DataFrame,
     right: DataFrame,
@@ -51,7 +67,7 @@ def similarity_join(
 
     Both sides carry ``id``, ``pos`` (input order, any sortable type), ``vec``, the
     key columns and any columns ``where`` reads. ``where(l, r)`` gets dicts of numpy columns
-    shaped for broadcasting (left down, right across) and returns a mask.
+    shaped for broadcasting (left down, right across) and returns a mask; text columns come as numbers that compare as the texts do.
 
     ``keep="all"`` returns every pair, ``"first"`` the ``n`` qualifying right
     rows with the smallest ``pos`` per left row, ``"best"`` the ``n`` most
@@ -71,18 +87,12 @@ def similarity_join(
             .select("first.id", "first.pos", *same)
         )
     group = key
-    blocks = lambda n: F.ceil(n / block_rows).cast("int")
-    if group:
-        sizes = (
-            left.groupBy(*group).agg(F.count(F.lit(1)).alias("_nl"))
-            .join(right.groupBy(*group).agg(F.count(F.lit(1)).alias("_nr")), group)
-            .select(*group, blocks(F.col("_nl")).alias("_bl"), blocks(F.col("_nr")).alias("_br"))
-        )
-        sized = lambda df: df.join(sizes, group)
-    else:
-        # One group: its two sizes are scalars.
-        n_left, n_right = (df.agg(F.count(F.lit(1))).scalar() for df in (left, right))
-        sized = lambda df: df.withColumns({"_bl": blocks(n_left), "_br": blocks(n_right)})
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    n_per = F.approx_count_distinct(per) if per else F.lit(1)
+    about_left = left.groupBy(*group).agg(count("_nl"), F.max(F.size("vec")).alias("_dims"))
+    about_right = right.groupBy(*group).agg(count("_nr"), n_per.alias("_per"))
+    sizes = (about_left.join(about_right, group) if group else about_left.crossJoin(about_right)).select(*group, *[blocks(c, block_rows, keep, n).alias(b) for c, b in (("_nl", "_bl"), ("_nr", "_br"))])
+    sized = lambda df: df.join(sizes, group) if group else df.crossJoin(F.broadcast(sizes))
     lefts = sized(left).select(
         *left.columns,
         F.pmod(F.xxhash64("id"), F.col("_bl")).cast("int").alias("_lb"),
@@ -111,30 +121,53 @@ def similarity_join(
         r = r.rename_columns([c.removeprefix("r__") for c in r.column_names])
         if l.num_rows == 0 or r.num_rows == 0:
             return arrow_out.empty_table()
-        sims = _unit_rows(l["vec"]) @ _unit_rows(r["vec"]).T
-        mask = sims > threshold if strict else sims >= threshold
-        if below is not None:
-            mask &= sims < below
-        if where is not None:
-            lc = {c: _column(l[c])[:, None] for c in l.column_names if c != "vec"}
-            rc = {c: _column(r[c])[None, :] for c in r.column_names if c != "vec"}
-            mask &= where(lc, rc)
-        i, j = np.nonzero(mask)
-        s = sims[i, j]
-        if keep != "all" and len(i):
-            rpos = _column(r["pos"])
-            if rpos.dtype == object:
-                rpos = np.unique(rpos.astype(str), return_inverse=True)[1]
-            group_of = i.astype(np.int64)
-            if per:
-                codes = np.unique(_column(r[per]).astype(str), return_inverse=True)[1]
-                group_of = group_of * (codes.max() + 1) + codes[j]
-            order = np.lexsort((rpos[j],) + ((-s,) if keep == "best" else ()) + (group_of,))
+        lc, rc = _comparable(l, r)
+        if keep != "all":
+            # Right rows in the order that decides between equals: a smaller index wins.
+            codes = np.unique(rc[per], return_inverse=True)[1] if per else np.zeros(r.num_rows, np.int64)
+            order = np.lexsort((rc["pos"], codes))
+            r, codes, rc = r.take(pa.array(order)), codes[order], {c: v[order] for c, v in rc.items()}
+        lu, ru = _unit_rows(l["vec"]), _unit_rows(r["vec"])
+
+        def chosen(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+            group_of = i * (codes[-1] + 1) + codes[j]
+            order = np.lexsort((j,) + ((-s,) if keep == "best" else ()) + (group_of,))
             g = group_of[order]
             starts = np.r_[0, np.flatnonzero(np.diff(g)) + 1]
             rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
-            chosen = order[rank < n]
-            i, j, s = i[chosen], j[chosen], s[chosen]
+            taken = order[rank < n]
+            return i[taken], j[taken], s[taken]
+
+        def tile(i0: int, j0: int) -> tuple[np.ndarray, ...]:
+            ls, rs = slice(i0, i0 + block_rows), slice(j0, j0 + block_rows)
+            sims = lu[ls] @ ru[rs].T
+            mask = sims > threshold if strict else sims >= threshold
+            if below is not None:
+                mask &= sims < below
+            if where is not None:
+                mask &= where({c: v[ls][:, None] for c, v in lc.items()}, {c: v[rs][None, :] for c, v in rc.items()})
+            if keep == "best" and n == 1:
+                sims[~mask] = -np.inf
+                edges = np.r_[0, np.flatnonzero(np.diff(codes[rs])) + 1, sims.shape[1]]
+                i, j = [], []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    at = sims[:, a:b].argmax(axis=1) + a
+                    some = np.flatnonzero(sims[np.arange(len(at)), at] > -np.inf)
+                    i.append(some)
+                    j.append(at[some])
+                i, j = np.concatenate(i), np.concatenate(j)
+            else:
+                i, j = np.nonzero(mask)
+            s = sims[i, j]
+            i, j = i + i0, j + j0
+            done = keep == "all" or (keep == "best" and n == 1) or not len(i)
+            return (i, j, s) if done else chosen(i, j, s)
+
+        found = []
+        for i0 in range(0, l.num_rows, block_rows):
+            part = tuple(np.concatenate(x) for x in zip(*[tile(i0, j0) for j0 in range(0, r.num_rows, block_rows)]))
+            found.append(chosen(*part) if keep != "all" and r.num_rows > block_rows and len(part[0]) else part)
+        i, j, s = (np.concatenate(x) for x in zip(*found))
         li, rj = pa.array(i), pa.array(j)
         columns = [l[k].take(li) for k in key]
         columns += [l["id"].take(li), r["id"].take(rj), l["pos"].take(li), r["pos"].take(rj), pa.array(s)]
@@ -156,6 +189,18 @@ def similarity_join(
     return pairs if per else pairs.drop("per")
 
 
+def _comparable(l: pa.Table, r: pa.Table) -> tuple[dict, dict]:
+    """The columns of both sides but ``vec``; texts become numbers that compare as the texts do, null below all."""
+    lc, rc = ({c: _column(t[c]) for c in t.column_names if c != "vec"} for t in (l, r))
+    for c in {**lc, **rc}:
+        sides = [d for d in (lc, rc) if c in d]
+        if all(d[c].dtype == object for d in sides):
+            codes = pd.factorize(np.concatenate([d[c] for d in sides]), sort=True)[0]
+            for d, part in zip(sides, np.split(codes, [len(sides[0][c])])):
+                d[c] = part
+    return lc, rc
+
+
 def _column(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 

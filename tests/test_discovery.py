@@ -345,3 +345,32 @@ def test_build_skips_a_failing_discovery(spark):
     assert skipped == ["broken"] and edges.isEmpty()
     with pytest.raises(ValueError):
         build.discover_edges(nodes, vectors, jobs)
+
+
+@pytest.mark.parametrize(("keep", "n", "per"), [("best", 1, None), ("best", 1, "kind"), ("best", 3, "kind"), ("first", 2, None)])
+def test_block_size_changes_no_kept_pair(spark, monkeypatch, keep, n, per):
+    from factweave.operators import similarity
+
+    rng = np.random.default_rng(5)
+    rows = [(f"n{i:03d}", i * 7 % 300, [float(x) for x in rng.standard_normal(4).astype(np.float32)], f"k{rng.integers(12)}") for i in range(300)]
+    v = spark.createDataFrame([*rows, ("n900", 300, [1.0, 0.0, 0.0, 0.0], None)], "id string, pos long, vec array<float>, kind string")
+    settings = {"threshold": 0.4, "keep": keep, "n": n, "per": per, "where": lambda l, r: r["kind"] > l["kind"]}
+    whole = {(r.left_id, r.right_pos, round(r.sim, 9)) for r in similarity.similarity_join(v, v, **settings).collect()}
+    brute = {}
+    held = [*rows, ("n900", 300, [1.0, 0.0, 0.0, 0.0], "")]
+    for a in held:
+        for b in held:
+            x, y = np.array(a[2]), np.array(b[2])
+            size = np.sqrt(x @ x) * np.sqrt(y @ y)
+            sim = round(float(x @ y / size), 9) if size else 0.0
+            if b[3] > a[3] and sim >= 0.4:
+                brute.setdefault((a[0], b[3] if per else None), []).append((-sim if keep == "best" else 0, b[1], sim))
+    assert whole == {(left, pos, sim) for (left, _), hits in brute.items() for _, pos, sim in sorted(hits)[:n]}
+    cut = similarity.similarity_join(v, v, block_rows=16, **settings)
+    assert {(r.left_id, r.right_pos, round(r.sim, 9)) for r in cut.collect()} == whole
+    monkeypatch.setattr(similarity, "BLOCKS", 2)
+    sides = similarity.similarity_join(v, v, block_rows=16, **settings)
+    assert {(r.left_id, r.right_pos, round(r.sim, 9)) for r in sides.collect()} == whole
+    # Each row goes to two blocks of the other side, not to one for every 16 rows.
+    sent = spark.createDataFrame([(301, 4, 12, n)], "rows int, _dims int, _per int, n int").select(similarity.blocks("rows", 16, keep, n))
+    assert sent.first()[0] == 2
