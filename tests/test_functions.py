@@ -179,3 +179,10 @@ def test_aliases_and_claims(spark):
                                    "metric string, from_period string, to_period string, claimed_direction string")
     got = {(r["metric"], r["claimed_direction"]): r["is_valid"] for r in facts.validate_directions(claims, f).collect()}
     assert got == {("net_sales", "INCREASE"): False, ("net_sales", "DECREASE"): True, ("x", "INCREASE"): True}
+
+
+def test_sentences_keep_the_letter_v_at_their_ends(spark):
+    from factweave.functions import text as tx
+
+    row = spark.createDataFrame([("valves of the pump were improv. \x0bvery short words of a rev\x0b",)], "t string").select(tx.sentences(F.col("t")).alias("s")).first()
+    assert row.s == ["valves of the pump were improv.", "very short words of a rev"]
