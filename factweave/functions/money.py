@@ -174,17 +174,14 @@ def unit_in_text(text: Column) -> Column:
 def direction_claims(text: Column) -> Column:
     """``(metric, direction, source)`` for every "<words> rose/fell" in the text."""
     pattern = r"(?iU)(\w+(?:\s+\w+)?)\s+(" + "|".join(RISE_WORDS + FALL_WORDS) + r")\b"
-    hits = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("metric"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("word"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("source"),
-    )
+    # The text is scanned once; the parts are read from each short match, where the pattern takes the same way.
+    sources = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.transform(
-        hits,
+        sources,
         lambda h: F.struct(
-            F.trim(F.lower(h["metric"])).alias("metric"),
-            F.when(F.lower(h["word"]).isin(*RISE_WORDS), "INCREASE").otherwise("DECREASE").alias("direction"),
-            h["source"].alias("source"),
+            F.trim(F.lower(F.regexp_extract(h, pattern, 1))).alias("metric"),
+            F.when(F.lower(F.regexp_extract(h, pattern, 2)).isin(*RISE_WORDS), "INCREASE").otherwise("DECREASE").alias("direction"),
+            h.alias("source"),
         ),
     )
 

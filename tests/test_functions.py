@@ -186,3 +186,15 @@ def test_sentences_keep_the_letter_v_at_their_ends(spark):
 
     row = spark.createDataFrame([("valves of the pump were improv. \x0bvery short words of a rev\x0b",)], "t string").select(tx.sentences(F.col("t")).alias("s")).first()
     assert row.s == ["valves of the pump were improv.", "very short words of a rev"]
+
+
+def test_direction_claims_scan_the_text_once(spark):
+    from factweave.functions import money
+
+    t = spark.createDataFrame([("Total machinery rose while net sales fell. Élan  vital declined, x rose2 and rose.",)], "t string")
+    claims = t.select(F.explode(money.direction_claims(F.col("t"))).alias("c")).select("c.*")
+    assert [tuple(r) for r in claims.collect()] == [
+        ("total machinery", "INCREASE", "Total machinery rose"), ("net sales", "DECREASE", "net sales fell"),
+        ("élan  vital", "DECREASE", "Élan  vital declined"), ("rose2 and", "INCREASE", "rose2 and rose")]
+    plan = t.select(money.direction_claims(F.col("t")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
