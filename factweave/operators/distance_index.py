@@ -3,7 +3,8 @@
 Each node keeps its distances to a few hubs, such that any two nodes share a hub on a shortest path between them
 (pruned landmark labels; Akiba et al., 2013). A table of pairs is then answered by two joins, whatever the distances.
 
-Nodes become hubs in batches, those with most neighbours first. All hubs of a batch search at once, a level a round;
+Nodes with one neighbour are taken off first, again and again while they are many: what such a node knows is what its
+neighbour knows, one step farther. The others become hubs in batches, those with most neighbours first. All hubs of a batch search at once, a level a round;
 a node that earlier hubs already explain as well is neither labelled nor passed. Hubs of one batch don't prune each
 other, which costs labels but loses none: the earliest batch that touches any shortest path of two nodes labels both.
 """
@@ -19,6 +20,8 @@ from factweave.session import cut_lineage
 #: Hubs of the first batch; a later one has at most GROWTH - 1 times the hubs before it.
 FIRST = 64
 GROWTH = 4
+#: Nodes with one neighbour are taken off as long as they are at least this share of the nodes left.
+LEAVES = 0.25
 LABELS = "id string, hub string, distance int, parent string"
 
 
@@ -53,9 +56,13 @@ def write_index(edges: DataFrame, path: str, max_hops: int | None = None) -> Non
     spark = edges.sparkSession
     clean = edges.filter(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
     step = cut_lineage(endpoints(clean).distinct())
-    degree = F.count_if(F.col("other") != F.col("id"))
-    nodes = cut_lineage(step.groupBy("id").agg(F.floor(F.log2(degree + 1)).cast("int").alias("degree_class")))
-    moves = step.filter("id <> other")
+    moves, rounds = _taken_off(step.filter("id <> other"))
+    inner = step.select("id").distinct()
+    for leaves in rounds:
+        inner = inner.join(leaves, "id", "left_anti")
+    degree = moves.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = cut_lineage(inner.join(degree, "id", "left").select("id", F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int").alias("degree_class")))
+    number = -1
     spark.createDataFrame([], LABELS).write.mode("overwrite").parquet(f"{path}/batch=-1")
     for number, (degree_class, low, high) in enumerate(_batches(nodes)):
         earlier = DistanceIndex(spark, path).labels if number else None
@@ -71,6 +78,33 @@ def write_index(edges: DataFrame, path: str, max_hops: int | None = None) -> Non
             frontier = cut_lineage(fresh.select("id", "hub", F.lit(hop).alias("distance"), "parent"))
             found = found.unionByName(frontier)
         found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    for number, leaves in enumerate(reversed(rounds), number + 1):
+        own = leaves.select("id", F.col("id").alias("hub"), F.lit(0).alias("distance"), F.col("id").alias("parent"))
+        known = DistanceIndex(spark, path).labels.select(F.col("id").alias("parent"), "hub", "distance")
+        if max_hops is not None:
+            known = known.filter(F.col("distance") < max_hops)
+        passed_on = leaves.join(known, "parent").select("id", "hub", (F.col("distance") + 1).alias("distance"), "parent")
+        own.unionByName(passed_on).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def _taken_off(moves: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The moves among what stays, and the nodes that each round takes off: ``id`` and its only neighbour ``parent``.
+
+    Of two nodes that have only each other the smaller id stays. A round takes LEAVES of the nodes at least, so all
+    rounds together cost a few times the first.
+    """
+    rounds = []
+    while True:
+        around = cut_lineage(moves.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("parent")))
+        single = around.filter("n = 1").select("id", "parent")
+        alone = single.select(F.col("id").alias("parent"), F.lit(True).alias("alone"))
+        leaves = cut_lineage(single.join(alone, "parent", "left").filter("alone is null or id > parent").select("id", "parent"))
+        taken = leaves.count()
+        if not taken or taken < LEAVES * around.count():
+            return moves, rounds
+        rounds.append(leaves)
+        moves = cut_lineage(moves.join(leaves, "id", "left_anti").join(
+            leaves.select(F.col("id").alias("other"), F.col("parent").alias("id")), ["id", "other"], "left_anti"))
 
 
 def _unexplained(reached: DataFrame, labels: DataFrame, hop: int) -> DataFrame:
@@ -91,8 +125,11 @@ class DistanceIndex:
     def _met(self, pairs: DataFrame) -> DataFrame:
         """``source_id, target_id, hub, near, far`` of the distinct pairs that a path joins: the hub with the least sum, then id."""
         asked = pairs.select("source_id", "target_id").distinct()
-        near = self.labels.select(F.col("id").alias("source_id"), "hub", F.col("distance").alias("near"))
         far = self.labels.select(F.col("id").alias("target_id"), "hub", F.col("distance").alias("far"))
+        far = far.join(asked.select("target_id").distinct(), "target_id", "left_semi")
+        # A hub that no asked target knows joins no pair: left out before the labels multiply the pairs.
+        near = self.labels.join(far.select("hub").distinct(), "hub", "left_semi")
+        near = near.select(F.col("id").alias("source_id"), "hub", F.col("distance").alias("near"))
         joined = asked.join(near, "source_id").join(far, ["target_id", "hub"])
         best = F.min(F.struct((F.col("near") + F.col("far")).alias("distance"), "hub", "near", "far")).alias("best")
         return joined.groupBy("source_id", "target_id").agg(best).select("source_id", "target_id", "best.*")

@@ -78,3 +78,25 @@ def test_few_labels_where_hubs_carry_the_paths(spark, tmp_path):
     write_index(spark.createDataFrame(edges, EDGES), str(tmp_path / "tree"))
     # A leaf knows itself, its parent and the hubs of the first batch that it can reach.
     assert DistanceIndex(spark, str(tmp_path / "tree")).labels.count() < 421 * 25
+
+
+@pytest.mark.parametrize("hops", [None, 3])
+def test_single_neighbours_are_taken_off_first(spark, tmp_path, hops):
+    edges = [(f"r{r}", f"n{r}{n}") for r in range(3) for n in range(3)] + [(f"n{i % 3}{i // 3 % 3}", f"c{i}") for i in range(45)]
+    edges += [(f"c{i % 45}", f"o{i}") for i in range(135)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("two", "one"), ("self", "self")]
+    write_index(spark.createDataFrame([(a, b, None, None) for a, b in edges], EDGES), str(tmp_path / "tree"), max_hops=hops)
+    index = DistanceIndex(spark, str(tmp_path / "tree"))
+    # An order knows itself, its customer, nation, region and the regions beside it; nations are no hubs of each other's orders.
+    most = index.labels.groupBy("id").count().agg({"count": "max"}).first()[0]
+    assert most <= 6
+    graph = around(edges)
+    want = {(a, b): d for a in graph for b, d in bfs(graph, a).items()}
+    got = index.distances(spark.createDataFrame([(a, b) for a in graph for b in graph], "source_id string, target_id string")).collect()
+    assert len(got) == len(graph) ** 2
+    for r in got:
+        exact = want.get((r.source_id, r.target_id))
+        assert r.distance == exact or (hops and exact is not None and exact > hops), r
+    walked = index.paths(spark.createDataFrame([("o0", "o44"), ("o0", "o45"), ("one", "two")], "source_id string, target_id string")).collect()
+    if hops is None:
+        assert sorted(r.id for r in walked if r.target_id == "two") == ["one", "two"]
+        assert [r.id for r in sorted(walked, key=lambda r: r.step) if r.target_id == "o45"] == ["o0", "c0", "o45"]
