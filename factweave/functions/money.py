@@ -46,6 +46,25 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, ",", "")
 
 
+DOLLAR = r"(?i)\$\s*([\d,]+\.?\d*)\s*(B|BILLION|M|MILLION|K|THOUSAND)?"
+SCALED = r"(?i)^([\d,]+\.?\d*)\s*(B|BILLION|M|MILLION)\b"
+
+
+def _scaled_amount(text: Column, pattern: str) -> Column:
+    """The first number of ``pattern`` in base units; NULL without one."""
+    factor = F.upper(F.substring(F.regexp_extract(text, pattern, 2), 1, 1))
+    scales = F.create_map(F.lit("B"), F.lit(1000000000), F.lit("M"), F.lit(1000000), F.lit("K"), F.lit(1000))
+    # Looked up, so that the letter is found once.
+    scale = F.coalesce(F.try_element_at(scales, factor), F.when(text.isNotNull(), F.lit(1)))
+    number = _digits(F.regexp_extract(text, pattern, 1)).try_cast("decimal(24,4)")
+    return (number * scale).cast(AMOUNT)
+
+
+def dollar_amount(text: Column) -> Column:
+    """``parse_money`` for text that is a dollar sign, a number and a scale word at most."""
+    return _scaled_amount(F.trim(text), DOLLAR)
+
+
 def parse_money(text: Column) -> Column:
     """Amount in base units of text that is money, NULL for anything that names a period.
 
@@ -53,20 +72,8 @@ def parse_money(text: Column) -> Column:
     """
     s = F.trim(text)
     period = contains_any(F.upper(s), ("FY", "FISCAL", "QUARTER", "Q1", "Q2", "Q3", "Q4"))
-    dollar = r"(?i)\$\s*([\d,]+\.?\d*)\s*(B|BILLION|M|MILLION|K|THOUSAND)?"
-    scaled = r"(?i)^([\d,]+\.?\d*)\s*(B|BILLION|M|MILLION)\b"
-
-    def amount(pattern: str) -> Column:
-        factor = F.upper(F.substring(F.regexp_extract(s, pattern, 2), 1, 1))
-        scale = (
-            F.when(factor == "B", F.lit(1000000000)).when(factor == "M", F.lit(1000000))
-            .when(factor == "K", F.lit(1000)).otherwise(F.lit(1))
-        )
-        number = _digits(F.regexp_extract(s, pattern, 1)).try_cast("decimal(24,4)")
-        return (number * scale).cast(AMOUNT)
-
     return F.when(period, F.lit(None)).otherwise(
-        F.when(s.rlike(dollar), amount(dollar)).when(s.rlike(scaled), amount(scaled))
+        F.when(s.rlike(DOLLAR), _scaled_amount(s, DOLLAR)).when(s.rlike(SCALED), _scaled_amount(s, SCALED))
     ).cast(AMOUNT)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.money import parse_money
+from factweave.functions.money import dollar_amount
 from factweave.functions.text import matches
 
 # Penalty per severity, and the most an answer can lose.
@@ -39,7 +39,7 @@ MARGIN_CLAIM = r"margin.*(?:increased?|decreased?|changed?).*by\s+([\d.]+)\s*%"
 UP_WORDS = ("increased", "grew", "growth", "rose", "gain", "higher", "up", "improve", "improved", "expand", "expanded", "climbed")
 DOWN_WORDS = ("decreased", "decline", "declined", "fell", "drop", "dropped", "lower", "down", "contract", "contracted", "shrink", "reduced")
 TRACKED = ("revenue", "sales", "income", "profit", "margin", "iphone", "mac", "ipad", "services", "wearables", "cost", "expense", "earnings")
-VALUE_CLAIM = r"(\w+(?:\s+\w+)?)\s+(?:was|is|of|totaled|reached)\s+(\$[\d,.]+\s*(?:B|M|billion|million)?)"
+VALUE_CLAIM = r"(?:\G|(?<!\w))(\w++(?:\s++\w++)?)\s++(?:was|is|of|totaled|reached)\s++(\$[\d,.]+\s*(?:B|M|billion|million)?)"
 TRUST_COST = {"critical": 0.3, "major": 0.1, "minor": 0.02}
 
 
@@ -158,10 +158,19 @@ def validate(answers: DataFrame, found: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once: inside arrays Spark would do so at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# A claim begins with a whole word, or where the claim before it ended; no word gives back letters, since blanks must follow.
+SUBJECT = r"(?:\G|(?<!\w))(\w++(?:\s++\w++)?)\s++"
+
+
 def _claim_rows(answers: DataFrame, *kept: str) -> DataFrame:
     """``id, kind, metric, pos, direction, amount`` of each claim in ``id, answer``: one pass over the text."""
     text, none = F.col("answer"), F.array().cast("array<string>")
-    said = rf"(?iU)(\w+(?:\s+\w+)?)\s+({'|'.join(UP_WORDS + DOWN_WORDS)})\b"
+    said = rf"(?iU){SUBJECT}({'|'.join(UP_WORDS + DOWN_WORDS)})\b"
     claim = f"(?i){VALUE_CLAIM}"
 
     def found(pattern: str, worth: Column, taken: Callable[[Column], Column]) -> Column:
@@ -169,15 +178,17 @@ def _claim_rows(answers: DataFrame, *kept: str) -> DataFrame:
         return F.transform(matches_, lambda m, i: F.struct(i.alias("pos"), taken(m).alias("c")))
 
     # Each short match is taken apart once, inside the array: a filter on rows would be pushed below and do it again.
+    def tracked(subject: Column) -> Column:
+        return F.coalesce(*[F.when(F.contains(subject, F.lit(t)), F.lit(t)) for t in TRACKED])
+
     def direction(m: Column) -> Column:
-        word, subject = F.lower(F.regexp_extract(m, r"(?U)(\w+)$", 1)), F.lower(F.regexp_extract(m, r"(?U)^(.*)\s+\w+$", 1))
-        tracked = F.coalesce(*[F.when(F.contains(subject, F.lit(t)), F.lit(t)) for t in TRACKED])
-        return F.struct(F.lit("direction").alias("kind"), tracked.alias("metric"), F.when(word.isin(*UP_WORDS), "increase").otherwise("decrease").alias("direction"),
+        word, subject = F.lower(F.regexp_extract(m, r"(?U)(?<!\w)(\w++)$", 1)), F.lower(F.regexp_extract(m, r"(?U)^(.*)\s+\w+$", 1))
+        return F.struct(F.lit("direction").alias("kind"), _once(subject, tracked).alias("metric"), F.when(word.isin(*UP_WORDS), "increase").otherwise("decrease").alias("direction"),
                         F.lit(None).cast("double").alias("amount"))
 
     def value(m: Column) -> Column:
         return F.struct(F.lit("value").alias("kind"), F.trim(F.lower(F.regexp_extract(m, claim, 1))).alias("metric"), F.lit(None).cast("string").alias("direction"),
-                        parse_money(F.regexp_extract(m, claim, 2)).cast("double").alias("amount"))
+                        dollar_amount(F.regexp_extract(m, claim, 2)).cast("double").alias("amount"))
 
     both = F.concat(found(said, F.lit(True), direction), found(claim, F.contains(text, F.lit("$")), value))
     worth = F.filter(both, lambda x: F.when(x["c"]["kind"] == "value", x["c"]["amount"].isNotNull()).otherwise(x["c"]["metric"].isNotNull()))

@@ -11,7 +11,7 @@ from factweave.plans.catalog import query
 from factweave.plans.graph_view import CALENDAR, FACTS_CTE, MONEY, fy_sql
 from factweave.plans.queries_facts import money_sql
 from factweave.plans.queries_text import QUESTIONS_CTE, hit, questions, quote
-from factweave.session import load_tables
+from factweave.session import dealt, load_tables
 
 YEARS = (2001, 2000, 1999)
 YEAR_PATTERN = r"\b(199\d|200[01])\b"
@@ -107,7 +107,8 @@ def _paired_answers(spark, sf_dir):
     """Two accounts of each order line that may differ in direction and value."""
     (lines,) = load_tables(spark, sf_dir, "lineitem")
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
-    one = lines.groupBy(key).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")).alias("l")).select("id", "l.*")
+    line = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax").alias("l")
+    one = dealt(lines.select(key, line), "id").groupBy("id").agg(F.min("l").alias("l")).select("id", "l.*")
     say = lambda word, value: F.concat(F.lit("Revenue "), word, F.lit(". Margin was $"), F.format_string("%.2f", value))
     other = F.round(F.col("l_extendedprice") * (1 + F.col("l_discount") * 3), 2)
     return (one.select("id", say(F.lit("rose"), F.col("l_extendedprice")).alias("answer")),

@@ -195,3 +195,20 @@ def test_headings_are_looked_for_in_one_pass(spark):
     at = [("Item 1", "item 1."), ("Item 15", "Item 15"), ("Item 1A", "ITEM\u00a01A"), ("Item 7", "\u0130tem 7"), ("Item 7A", "Item 7A")]
     assert found() == [("1", name, text.index(start)) for name, start in at]
     assert found((("own", r"Own\s*\d"),)) == [("1", "own", text.index("Own 2"))]
+
+
+def test_claims_begin_with_whole_words_and_go_on_where_the_last_ended(spark):
+    """Long words cost no search from each letter; claims that touch, scale words and odd blanks stay."""
+    import time
+
+    from factweave.operators import validation as va
+
+    texts = {1: "Net sales grew. Margin was $1,234.5 million", 2: "cost is $5Mincome was $7 B", 3: "Total\nrevenue rose", 4: "profit of $..5", 5: "Élan income  fell x",
+             6: "margin was $3k"}
+    got = {(r.id, r.kind, r.metric): (r.direction, r.amount) for r in va.typed_claims(spark.createDataFrame(list(texts.items()), "id int, answer string")).collect()}
+    assert got == {(1, "direction", "sales"): ("increase", None), (1, "value", "margin"): (None, 1234500000.0), (2, "value", "cost"): (None, 5000000.0),
+                   (2, "value", "income"): (None, 7000000000.0), (5, "direction", "income"): ("decrease", None), (6, "value", "margin"): (None, 3.0)}
+    words = spark.createDataFrame([(0, "a" * 20000 + " b " + "c" * 20000 + " $1")], "id int, answer string")
+    start = time.perf_counter()
+    assert va.typed_claims(words).count() == 0
+    assert time.perf_counter() - start < 5
