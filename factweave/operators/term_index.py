@@ -10,17 +10,23 @@ same postings rank texts by BM25.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.similarity import arrow_schema
 from factweave.session import cut_lineage
 
 BLANKS = r"\s+"
 BUCKETS = 32
 #: Postings of a word are dealt over so many files, so that a frequent word is no single task's.
 SALTS = 8
+#: A batch of postings is handed on when it holds so many words.
+HANDED_ON = 1 << 18
+#: Looked-up words are broadcast when they are so few at most: Spark can't tell, and would move all postings to meet them.
+FEW = 100_000
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
@@ -29,18 +35,51 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def postings_of(texts: DataFrame) -> DataFrame:
+    """``word, id, places`` of ``id, text``: each text is taken apart where it is read, so its words travel once, already grouped."""
+    kind = texts.schema["id"].dataType.simpleString()
+    schema = f"word string, id {kind}, places array<struct<pos: int, gap: string>>"
+    out = arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
+    blanks = re.compile(f"({BLANKS})", re.ASCII)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows, words, ends, at, gaps = [], [], [0], [], []
+
+            def taken() -> pa.RecordBatch:
+                places = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(gaps, pa.string())], fields=list(out.field("places").type.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places, type=out.field("places").type)
+                ids = batch.column("id").take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([pa.array(words, out.field("word").type), ids.cast(out.field("id").type), lists], schema=out)
+
+            for row in range(batch.num_rows):
+                # Words stand at even places, the blanks after them at odd ones.
+                pieces = [*blanks.split(batch.column("text")[row].as_py()), ""]
+                where: dict[str, list[int]] = {}
+                for k in range(0, len(pieces), 2):
+                    where.setdefault(pieces[k], []).append(k)
+                for word, ks in where.items():
+                    rows.append(row)
+                    words.append(word)
+                    at += [k // 2 for k in ks]
+                    gaps += [pieces[k + 1] for k in ks]
+                    ends.append(len(at))
+                if len(at) >= HANDED_ON:
+                    yield taken()
+                    rows, words, ends, at, gaps = [], [], [0], [], []
+            yield taken()
+
+    return texts.select("id", "text").mapInArrow(run, schema)
+
+
 def write_index(nodes: DataFrame, path: str, kept: Sequence[str] = ("type", "filing_id"), buckets: int = BUCKETS) -> None:
     """Index ``nodes`` (``id, text`` and the columns ``kept``, by which searches filter) under ``path``.
 
     Ids are unique. A null text is in no search. A text that begins with blanks has an empty first word.
     """
     texts = nodes.filter(F.col("text").isNotNull())
-    words, gaps = F.split("text", BLANKS, -1), F.regexp_extract_all("text", F.lit(BLANKS), F.lit(0))
-    placed = texts.select("id", F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("pos", "c")).select(
-        "id", F.col("c.word").alias("word"), F.struct("pos", F.coalesce("c.gap", F.lit("")).alias("gap")).alias("place")
-    )
-    postings = placed.groupBy("word", "id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    postings = postings.withColumn("bucket", _bucket(F.col("word"), buckets))
+    words = F.split("text", BLANKS, -1)
+    postings = postings_of(texts).withColumn("bucket", _bucket(F.col("word"), buckets))
     dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "word", "id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = nodes.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
@@ -50,6 +89,10 @@ def write_index(nodes: DataFrame, path: str, kept: Sequence[str] = ("type", "fil
     lengths.write.mode("overwrite").parquet(f"{path}/texts")
 
 
+def _if_few(words: DataFrame) -> DataFrame:
+    return F.broadcast(words) if words.limit(FEW + 1).count() <= FEW else words
+
+
 class TermIndex:
     """Lookups in a stored index."""
 
@@ -62,7 +105,7 @@ class TermIndex:
 
     def _matching(self, condition: Column) -> DataFrame:
         """Postings of the words that fulfil a condition; their buckets tell Spark which folders to read."""
-        return self.postings.join(self.words.filter(condition).select("word", "bucket"), ["bucket", "word"])
+        return self.postings.join(_if_few(self.words.filter(condition).select("word", "bucket")), ["bucket", "word"])
 
     def found(self, needle: str, ignore_case: bool = False) -> DataFrame:
         """``id, first`` of the texts that contain the needle; ``first``: does one begin with it?"""
@@ -129,7 +172,8 @@ class TermIndex:
         asked = questions.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") > 0).select("query_id", F.lower("term").alias("term")).distinct()
         folded = self.words.withColumn("term", F.lower("word"))
         known = folded.join(asked.select("term").distinct(), "term").select("bucket", "word", "term")
-        held = self.postings.join(known, ["bucket", "word"]).groupBy("term", "id").agg(F.sum(F.size("places")).alias("tf"))
+        counted = self.postings.select("bucket", "word", "id", F.size("places").alias("n"))
+        held = counted.join(_if_few(known), ["bucket", "word"]).groupBy("term", "id").agg(F.sum("n").alias("tf"))
         held = cut_lineage(held)
         n, average = self.texts.agg(F.count(F.lit(1)), F.avg("n_words")).first()
         texts = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.operators import graph_filters as gf
 from factweave.operators import term_index
@@ -84,3 +85,26 @@ def test_empty_index(spark, tmp_path):
     index = term_index.TermIndex(spark, f"{tmp_path}/none")
     assert index.found("a").count() == index.search("a b").count() == 0
     assert index.bm25(spark.createDataFrame([("q", ["a"])], "query_id string, terms array<string>")).count() == 0
+
+
+def test_postings_need_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(term_index, "HANDED_ON", 3)
+    texts = {1: " a  b\ta\n", 2: "", 3: "a\u00a0b a", 4: "\x0b\x0c", 5: "a b"}
+    made = term_index.postings_of(spark.createDataFrame(list(texts.items()), "id long, text string").repartition(2))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the test's own rows
+    got = {(r.word, r.id): [tuple(p) for p in r.places] for r in made.collect()}
+    want = {}
+    for i, text in texts.items():
+        words, gaps = re.split(r"\s+", text, flags=re.ASCII), re.findall(r"\s+", text, flags=re.ASCII)
+        for pos, word in enumerate(words):
+            want.setdefault((word, i), []).append((pos, gaps[pos] if pos < len(gaps) else ""))
+    assert got == want
+
+
+def test_lookups_of_few_words_move_no_postings(built, monkeypatch):
+    rows, _, index = built
+    for few, moved in ((term_index.FEW, False), (0, True)):
+        monkeypatch.setattr(term_index, "FEW", few)
+        plan = index._matching(F.col("word") == "net")._jdf.queryExecution().toString()
+        assert ("rightHint=(strategy=broadcast)" in plan) != moved
+        assert {r.id for r in index.found("net").collect()} == {i for i, t, _, _ in rows if t is not None and "net" in t}
