@@ -5,63 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.graph_stats import endpoints
 from factweave.operators.similarity import search, similarity_join
-from factweave.session import cut_lineage
+from factweave.session import cut_lineage, stored
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+#: One edge in so many is counted to tell the hubs.
+HUB_SHARE = 16
+#: Bits of a number that tell nodes of like degree apart.
+PLACE_BITS = 56
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` with the smallest id of each component as its name.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): every
-    step is a map-side-combined minimum and a join back, so a hub with a third
-    of all edges costs no more than its own edges. Each round is checkpointed,
-    and rounds grow with the logarithm of the graph.
+    Nodes get numbers that are smaller the more edges a node has. In each round every node hangs itself below its smallest
+    neighbour, the trees are flattened, and the edges between trees make the graph of the next round: the leaves of a hub are gone
+    after one round, and every two rounds at least halve what still has edges, whatever the numbers. A step is a
+    map-side-combined minimum of numbers or a join on them; each round is checkpointed.
     """
-    ids = nodes.select("id")
-    clean = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(
-        ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"
-    )
-    # u > v throughout.
-    pairs = (
-        clean.filter(F.col("source_id") != F.col("target_id"))
-        .select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v"))
-        .distinct()
-    )
-    pairs = cut_lineage(pairs)
-    seen = _fingerprint(pairs)
-    while True:
-        pairs = cut_lineage(_small_star(_large_star(pairs)))
-        now = _fingerprint(pairs)
-        if now == seen:
-            break
-        seen = now
-    return ids.join(pairs.withColumnsRenamed({"u": "id", "v": "component"}), "id", "left").withColumn(
+    ends = stored(edges.filter(F.col("source_id") != F.col("target_id")).select("source_id", "target_id"), "ends")
+    ids = numbered(nodes.select("id"), ends)
+    of = lambda end, name: ids.select(F.col("id").alias(end), F.col("n").alias(name))
+    pairs = ends.join(of("source_id", "u"), "source_id").join(of("target_id", "v"), "target_id").select("u", "v")
+    pairs = stored(pairs, "pairs")
+    rounds = []
+    while not pairs.isEmpty():
+        trees = _flattened(_hung(pairs))
+        rounds.append(trees)
+        root = lambda end, name: trees.select(F.col("u").alias(end), F.col("v").alias(name))
+        between = pairs.join(root("u", "a"), "u").join(root("v", "b"), "v").filter(F.col("a") != F.col("b"))
+        pairs = cut_lineage(between.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if not rounds:
+        return nodes.select("id", F.col("id").alias("component"))
+    found = rounds.pop()
+    while rounds:
+        above = found.select(F.col("u").alias("v"), F.col("v").alias("top"))
+        found = rounds.pop().join(above, "v", "left").select("u", F.coalesce("top", "v").alias("v"))
+    named = cut_lineage(ids.join(found.withColumnRenamed("u", "n"), "n").select("id", "v"))
+    names = named.groupBy("v").agg(F.min("id").alias("component"))
+    return nodes.select("id").join(named.join(names, "v").select("id", "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest id around it."""
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.filter(F.col("v") > F.col("u")).join(smallest, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def numbered(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, n``: each id once, its number smaller the more edges it has.
+
+    Degrees are told apart by powers of two and counted over one edge in ``HUB_SHARE``: they only set the order.
+    """
+    share = edges.filter(F.pmod(F.xxhash64("source_id", "target_id"), F.lit(HUB_SHARE)) == 0)
+    hubs = endpoints(share).groupBy("id").agg(F.count(F.lit(1)).alias("_d"))
+    rank = F.coalesce(F.floor(F.log2("_d")), F.lit(-1)).cast("long")
+    return stored(
+        ids.distinct().join(hubs, "id", "left").select(
+            "id", (F.shiftleft(F.lit(60).cast("long") - rank, PLACE_BITS) + F.monotonically_increasing_id()).alias("n")
+        ), "numbers"
     )
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them."""
-    smallest = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return (
-        pairs.join(smallest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(smallest.select("u", F.col("m").alias("v")))
-        .distinct()
-    )
+def _hung(pairs: DataFrame) -> DataFrame:
+    """``u, v``: each node with the smallest one of itself and its neighbours."""
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
+
+
+def _flattened(trees: DataFrame) -> DataFrame:
+    """``u, v`` with the root of each tree for the parent: parents of parents are looked up until all are roots, among the inner nodes alone."""
+    trees = cut_lineage(trees)
+    inner = cut_lineage(trees.join(trees.select(F.col("v").alias("u")).distinct(), "u", "left_semi"))
+    while True:
+        above = inner.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        inner = cut_lineage(inner.join(above, "v").select("u", F.col("w").alias("v"), (F.col("w") != F.col("v")).alias("moved")))
+        if inner.filter("moved").isEmpty():
+            break
+        inner = inner.drop("moved")
+    root = inner.select(F.col("u").alias("v"), F.col("v").alias("root"))
+    return cut_lineage(trees.join(root, "v").select("u", F.col("root").alias("v")))
 
 
 def bridge_edges(

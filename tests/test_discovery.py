@@ -269,6 +269,18 @@ def test_components_equal_union_find(spark, shape):
     assert got == _brute_components(ids, [(str(a), str(b)) for a, b in edges])
 
 
+def test_leaves_of_hubs_are_gone_after_one_round(spark, monkeypatch):
+    """Leaves whose ids are smaller than those of their hubs went through every round."""
+    leaves = [(f"a{i:04d}", f"z{i % 4}") for i in range(800)]
+    hubs = [(f"z{i}", f"z{i + 1}") for i in range(3)]
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for e in leaves + hubs for x in e}) + ["lone"]], "id string")
+    sizes, hung = [], components._hung
+    monkeypatch.setattr(components, "_hung", lambda pairs: sizes.append(pairs.count()) or hung(pairs))
+    got = components.connected_components(nodes, spark.createDataFrame(leaves + hubs, "source_id string, target_id string"))
+    assert {(r.id == "lone", r.component) for r in got.collect()} == {(False, "a0000"), (True, "lone")}
+    assert sizes[0] == 803 and max(sizes[1:], default=0) <= 3
+
+
 def _bridges(spark, **options):
     rng = np.random.default_rng(1)
     base = rng.standard_normal(768)
