@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.graph_stats import endpoints
-from factweave.session import cut_lineage
+from factweave.operators.numbering import number_rows
+from factweave.session import cut_lineage, stored
 
 
 def neighbors(edges: DataFrame, node_id: str, limit: int | None = 100) -> DataFrame:
@@ -18,23 +19,43 @@ def neighbors(edges: DataFrame, node_id: str, limit: int | None = 100) -> DataFr
     return found.orderBy("id").limit(limit) if limit else found
 
 
+#: Seeds that travel together, one bit of a number each.
+SEED_BITS = 60
+
+
 def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
     """``seed, id, hop``: every node within ``max_hops`` of each seed with its distance.
 
-    Level-synchronous: a level is one join of the frontier with the edges and an
-    anti-join with what is known, both hashed on the node; each level is
-    checkpointed. ``seeds``: ``id``.
+    Level-synchronous: a level is one join of the frontier with the edges, which are stored once, and one with what is
+    known. Up to ``SEED_BITS`` seeds travel together as bits of one number, so a node that many of them reach is one row,
+    and each level is checkpointed. ``seeds``: ``id``.
     """
-    step = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")) if directed else endpoints(edges)
-    known = cut_lineage(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct())
-    frontier = known
+    step = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+    step = stored(step, "steps")
+    if not directed:
+        step = endpoints(step.withColumnsRenamed({"id": "source_id", "other": "target_id"}))
+    place = F.col("number") - 1
+    first = stored(number_rows(seeds.select("id").distinct(), ["id"]).select(
+        "id", F.floor(place / SEED_BITS).cast("long").alias("batch"), F.pmod(place, F.lit(SEED_BITS)).cast("int").alias("bit")), "seeds")
+    one = F.lit(1).cast("long")
+    levels = [first.select("id", "batch", F.call_function("shiftleft", one, F.col("bit")).alias("bits"))]
     for hop in range(1, max_hops + 1):
-        reached = frontier.select("seed", "id").join(step, "id").select("seed", F.col("other").alias("id")).distinct()
-        frontier = cut_lineage(reached.join(known, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
+        reached = levels[-1].join(step, "id").groupBy(F.col("other").alias("id"), "batch").agg(F.bit_or("bits").alias("bits"))
+        # What is next to a level lies on it, on the one before or on the next; along directed edges it may lie on any.
+        near = levels[-1]
+        for level in levels[:-1] if directed else levels[-2:-1]:
+            near = near.unionByName(level)
+        near = near.groupBy("id", "batch").agg(F.bit_or("bits").alias("seen"))
+        fresh = reached.join(near, ["id", "batch"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
+        level = cut_lineage(fresh.filter(F.col("bits") != 0).select("id", "batch", "bits"))
+        if level.isEmpty():
             break
-        known = known.unionByName(frontier)
-    return known
+        levels.append(level)
+    found = levels[0].withColumn("hop", F.lit(0))
+    for hop, level in enumerate(levels[1:], 1):
+        found = found.unionByName(level.withColumn("hop", F.lit(hop)))
+    has = F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(one) == 1
+    return found.join(first.select("batch", "bit", F.col("id").alias("seed")), "batch").filter(has).select("seed", "id", "hop")
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:

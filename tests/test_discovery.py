@@ -386,3 +386,33 @@ def test_block_size_changes_no_kept_pair(spark, monkeypatch, keep, n, per):
     # Each row goes to two blocks of the other side, not to one for every 16 rows.
     sent = spark.createDataFrame([(301, 4, 12, n)], "rows int, _dims int, _per int, n int").select(similarity.blocks("rows", 16, keep, n))
     assert sent.first()[0] == 2
+
+
+def test_seeds_travel_together_and_edges_are_computed_once(spark):
+    """More seeds than bits of a number, on a ring with a chord, both ways and directed; each edge was computed anew per level."""
+    n = 130
+    ring = [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)] + [("r0", "r65")]
+    touched = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            touched.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(ring, "source_id string, target_id string").mapInArrow(count, "source_id string, target_id string")
+    seeds = spark.createDataFrame([(f"r{i}",) for i in range(n)], "id string")
+    for directed in (True, False):
+        touched.value = 0
+        got = {(r.seed, r.id): r.hop for r in paths.hop_distances(edges, seeds, 3, directed=directed).collect()}
+        after = {}
+        for a, b in ring:
+            after.setdefault(a, set()).add(b)
+            if not directed:
+                after.setdefault(b, set()).add(a)
+        want = {}
+        for s in (f"r{i}" for i in range(n)):
+            level = {s}
+            for hop in range(4):
+                want.update({(s, x): hop for x in level if (s, x) not in want})
+                level = {y for x in level for y in after.get(x, ())}
+        assert got == want and touched.value == len(ring)
