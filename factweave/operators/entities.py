@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweave.operators.containment import containment_join
 from factweave.operators.dedupe import dedupe_directed, edge_columns
 from factweave.operators.numbering import number_rows
+from factweave.session import dealt
 
 NAME = "entity"
 
@@ -84,7 +85,9 @@ def cooccurrence(mentions: DataFrame, block: int = 1000) -> DataFrame:
     blocks = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     left = placed.select("source_id", F.col("target_id").alias("a"), F.col("_b").alias("i"), blocks.alias("j"))
     right = placed.select("source_id", F.col("target_id").alias("b"), blocks.alias("i"), F.col("_b").alias("j"))
-    return left.join(right, ["source_id", "i", "j"]).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    # Dealt, so that small rows aren't merged into few tasks that hold all their pairs.
+    on = ["source_id", "i", "j"]
+    return dealt(left, *on).join(dealt(right, *on), on).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
 def cooccurrence_edges(mentions: DataFrame) -> DataFrame:
