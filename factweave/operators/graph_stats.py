@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.session import dealt
+
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """Each edge from both sides: ``id, other``."""
@@ -14,9 +16,15 @@ def endpoints(edges: DataFrame) -> DataFrame:
     ).select("e.id", "e.other")
 
 
+def _dealt_edges(edges: DataFrame) -> DataFrame:
+    """Edges dealt by both ends: a hub spreads over all tasks, and a task's table of sources is as small as its share of the edges."""
+    return dealt(edges, "source_id", "target_id")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``degree`` counts edge ends, ``distinct_degree`` counts different neighbours."""
-    ends = endpoints(edges).groupBy("id", "other").agg(F.count(F.lit(1)).alias("n"))
+    # Nearly all pairs differ: they are dealt first, so that no task holds a table of all pairs of a split.
+    ends = dealt(endpoints(edges), "id", "other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("n"))
     counted = ends.groupBy("id").agg(F.sum("n").alias("degree"), F.count(F.lit(1)).alias("distinct_degree"))
     return nodes.select("id").join(counted, "id", "left").na.fill(0, ["degree", "distinct_degree"])
 
@@ -38,7 +46,8 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, components: DataFrame) ->
 
     ``components``: ``id, component``. Every input is reduced to one row before they meet.
     """
-    d = degrees(nodes, edges).agg(
+    ends = endpoints(edges).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    d = nodes.select("id").join(ends, "id", "left").na.fill(0, ["degree"]).agg(
         F.count(F.lit(1)).alias("total_nodes"),
         F.sum((F.col("degree") == 0).cast("long")).alias("isolated_nodes"),
         F.avg("degree").alias("average_degree"),
@@ -85,7 +94,7 @@ def expert_stats(edges: DataFrame) -> DataFrame:
 
 def edge_density(edges: DataFrame) -> DataFrame:
     """Per edge type: edges, sources, average and largest out-degree."""
-    out = edges.groupBy("edge_type", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    out = _dealt_edges(edges).groupBy("edge_type", "source_id").agg(F.count(F.lit(1)).alias("n"))
     return out.groupBy("edge_type").agg(
         F.sum("n").alias("edges"), F.count(F.lit(1)).alias("sources"),
         F.avg("n").alias("avg_out_degree"), F.max("n").alias("max_out_degree"),
@@ -93,7 +102,7 @@ def edge_density(edges: DataFrame) -> DataFrame:
 
 
 def fanout(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("fanout"))
+    return _dealt_edges(edges).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("fanout"))
 
 
 def score_summary(scores: DataFrame, parts: list[str], accept: float = 0.3) -> DataFrame:

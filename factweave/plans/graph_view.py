@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import fiscal
 from factweave.operators.similarity import similarity_join
-from factweave.session import load_tables
+from factweave.session import dealt, load_tables
 
 CALENDAR = fiscal.SEPTEMBER_SATURDAY
 MONEY = "decimal(18,2)"
@@ -198,10 +198,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers to the parts they deliver, and orders to the parts in them, each pair once."""
     (lines,) = load_tables(spark, sf_dir, "lineitem")
-    supplied = lines.select("l_suppkey", "l_partkey").distinct().select(
+    each = lambda *c: dealt(lines.select(*c), *c).distinct()
+    supplied = each("l_suppkey", "l_partkey").select(
         *_edge(_key("EN:S", "l_suppkey"), _key("EN:P", "l_partkey"), "ENTITY_RELATED_TO",
                F.round(F.lit(0.5) + (F.col("l_suppkey") + F.col("l_partkey")) % 50 / 100, 6), "Entity"))
-    ordered = lines.select("l_orderkey", "l_partkey").distinct().select(
+    ordered = each("l_orderkey", "l_partkey").select(
         *_edge(_key("TR:", "l_orderkey"), _key("EN:P", "l_partkey"), "DISCUSSES", F.lit(0.8), "Entity"))
     return supplied.unionByName(ordered)
 
