@@ -76,9 +76,9 @@ def review_candidates(nodes: DataFrame, vectors: DataFrame, low: float = 0.5, hi
     rows = nodes.filter(F.col("type").isin("TEXT_SECTION", "NOTE")).join(vectors.select("id", "vec"), "id").select(
         "id", F.col("input_pos").alias("pos"), "vec"
     )
-    # Each node's best ``top`` later partners cover the overall best ``top`` pairs.
+    # The best ``top`` pairs of each two blocks cover the overall best ones.
     pairs = similarity_join(
-        rows, rows, threshold=low, below=high, keep="best", n=top, where=lambda l, r: r["pos"] > l["pos"]
+        rows, rows, threshold=low, below=high, keep="top", n=top, where=lambda l, r: r["pos"] > l["pos"]
     )
     return pairs.orderBy(F.desc("sim"), "left_pos", "right_pos").limit(top)
 

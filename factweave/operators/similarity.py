@@ -25,6 +25,8 @@ BLOCKS = 16
 #: as long as a block holds no more than so many numbers and its task gives no more than so many rows.
 BLOCK_FLOATS = 1 << 22
 BLOCK_RESULTS = 1 << 22
+#: Where all pairs are kept, a block holds no more than so many rows.
+BLOCK_ROWS_ALL = 4096
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -40,10 +42,10 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
 
 def blocks(rows: str, block_rows: int, keep: str, n: int) -> Column:
     """Blocks of a side of ``rows`` rows, beside ``_dims`` (numbers of a vector) and ``_per`` (values of ``per``)."""
-    if keep == "all":
-        return F.ceil(F.col(rows) / block_rows).cast("int")
     size = F.lit(float(block_rows))
-    widest = F.greatest(size, F.least(BLOCK_FLOATS / F.greatest(F.lit(1), "_dims"), BLOCK_RESULTS / (F.greatest(F.lit(1), "_per") * n)))
+    # Of ``top`` a block gives ``n`` rows, whatever its size.
+    results = F.lit(float(BLOCK_ROWS_ALL if keep == "all" else BLOCK_FLOATS)) if keep in ("all", "top") else BLOCK_RESULTS / (F.greatest(F.lit(1), "_per") * n)
+    widest = F.greatest(size, F.least(BLOCK_FLOATS / F.greatest(F.lit(1), "_dims"), results))
     return F.ceil(F.col(rows) / F.least(widest, F.greatest(size, F.col(rows) / BLOCKS))).cast("int")
 
 
@@ -72,7 +74,7 @@ def similarity_join(
     ``keep="all"`` returns every pair, ``"first"`` the ``n`` qualifying right
     rows with the smallest ``pos`` per left row, ``"best"`` the ``n`` most
     similar ones (ties: smallest ``pos``), optionally per value of the right
-    column ``per``. ``collapse_copies`` (for ``"best"`` with ``n=1``, when ``where``
+    column ``per``, ``"top"`` the ``n`` most similar pairs of all with equal key (ties: smallest ``left_pos``, then ``right_pos``). ``collapse_copies`` (for ``"best"`` with ``n=1``, when ``where``
     reads neither ``id`` nor ``pos``) keeps one right row per distinct vector:
     copies differ only by ``pos`` and the earliest always wins. ``distinct`` says that rows meet under several
     values of the last key column, which then is no part of the result, and that a pair counts once. Result: key columns, ``left_id``, ``right_id``,
@@ -130,6 +132,9 @@ def similarity_join(
         lu, ru = _unit_rows(l["vec"]), _unit_rows(r["vec"])
 
         def chosen(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+            if keep == "top":
+                taken = np.lexsort((j, lc["pos"][i], -s))[:n]
+                return i[taken], j[taken], s[taken]
             group_of = i * (codes[-1] + 1) + codes[j]
             order = np.lexsort((j,) + ((-s,) if keep == "best" else ()) + (group_of,))
             g = group_of[order]
@@ -159,6 +164,10 @@ def similarity_join(
             else:
                 i, j = np.nonzero(mask)
             s = sims[i, j]
+            if keep == "top" and len(s) > n:
+                # A look at the cosines alone leaves few rows to sort.
+                some = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n])
+                i, j, s = i[some], j[some], s[some]
             i, j = i + i0, j + j0
             done = keep == "all" or (keep == "best" and n == 1) or not len(i)
             return (i, j, s) if done else chosen(i, j, s)
@@ -168,6 +177,8 @@ def similarity_join(
             part = tuple(np.concatenate(x) for x in zip(*[tile(i0, j0) for j0 in range(0, r.num_rows, block_rows)]))
             found.append(chosen(*part) if keep != "all" and r.num_rows > block_rows and len(part[0]) else part)
         i, j, s = (np.concatenate(x) for x in zip(*found))
+        if keep == "top":
+            i, j, s = chosen(i, j, s)
         li, rj = pa.array(i), pa.array(j)
         columns = [l[k].take(li) for k in key]
         columns += [l["id"].take(li), r["id"].take(rj), l["pos"].take(li), r["pos"].take(rj), pa.array(s)]
@@ -182,7 +193,12 @@ def similarity_join(
     if distinct:
         key.pop()
         pairs = pairs.dropDuplicates([*key, "left_id", "right_id"]).select(*key, "left_id", "right_id", "left_pos", "right_pos", "sim", "per")
-    if keep != "all":
+    if keep == "top":
+        order = [F.desc("sim"), F.asc("left_pos"), F.asc("right_pos")]
+        if not key:
+            return (pairs if per else pairs.drop("per")).orderBy(*order).limit(n)
+        pairs = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+    elif keep != "all":
         order = ([F.desc("sim")] if keep == "best" else []) + [F.asc("right_pos")]
         within = Window.partitionBy("left_id", *(["per"] if per else [])).orderBy(*order)
         pairs = pairs.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= n).drop("_r")

@@ -416,3 +416,19 @@ def test_seeds_travel_together_and_edges_are_computed_once(spark):
                 want.update({(s, x): hop for x in level if (s, x) not in want})
                 level = {y for x in level for y in after.get(x, ())}
         assert got == want and touched.value == len(ring)
+
+
+def test_review_pairs_leave_a_block_only_as_the_best_of_it(spark, monkeypatch):
+    """The best pairs of all are the same whatever the blocks, and each two blocks give no more than was asked for."""
+    from factweave.operators import similarity
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i, [float(x) for x in rng.standard_normal(4)]) for i in range(90)]
+    v = spark.createDataFrame(rows, "id long, pos long, vec array<double>")
+    m = np.array([unit(np.array(r[2])) for r in rows])
+    sims = m @ m.T
+    want = sorted((-sims[i, j], i, j) for i in range(90) for j in range(i + 1, 90) if 0.25 <= sims[i, j] < 0.9)[:7]
+    later = lambda l, r: r["pos"] > l["pos"]
+    for block_rows in (16, 2048):
+        got = similarity.similarity_join(v, v, threshold=0.25, below=0.9, keep="top", n=7, where=later, block_rows=block_rows)
+        assert [(r.left_id, r.right_id) for r in got.collect()] == [(i, j) for _, i, j in want]
