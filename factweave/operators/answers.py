@@ -10,7 +10,7 @@ from factweave.functions.money import format_money
 from factweave.functions.scores import clip
 from factweave.functions.text import matches
 from factweave.operators.facts import direction_of, pct_change
-from factweave.session import cut_lineage
+from factweave.session import cut_lineage, dealt, stored
 
 # Segment wording and the metric it asks for.
 SEGMENT_PATTERNS = (
@@ -178,7 +178,7 @@ def answer_questions(questions: DataFrame, facts: DataFrame, subject: str = "The
     mode, answer, confidence, included, facts_found, facts_expected``.
     """
     # Each distinct text is analysed once, and each distinct need (metrics x periods) is answered once.
-    texts = analyze(questions.select("text").distinct(), **analysis)
+    texts = analyze(dealt(questions.select("text").distinct(), "text"), **analysis)
     analyzed = cut_lineage(questions.join(texts, "text").withColumn("need", F.to_json(F.struct("metrics", "periods"))))
     needs = analyzed.select(F.col("need").alias("query_id"), "metrics", "periods").dropDuplicates(["query_id"])
     grid = cut_lineage(needed_facts(needs, facts))
@@ -187,16 +187,21 @@ def answer_questions(questions: DataFrame, facts: DataFrame, subject: str = "The
     by_need = render_answers(needs, grid, subject).join(must, "query_id", "left").withColumns({
         "n_facts": F.coalesce("n_facts", F.lit(0)), "values": F.coalesce("values", empty), "directions": F.coalesce("directions", empty),
     }).withColumnRenamed("query_id", "need")
-    out = analyzed.join(by_need, "need")
     has_data = F.col("n_facts") > 0
+    if generate is None:
+        # One need has one answer: it is checked before the questions, many of which share a need, meet it.
+        checked = inclusion(F.col("answer"), F.col("values"), F.col("directions"), has_data)
+        by_need = stored(by_need.select("need", "answer", "n_facts", *[checked[k].alias(k) for k in ("included", "confidence")]), "needs")
+    out = analyzed.join(by_need, "need")
     if generate is not None:
         written = generate(out.select("query_id", "text", F.col("answer").alias("facts_block"))).withColumnRenamed("answer", "_written")
         out = out.join(written, "query_id", "left")
         whole = inclusion(F.col("_written"), F.col("values"), F.col("directions"), has_data)["included"]
         verified = F.concat("_written", F.lit("\n\n---\n**Verified Data:**\n"), "answer")
         out = out.withColumn("answer", F.when(F.col("_written").isNull() | ~has_data, F.col("answer")).when(whole, F.col("_written")).otherwise(verified))
-    checked = inclusion(F.col("answer"), F.col("values"), F.col("directions"), has_data)
-    out = out.withColumn("_grid", F.size("metrics") * F.size("periods")).withColumns({k: checked[k] for k in ("included", "confidence")})
+        checked = inclusion(F.col("answer"), F.col("values"), F.col("directions"), has_data)
+        out = out.withColumns({k: checked[k] for k in ("included", "confidence")})
+    out = out.withColumn("_grid", F.size("metrics") * F.size("periods"))
     return out.select(
         "query_id", "kind", mode_of(F.col("kind"), F.col("n_facts")).alias("mode"), "answer", "confidence", "included",
         F.col("n_facts").alias("facts_found"), F.col("_grid").alias("facts_expected"),

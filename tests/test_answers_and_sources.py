@@ -212,3 +212,14 @@ def test_claims_begin_with_whole_words_and_go_on_where_the_last_ended(spark):
     start = time.perf_counter()
     assert va.typed_claims(words).count() == 0
     assert time.perf_counter() - start < 5
+
+
+def test_answers_are_checked_once_per_need(spark):
+    """Questions that share a need take its checked answer; each used to be checked in the task of its need."""
+    asked = spark.createDataFrame([(i, f"What was the revenue of firm {i} in FY2023?") for i in range(40)], "query_id long, text string")
+    facts = spark.createDataFrame([("net_sales", "FY2023", 5.0)], "metric string, period string, value double")
+    out = answers.answer_questions(asked, facts)
+    assert "upper(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = out.collect()
+    assert len(rows) == 40 and len({(r.answer, r.confidence, r.included, r.facts_found) for r in rows}) == 1
+    assert rows[0].included and rows[0].facts_found == 1
