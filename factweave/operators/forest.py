@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factweave.operators.cells import _vectors
+from factweave.operators.cells import _hashed_sample, _vectors
 from factweave.operators.similarity import arrow_schema, similarity_join
 
 #: Rows of a leaf, were the vectors spread evenly.
 ROWS_PER_LEAF = 2048
 MAX_BITS = 40
+#: Rows of each side on which is looked up how crowded the leaves are, and the share of all pairs from which the forest is of no use.
+SAMPLE = 4096
+WORTHWHILE = 0.5
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ def fit_forest(rows: int, dims: int, threshold: float, recall: float, rows_per_l
         trees = 1 if meets >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meets))
         if best is None or trees / 2**bits < best[0]:
             best = (trees / 2**bits, Forest(trees, bits, dims))
-    return best[1] if best and best[0] < 0.5 else None
+    return best[1] if best and best[0] < WORTHWHILE else None
 
 
 def _dealt(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -77,17 +80,30 @@ def _dealt(rows: DataFrame, forest: Forest) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def meeting_share(left: DataFrame, right: DataFrame, forest: Forest) -> float:
+    """Pairs that meet, summed over the trees, as a share of all: more than in an even spread where vectors lie in a cone, as those of texts do."""
+    a, b = (forest.leaves(_vectors(_hashed_sample(df.select("id", "vec"), SAMPLE).select("vec").toArrow())) for df in (left, right))
+    if not len(a) or not len(b):
+        return 0.0
+    leaves, codes = np.unique(np.r_[a.ravel(), b.ravel()], return_inverse=True)
+    counts = [np.bincount(c, minlength=len(leaves)).astype(float) for c in (codes[: a.size], codes[a.size :])]
+    return float(counts[0] @ counts[1]) / (len(a) * len(b))
+
+
 def forest_join(left: DataFrame, right: DataFrame, *, threshold: float, recall: float = 0.99, rows_per_leaf: int = ROWS_PER_LEAF, key: Sequence[str] = (), keep: str = "all",
-                where: Callable[[dict, dict], np.ndarray] | None = None, **settings) -> DataFrame:
+                where: Callable[[dict, dict], np.ndarray] | None = None, exact: Callable[[], DataFrame] | None = None, **settings) -> DataFrame:
     """``similarity_join`` in which each pair at or above the threshold is found with a probability of at least ``recall``.
 
     Takes the settings of ``similarity_join`` and gives its columns; every cosine is exact, no pair comes twice. Closer pairs are
     found almost surely, and so are best matches well above the threshold. Rows without a vector match nothing; with few
     rows, a threshold of zero or a recall of 1 the exact join runs. ``left`` is counted and both sides are read twice.
+    ``exact`` is a way of its own to the whole result: it runs where the exact join would, and where the leaves turn out so crowded that half of all pairs would meet.
     """
     left, right = (df.filter(F.col("vec").isNotNull()) for df in (left, right))
     first = right.select(F.size("vec")).first()
     forest = fit_forest(right.count(), first[0], threshold, recall, rows_per_leaf) if first else None
+    if exact is not None and (forest is None or meeting_share(left, right, forest) >= WORTHWHILE):
+        return exact()
     if forest is None:
         return similarity_join(left, right, threshold=threshold, key=key, keep=keep, where=where, **settings)
     if settings.pop("collapse_copies", False):

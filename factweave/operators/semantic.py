@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.dedupe import dedupe_directed, edge_columns
-from factweave.operators.similarity import search, similarity_join
+from factweave.operators.forest import forest_join
+from factweave.operators.similarity import best_later, similarity_join
+from factweave.session import stored
 
 NAME = "semantic"
 
@@ -56,8 +60,12 @@ def across_filings(nodes: DataFrame, vectors: DataFrame, floor: float = FLOOR, s
     """
     kept = nodes.select("id", "type", "filing_id", "input_pos").join(vectors.select("id", "vec"), "id")
     if sample is None:
-        rows = kept.select("id", F.col("input_pos").alias("pos"), "type", F.col("filing_id").alias("filing"), "vec")
-        return search(recall)(rows, rows, threshold=floor, key=("type",), keep="best", n=1, per="filing", where=_later_filing).filter(F.col("sim") > 0)
+        rows = stored(kept.select("id", F.col("input_pos").alias("pos"), "type", F.col("filing_id").alias("filing"), "vec"), "rows")
+        exact = partial(best_later, rows, threshold=floor, key=("type",), per="filing")
+        found = exact() if recall is None else forest_join(
+            rows, rows, threshold=floor, recall=recall, key=("type",), keep="best", n=1, per="filing", where=_later_filing, exact=exact
+        )
+        return found.filter(F.col("sim") > 0)
     per = Window.partitionBy("filing_id", "type").orderBy("input_pos", "id")
     sizes = kept.groupBy("filing_id", "type").agg(F.count(F.lit(1)).cast("int").alias("size"))
     rows = (

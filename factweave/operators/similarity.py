@@ -9,8 +9,10 @@ the group, so that rows are copied a bounded number of times until blocks reach
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.session import stored
+
 BLOCK_ROWS = 2048
 #: A group is cut into at most so many blocks a side, since each row goes to every block of the other side,
 BLOCKS = 16
@@ -27,6 +31,15 @@ BLOCK_FLOATS = 1 << 22
 BLOCK_RESULTS = 1 << 22
 #: Where all pairs are kept, a block holds no more than so many rows.
 BLOCK_ROWS_ALL = 4096
+#: ``best_later``: at least so many strips of left rows meet so many chunks of right rows; a strip holds no more than so many numbers,
+#: and its tiles are as wide as the processor's cache takes.
+STRIPS, CHUNKS = 12, 4
+STRIP_FLOATS = 1 << 23
+TILE_ROWS = 512
+
+
+def _matrix(array: pa.ListArray) -> np.ndarray:
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1) if len(array) else np.zeros((0, 1))
 
 
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -34,8 +47,7 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks()
     if isinstance(array, pa.ChunkedArray):
         array = array.chunk(0)
-    flat = np.asarray(array.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    matrix = flat.reshape(len(array), -1) if len(array) else np.zeros((0, 1))
+    matrix = np.asarray(_matrix(array), dtype=np.float64)
     lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
@@ -205,6 +217,171 @@ def similarity_join(
     return pairs if per else pairs.drop("per")
 
 
+def _runs(batch: pa.RecordBatch | pa.Table, names: Sequence[str]) -> Iterator[tuple[tuple, int, int]]:
+    """``values, start, stop`` of the runs of rows that are equal in ``names``."""
+    changes = np.zeros(batch.num_rows, bool)
+    changes[0] = True
+    for name in names:
+        column = _flat(batch.column(name)).dictionary_encode()
+        column = _flat(column).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        changes[1:] |= column[1:] != column[:-1]
+    starts = np.flatnonzero(changes)
+    for start, stop in zip(starts, np.r_[starts[1:], batch.num_rows]):
+        yield tuple(batch.column(name)[int(start)].as_py() for name in names), int(start), int(stop)
+
+
+def _below(a, b) -> bool:
+    """Null is below all."""
+    return b is not None and (a is None or a < b)
+
+
+def _strip(rows: pa.Table, key: Sequence[str], per: str) -> tuple[pa.Table, dict]:
+    """Sorted left rows without their vectors, and by ``key`` where its rows begin, their unit vectors, the values of ``per`` and where each ends."""
+    groups = {}
+    for values, start, stop in _runs(rows, key) if rows.num_rows else ():
+        part = rows.slice(start, stop - start)
+        pers = [(v[0], b) for v, _, b in _runs(part, [per])]
+        groups[values] = (start, _unit_rows(part["vec"]), pers[0][0] is None, [v for v, _ in pers if v is not None], [0, *[b for _, b in pers]])
+    return rows.select(["id", "pos"]), groups
+
+
+class _Best:
+    """The best right row of one ``key`` and ``per`` for each of the first left rows."""
+
+    def __init__(self, unit: np.ndarray, threshold: float):
+        self.unit, self.rights, self.n, self.seen = unit, [], 0, set()
+        # What is above the number just below the threshold is at or above the threshold.
+        self.sim, self.at = np.full(len(unit), np.nextafter(threshold, -np.inf)), np.zeros(len(unit), np.int64)
+
+    def look(self, rights: pa.RecordBatch) -> None:
+        # Of copies the first wins; a product gives them other last digits where they stand elsewhere in a tile.
+        new = [self._is_new(v) for v in _matrix(rights.column("vec"))]
+        rights = rights.filter(pa.array(new))
+        theirs = _unit_rows(pa.chunked_array([rights.column("vec")]))
+        for j0 in range(0, len(theirs), TILE_ROWS):
+            tile = theirs[j0 : j0 + TILE_ROWS].T
+            for i0 in range(0, len(self.unit), TILE_ROWS):
+                sims = self.unit[i0 : i0 + TILE_ROWS] @ tile
+                at = sims.argmax(axis=1)
+                top = sims[np.arange(len(at)), at]
+                # Right rows come by ``pos``: of equals the first stays.
+                better = np.flatnonzero(top > self.sim[i0 : i0 + TILE_ROWS])
+                self.sim[i0 + better], self.at[i0 + better] = top[better], self.n + j0 + at[better]
+        self.rights.append(rights.select(["id", "pos"]))
+        self.n += len(theirs)
+
+    def _is_new(self, vec: np.ndarray) -> bool:
+        digest, known = blake2b(vec, digest_size=16).digest(), len(self.seen)
+        self.seen.add(digest)
+        return len(self.seen) > known
+
+
+def best_later(rows: DataFrame, *, threshold: float, per: str, key: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each row the best match of equal ``key`` in every later value of ``per`` (null is before all): what ``similarity_join``
+    of ``rows`` with themselves gives with ``keep="best"``, ``per`` and a ``where`` that wants the right ``per`` to be greater.
+
+    Rows are cut in order of ``key`` and ``per``. A task holds a strip of left rows and lets the right rows of a chunk pass by, sorted by ``per``,
+    so a left row gives one row for each ``per`` of a chunk, copies of a vector are compared once, and cuts that hold nothing later are not sent. A row travels to about
+    half of the strips, and strips grow with the table up to ``STRIP_FLOATS``. ``rows`` are read three times.
+    """
+    key = list(key)
+    rows = rows.filter(F.col("vec").isNotNull())
+    n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if n < 2 * block_rows:
+        return similarity_join(rows, rows, threshold=threshold, key=key, keep="best", per=per, where=lambda l, r: r[per] > l[per], block_rows=block_rows)
+    out = T.StructType(
+        [rows.schema[k] for k in key]
+        + [T.StructField(f"{side}_{c}", rows.schema[c].dataType) for c in ("id", "pos") for side in ("left", "right")]
+        + [T.StructField("sim", T.DoubleType()), T.StructField("per", rows.schema[per].dataType)]
+    )
+    strips = max(STRIPS, -(-n * dims // STRIP_FLOATS))
+    cuts = rows.repartitionByRange(4 * strips, *key, per, "id").withColumn("_cut", F.spark_partition_id())
+    cuts = stored(cuts, "cuts")
+    sends, tasks = _sends(cuts, key, per, n, strips)
+    if not tasks:
+        return rows.sparkSession.createDataFrame([], out)
+    names = ["_side", *key, *([per] if per not in key else []), "id", "pos", "vec"]
+    sent = cuts.join(sends, ["_cut", *key]).select("_task", *names).repartitionById(tasks, "_task").sortWithinPartitions("_side", *key, per, "pos").select(*names)
+    arrow_out = arrow_schema(out)
+
+    def given(values: tuple, at: int, lefts: pa.Table, best: _Best) -> pa.RecordBatch:
+        i = np.flatnonzero(best.sim >= threshold)
+        left, right = lefts.slice(at, len(best.sim)).take(pa.array(i)), pa.Table.from_batches(best.rights).take(pa.array(best.at[i]))
+        columns = [pa.array([v] * len(i), f.type) for v, f in zip(values[:-1], arrow_out)]
+        columns += [left["id"], right["id"], left["pos"], right["pos"], pa.array(best.sim[i]), pa.array([values[-1]] * len(i), arrow_out.field("per").type)]
+        return pa.RecordBatch.from_arrays([_flat(c.cast(f.type)) for c, f in zip(columns, arrow_out)], schema=arrow_out)
+
+    def meet(batches: Iterator[pa.RecordBatch]):
+        """The rows of a task, left ones first."""
+        held, groups, last, best = [], None, None, None
+        for batch in batches:
+            first = int(np.searchsorted(batch.column("_side").to_numpy(), 1))
+            if first:
+                held.append(batch.slice(0, first))
+            if first == batch.num_rows:
+                continue
+            if groups is None:
+                lefts, groups = _strip(pa.Table.from_batches(held, schema=batch.schema), key, per)
+                held = []
+            batch = batch.slice(first)
+            for values, start, stop in _runs(batch, [*key, per]):
+                if values != last:
+                    if best is not None:
+                        yield given(last, at, lefts, best)
+                    last, best = values, None
+                    at, unit, some_null, pers, ends = groups.get(values[:-1], (0, None, False, [], [0]))
+                    before = 0 if values[-1] is None else ends[bisect_left(pers, values[-1]) + some_null]
+                    if before:
+                        best = _Best(unit[:before], threshold)
+                if best is not None:
+                    best.look(batch.slice(start, stop - start))
+        if best is not None:
+            yield given(last, at, lefts, best)
+
+    pairs = sent.mapInArrow(meet, out)
+    within = Window.partitionBy("left_id", "per").orderBy(F.desc("sim"), F.asc("right_pos"))
+    return pairs.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= 1).drop("_r")
+
+
+def _sends(cuts: DataFrame, key: list[str], per: str, n: int, strips: int) -> tuple[DataFrame, int]:
+    """``key, _cut, _side, _task``: the tasks that each cut goes to as left (0) and as right rows (1), and how many tasks there are.
+
+    Cuts are few, and a cut holds few values of ``key`` but where there are many.
+    """
+    about = cuts.groupBy("_cut", *key).agg(F.count(F.lit(1)).alias("n"), F.count(per).alias("known"), F.min(per).alias("lo"), F.max(per).alias("hi"))
+    about = [(r["_cut"], tuple(r[k] for k in key), r["n"], r["lo"] if r["known"] == r["n"] else None, r["hi"]) for r in about.orderBy("_cut").collect()]
+    before, strip_of, chunk_of = 0, {}, {}
+    for cut, _, rows, _, _ in about:
+        strip_of.setdefault(cut, before * strips // n)
+        chunk_of.setdefault(cut, before * CHUNKS // n)
+        before += rows
+    lowest, highest = {}, {}
+    for cut, group, _, lo, hi in about:
+        at = lowest.setdefault(group, {})
+        at[strip_of[cut]] = lo if strip_of[cut] not in at or _below(lo, at[strip_of[cut]]) or lo is None else at[strip_of[cut]]
+        at = highest.setdefault(group, {})
+        at[chunk_of[cut]] = hi if _below(at.get(chunk_of[cut]), hi) else at.get(chunk_of[cut])
+    sent, lefts, rights = [], {}, {}
+    for cut, group, rows, lo, hi in about:
+        for chunk, top in highest[group].items():
+            if _below(lo, top):
+                task = strip_of[cut], chunk
+                lefts[task] = lefts.get(task, 0) + rows
+                sent.append((cut, group, 0, task))
+        for strip, low in lowest[group].items():
+            if _below(low, hi):
+                task = strip, chunk_of[cut]
+                rights[task] = rights.get(task, 0) + rows
+                sent.append((cut, group, 1, task))
+    # The longest tasks begin first.
+    numbers = {t: i for i, t in enumerate(sorted(rights, key=lambda t: (-rights[t] * lefts[t], t)))}
+    schema = T.StructType([cuts.schema["_cut"], *[cuts.schema[k] for k in key], T.StructField("_side", T.IntegerType()), T.StructField("_task", T.IntegerType())])
+    columns = [[c for c, _, _, _ in sent], *[[g[i] for _, g, _, _ in sent] for i in range(len(key))], [s for _, _, s, _ in sent], [numbers[t] for _, _, _, t in sent]]
+    kinds = arrow_schema(schema)
+    # A table in the plan, whose size the planner knows.
+    return cuts.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], names=kinds.names), schema), len(numbers)
+
+
 def _comparable(l: pa.Table, r: pa.Table) -> tuple[dict, dict]:
     """The columns of both sides but ``vec``; texts become numbers that compare as the texts do, null below all."""
     lc, rc = ({c: _column(t[c]) for c in t.column_names if c != "vec"} for t in (l, r))

@@ -1,11 +1,13 @@
 """Joins and lookups through cells, against the exact join."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import unit
+from pyspark.sql import functions as F
 
-from factweave.operators import cells, forest
-from factweave.operators.similarity import similarity_join
+from factweave.operators import cells, forest, semantic
+from factweave.operators.similarity import CHUNKS, STRIPS, _sends, best_later, similarity_join
 
 
 def clustered(spark, n, seed, dims=16, groups=60):
@@ -77,6 +79,61 @@ def test_forest_grows_slower_than_the_square():
         assert meets >= 0.99
 
 
+def test_crowded_leaves_are_not_compared_tree_by_tree(spark, monkeypatch):
+    """Vectors in a cone share most leaves: each tree compared a large part of all pairs anew, and each row travelled to many blocks of each tree."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    vec = unit(np.abs(rng.standard_normal(4)) + 1) + 0.2 * rng.standard_normal((n, 4))
+    vec = (vec / np.linalg.norm(vec, axis=1, keepdims=True)).astype(np.float32)
+    kind = rng.integers(3, size=n)
+    rows = spark.createDataFrame(pa.table({
+        "id": np.arange(n), "type": ["NOTE"] * n, "filing_id": [f"F{k}" for k in kind], "input_pos": np.arange(n), "vec": vec.tolist()})).repartition(6).cache()
+    assert forest.fit_forest(n, 4, 0.9, 0.99) is not None
+    trees, deal = [], forest._dealt
+    monkeypatch.setattr(forest, "_dealt", lambda df, f: trees.append(f.trees) or deal(df, f))
+    got = {(r.left_id, r.per): round(r.sim, 6) for r in semantic.across_filings(rows.drop("vec"), rows, floor=0.9, recall=0.99).collect()}
+    assert not trees
+    wide = vec.astype(float) / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    want = {}
+    for k in (1, 2):
+        lefts = np.flatnonzero(kind < k)
+        best = (wide[lefts] @ wide[kind == k].T).max(axis=1)
+        want |= {(int(i), f"F{k}"): round(float(s), 6) for i, s in zip(lefts, best) if s >= 0.9}
+    assert got.keys() == want.keys() and max(abs(got[p] - want[p]) for p in want) < 2e-6
+
+
+@pytest.mark.parametrize("threshold", [0.9, -1.0])
+def test_best_later_is_the_exact_join(spark, threshold):
+    """Ties, repeated ids, null filings, types and vectors; strips and chunks where a block would do."""
+    rng = np.random.default_rng(3)
+    n = 1500
+    vec = np.abs(rng.standard_normal((n, 6))).astype(np.float32)
+    vec[7], vec[100:160] = 0, vec[100]
+    rows = spark.createDataFrame(pa.table({
+        "id": [f"i{i if i % 50 else 0}" for i in range(n)], "pos": rng.permutation(n),
+        "type": [None if i % 101 == 0 else "AB"[i % 7 == 0] for i in range(n)],
+        "filing": [None if i % 37 == 0 else f"f{i % 11 if i % 3 else 0}" for i in range(n)],
+        "vec": [None if i == 9 else v.tolist() for i, v in enumerate(vec)]})).repartition(5).cache()
+    usable = rows.filter("vec is not null")
+    later_filing = lambda a, b: b["filing"] > a["filing"]
+    columns = ["type", "left_id", "per", "right_id", "left_pos", "right_pos"]
+    listed = lambda df: sorted((*(r[c] for c in columns if c != "left_pos" or r["left_id"] != "i0"), round(r.sim, 9)) for r in df.collect())
+    old = similarity_join(usable, usable, threshold=threshold, key=("type",), keep="best", per="filing", where=later_filing)
+    new = best_later(rows, threshold=threshold, key=("type",), per="filing", block_rows=50)
+    assert new.dtypes == old.dtypes and listed(new) == listed(old) and new.count() > 5000 * (threshold < 0)
+    # Of copies the first wins, wherever it stands in a tile.
+    copies = spark.createDataFrame(pa.table({"id": np.arange(2400), "pos": np.arange(2400)[::-1], "filing": ["a"] * 300 + ["b"] * 2100, "vec": [vec[i % 300].tolist() for i in range(2400)]}))
+    assert copies.filter("filing = 'b'").count() > 2000
+    best = best_later(copies, threshold=0.999, per="filing", block_rows=50).collect()
+    assert {r.left_id: r.right_pos for r in best if r.left_id > 160} == {i: 2399 - (2100 + i) for i in range(161, 300)}
+    # A row is sent to every strip and chunk at most, and only where something is later.
+    cuts = usable.repartitionByRange(48, "type", "filing", "id").withColumn("_cut", F.spark_partition_id()).cache()
+    sends, tasks = _sends(cuts, ["type"], "filing", n, STRIPS)
+    per_cut = sends.groupBy("_cut", "type").count().agg(F.max("count")).first()[0]
+    assert per_cut <= STRIPS + CHUNKS and tasks < STRIPS * CHUNKS
+    assert cuts.join(sends, ["_cut", "type"]).count() < (STRIPS / 2 + CHUNKS) * n
+
+
 def test_without_use_the_exact_join_runs(spark):
     v = clustered(spark, 300, 4)
     assert cells.fit_cells(v, v, 0.8) is None  # too few rows
