@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators.graph_stats import endpoints
 from factweave.operators.numbering import number_rows
-from factweave.session import cut_lineage, stored
+from factweave.session import cut_lineage, discard, freeing, stored
 
 
 def neighbors(edges: DataFrame, node_id: str, limit: int | None = 100) -> DataFrame:
@@ -21,6 +22,10 @@ def neighbors(edges: DataFrame, node_id: str, limit: int | None = 100) -> DataFr
 
 #: Seeds that travel together, one bit of a number each.
 SEED_BITS = 60
+#: From so many edges on a level meets them in so many shares, one after the other, unless it has so few rows that edges needn't move.
+MANY_EDGES = 1 << 22
+SHARES = 4
+FEW_ROWS = 1 << 12
 
 
 def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
@@ -28,29 +33,41 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int, directed: b
 
     Level-synchronous: a level is one join of the frontier with the edges, which are stored once, and one with what is
     known. Up to ``SEED_BITS`` seeds travel together as bits of one number, so a node that many of them reach is one row,
-    and each level is checkpointed. ``seeds``: ``id``.
+    and each level is stored. Shuffle files go as soon as what needed them is stored, and many edges are shuffled in ``SHARES``,
+    by direction and by a hash of the end that is left: on disk there are the edges once, one share of their ends and the levels. ``seeds``: ``id``.
     """
-    step = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
-    step = stored(step, "steps")
-    if not directed:
-        step = endpoints(step.withColumnsRenamed({"id": "source_id", "other": "target_id"}))
-    place = F.col("number") - 1
-    first = stored(number_rows(seeds.select("id").distinct(), ["id"]).select(
-        "id", F.floor(place / SEED_BITS).cast("long").alias("batch"), F.pmod(place, F.lit(SEED_BITS)).cast("int").alias("bit")), "seeds")
-    one = F.lit(1).cast("long")
-    levels = [first.select("id", "batch", F.call_function("shiftleft", one, F.col("bit")).alias("bits"))]
-    for hop in range(1, max_hops + 1):
-        reached = levels[-1].join(step, "id").groupBy(F.col("other").alias("id"), "batch").agg(F.bit_or("bits").alias("bits"))
-        # What is next to a level lies on it, on the one before or on the next; along directed edges it may lie on any.
-        near = levels[-1]
-        for level in levels[:-1] if directed else levels[-2:-1]:
-            near = near.unionByName(level)
-        near = near.groupBy("id", "batch").agg(F.bit_or("bits").alias("seen"))
-        fresh = reached.join(near, ["id", "batch"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
-        level = cut_lineage(fresh.filter(F.col("bits") != 0).select("id", "batch", "bits"))
-        if level.isEmpty():
-            break
-        levels.append(level)
+    spark = edges.sparkSession
+    with freeing(spark):
+        step = stored(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")), "steps")
+        place = F.col("number") - 1
+        first = stored(number_rows(seeds.select("id").distinct(), ["id"]).select(
+            "id", F.floor(place / SEED_BITS).cast("long").alias("batch"), F.pmod(place, F.lit(SEED_BITS)).cast("int").alias("bit")), "seeds")
+        one = F.lit(1).cast("long")
+        levels = [stored(first.select("id", "batch", F.call_function("shiftleft", one, F.col("bit")).alias("bits")), "level")]
+        many, rows = step.count() >= MANY_EDGES, levels[0].count()
+        for hop in range(1, max_hops + 1):
+            parts = []
+            if many and rows > FEW_ROWS:
+                parts = [stored(_reached(*share), "reached") for share in _shares(levels[-1], step, directed)]
+                reached = parts[0]
+                for part in parts[1:]:
+                    reached = reached.unionByName(part)
+                reached = reached.groupBy("id", "batch").agg(F.bit_or("bits").alias("bits"))
+            else:
+                reached = _reached(levels[-1], step if directed else _both_ways(step))
+            # What is next to a level lies on it, on the one before or on the next; along directed edges it may lie on any.
+            near = levels[-1]
+            for level in levels[:-1] if directed else levels[-2:-1]:
+                near = near.unionByName(level)
+            near = near.groupBy("id", "batch").agg(F.bit_or("bits").alias("seen"))
+            fresh = reached.join(near, ["id", "batch"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
+            level = stored(fresh.filter(F.col("bits") != 0).select("id", "batch", "bits"), "level")
+            discard(*parts)
+            rows = level.count()
+            if not rows:
+                break
+            levels.append(level)
+        discard(step)
     found = levels[0].withColumn("hop", F.lit(0))
     for hop, level in enumerate(levels[1:], 1):
         found = found.unionByName(level.withColumn("hop", F.lit(hop)))
@@ -58,6 +75,24 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, max_hops: int, directed: b
     return found.join(first.select("batch", "bit", F.col("id").alias("seed")), "batch").filter(has).select("seed", "id", "hop")
 
 
+def _both_ways(step: DataFrame) -> DataFrame:
+    return endpoints(step.withColumnsRenamed({"id": "source_id", "other": "target_id"}))
+
+
+def _reached(level: DataFrame, step: DataFrame) -> DataFrame:
+    return level.join(step, "id").groupBy(F.col("other").alias("id"), "batch").agg(F.bit_or("bits").alias("bits"))
+
+
+def _shares(level: DataFrame, step: DataFrame, directed: bool) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The level and the edges that leave it, share by share."""
+    ways = [step] if directed else [step, step.select(F.col("other").alias("id"), F.col("id").alias("other"))]
+    n = SHARES // len(ways)
+    for way in ways:
+        for i in range(n):
+            mine = F.pmod(F.xxhash64("id"), F.lit(n)) == i
+            yield level.filter(mine), way.filter(mine)
+
+
 def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``depth`` hops and the edges walked to find them."""
     seed = nodes.filter(F.col("id") == node_id).select("id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored_frames: DataFrame) -> None:
+    """Remove the files of frames that ``stored`` gave and that nothing reads any more."""
+    for df in stored_frames:
+        sc = df.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan out to all cores when it has fewer splits than there are cores.
 

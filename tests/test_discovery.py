@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from factweave.operators import causal, components, containment, cross_reference, entities, paths, semantic, table_text, temporal
 from factweave.operators.similarity import similarity_join
 from factweave.plans import build
+from factweave.session import ensure_checkpoint_dir
 
 EDGE = ("source_id", "edge_type", "target_id", "confidence")
 
@@ -388,6 +390,51 @@ def test_block_size_changes_no_kept_pair(spark, monkeypatch, keep, n, per):
     assert sent.first()[0] == 2
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_levels_leave_nothing_on_disk_but_themselves(spark, monkeypatch, directed):
+    """Many edges in shares; the shuffle files of all levels, and of the edges, stayed until the driver collected its garbage."""
+    monkeypatch.setattr(paths, "MANY_EDGES", 10, raising=False)
+    monkeypatch.setattr(paths, "FEW_ROWS", 2, raising=False)
+    rng = np.random.default_rng(4)
+    pairs = [(None if i == 3 else f"n{a}", f"n{b}") for i, (a, b) in enumerate(rng.integers(400, size=(500, 2)))]
+    edges = spark.createDataFrame(pairs + pairs[:40], "source_id string, target_id string").distinct()
+    seeds = spark.createDataFrame([(f"n{i}",) for i in (0, 1, 2, 1, 399)] + [("alone",)], "id string")
+    sc = spark.sparkContext
+    manager = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in manager.getAllBlocks().mkString(",").split(",") if b.startswith("shuffle_")}
+    folder = sc._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    listed = lambda: {f.getPath().getName() for f in folder.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(folder)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, listed_before = shuffles(), listed()
+        found = paths.hop_distances(edges, seeds, 5, directed=directed)
+        for _ in range(50):  # files go in the background
+            if shuffles() <= before:
+                break
+            time.sleep(0.2)
+        assert shuffles() <= before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    names = {name.rsplit("/", 2)[-2].split("-")[0] for name in found.inputFiles()}
+    assert names == {"level", "seeds"}
+    assert not {n for n in listed() - listed_before if n.startswith(("steps", "reached"))}
+    after = {}
+    for a, b in pairs:
+        if a is not None:
+            after.setdefault(a, set()).add(b)
+            if not directed:
+                after.setdefault(b, set()).add(a)
+    want = {}
+    for s in ("n0", "n1", "n2", "n399", "alone"):
+        level = {s}
+        for hop in range(6):
+            want |= {(s, v): hop for v in level}
+            level = {w for v in level for w in after.get(v, ()) if (s, w) not in want}
+    rows = found.collect()
+    assert {(r.seed, r.id): r.hop for r in rows} == want and len(rows) == len(want)
+
+
 def test_seeds_travel_together_and_edges_are_computed_once(spark):
     """More seeds than bits of a number, on a ring with a chord, both ways and directed; each edge was computed anew per level."""
     n = 130
